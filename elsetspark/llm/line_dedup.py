@@ -6,6 +6,9 @@ another, the first occurrence by (doc_id, nulls last; MD5 of the text; position)
 of every later one are covered, and covered lines go. Overlapping windows merge, as a covered
 line counts once.
 
+Texts are exchanged once, to meet what is covered, and stream past it: the covered positions are
+the build side, so that no text is sorted.
+
 Defined cases: null text stays null with zero lines; empty text has one empty line; texts of
 fewer than three lines stay as they are; wholly repeated rows (same id and text) count as one
 document and get the same result each; an empty table gives an empty result; extra columns are
@@ -34,7 +37,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     covered = later.groupBy("__no", "__id", "__tmd").agg(F.collect_set("pos").alias("at"))
     covered = covered.select("__no", "__id", "__tmd", F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + WIDTH - 1)))).alias("__cov"))
     key = (rows["__id"].eqNullSafe(covered["__id"])) & (rows["__tmd"] == covered["__tmd"]) & (rows["__no"] == covered["__no"])
-    out = rows.join(covered, key, "left").select(rows["*"], F.coalesce("__cov", F.array().cast("array<int>")).alias("__cov"))
+    out = rows.join(covered.hint("shuffle_hash"), key, "left").select(rows["*"], F.coalesce("__cov", F.array().cast("array<int>")).alias("__cov"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__cov"), lambda i: F.element_at(lines, i + 1))
     named = {
         "text": F.when(F.size("__cov") > 0, F.array_join(kept, "\n")).otherwise(F.col("text")),
