@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, sharding
+from . import html_extract, line_dedup, mixing, sharding, topk_search
 from .common import table
 
 
+def op1_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_term_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
@@ -26,6 +34,8 @@ def op8_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_tag_path_text,
+        op2_term_at_a_time,
         op3_hypergeometric_shards,
         op4_line_windows,
         op8_fair_queue_mix,
@@ -33,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_term_at_a_time": topk_search.ORACLE,
     "op4_line_windows": line_dedup.ORACLE,
     "op8_fair_queue_mix": mixing.ORACLE,
 }
