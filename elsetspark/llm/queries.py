@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, line_dedup, mixing, sharding, topk_search
+from . import html_extract, language_id, line_dedup, mixing, sharding, topk_search, warc
 from .common import table
 
 
@@ -27,6 +27,14 @@ def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs)
 
 
+def op5_byte_rnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op8_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_term_at_a_time,
         op3_hypergeometric_shards,
         op4_line_windows,
+        op5_byte_rnn_language,
+        op6_warc_writer,
         op8_fair_queue_mix,
     )
 }
@@ -45,5 +55,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_term_at_a_time": topk_search.ORACLE,
     "op4_line_windows": line_dedup.ORACLE,
+    "op6_warc_writer": warc.ORACLE,
     "op8_fair_queue_mix": mixing.ORACLE,
 }
