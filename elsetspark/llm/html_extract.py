@@ -39,6 +39,7 @@ ALWAYS_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sp
 OFTEN_WORDS = frozenset("header masthead footer banner notice notices alert toolbar form search tags meta aside legal copyright".split())
 CONTENT_WORDS = frozenset("article content post entry story main body text page".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+CONTAINERS = frozenset("article main body div section td".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -201,7 +202,7 @@ def main_text(page: str | None) -> str:
     for text, path, elements, _ in found:
         if path in chosen:
             whole += len(text)
-            for d, e in enumerate(elements[:-1] if path[-1].split(".")[0] not in ("article", "main", "body", "div", "section", "td") else elements):
+            for d, e in enumerate(elements if path and path[-1].split(".")[0] in CONTAINERS else elements[:-1]):
                 weight[e] += len(text)
                 depth[e] = (d, path[d].split(".")[0])
     inner = [e for e, w in weight.items() if w >= 0.8 * whole and depth[e][1] not in ("html", "body")]

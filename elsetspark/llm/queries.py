@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_id, line_dedup, mixing, sharding, simhash, topk_search, warc
+from . import decontaminate, html_extract, language_id, line_dedup, mixing, run_index, sharding, simhash, topk_search, warc
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
 
+def op7_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_line_windows,
         op5_byte_rnn_language,
         op6_warc_writer,
+        op7_run_length_index,
         op8_fair_queue_mix,
         op9_golay_simhash,
         op10_window_decontamination,
