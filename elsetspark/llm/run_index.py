@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, free_shuffles, small_batches
 
-WINDOW, ANCHOR, PIECE, INDEX_BYTES = 400, 16, 1 << 22, 2 << 20
+WINDOW, ANCHOR, PIECE, INDEX_BYTES = 400, 128, 1 << 22, 3 << 19  # ANCHOR: a power of two
 BASE = np.uint64(0x9E3779B97F4A7C15)
 ANCHORS = "doc_id long, tid binary, x long, n long, sha string, hs array<long>, starts array<long>, ends array<long>"
 NAMED = "tid binary, copies long, text string, hs array<long>, starts array<long>, ends array<long>, chs array<binary>"
@@ -182,18 +182,30 @@ class RunIndex:
             m = max(0, n - k)
             key[:m] |= np.where(self.rest[:m] > k, self.text[n - m :].astype(np.int64) + 1, 0)
         depth, place = PACK, np.arange(n)
+        order = np.argsort(key)
+        ordered = key[order]
+        packed = n < (1 << 21) - 1  # two ranks and a position fit 63 bits: plain sorting gives the order
         while True:
-            order = np.argsort(key)
-            ordered = key[order]
             rank = np.empty(n, dtype=np.int32)
-            rank[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]])).astype(np.int32)[:n] if n else 0
+            rank[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]), dtype=np.int32)[:n]
             self.ranks.append((depth, rank))
             if not n or int(rank[order[-1]]) == n:
                 return order
             if depth >= longest:
                 return np.argsort(rank.astype(np.int64) * n + place)
-            after = np.minimum(place + depth, n - 1)
-            key = rank.astype(np.int64) * (n + 1) + np.where(self.rest > depth, rank[after], 0)
+            key = np.zeros(n, dtype=np.int64)
+            m = max(0, n - depth)
+            key[:m] = rank[n - m :]
+            key[self.rest <= depth] = 0
+            if packed:
+                key |= rank.astype(np.int64) << 21
+                key = key << 21 | place
+                key.sort()
+                order, ordered = key & ((1 << 21) - 1), key >> 21
+            else:
+                key += rank.astype(np.int64) << 31
+                order = np.argsort(key)
+                ordered = key[order]
             depth *= 2
 
     def _shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
