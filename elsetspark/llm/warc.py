@@ -24,9 +24,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import json
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import remove, shared_dir, small_batches
 
-REVISIT_BYTES, ROLL_BYTES, SHARD_BYTES, MOST_SHARDS, SAMPLE_IDS = 1000, 8 << 20, 1 << 20, 4096, 50_000
+REVISIT_BYTES, ROLL_BYTES, SHARD_BYTES, MOST_SHARDS, SAMPLE_IDS, LEVEL = 1000, 16 << 20, 4 << 20, 4096, 50_000, 4
 DATE, NAMESPACE = "2024-01-01T00:00:00Z", uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "temporary string, name string, records long, bytes long, sha1 string"
@@ -83,7 +83,7 @@ class Roller:
         self.part = 0
 
     def add(self, shard: int, data: bytes) -> None:
-        packed = gzip.compress(data, 6, mtime=0)
+        packed = gzip.compress(data, LEVEL, mtime=0)
         if self.out is not None and (shard != self.shard or self.size + len(packed) > self.roll):
             self.close()
         if shard != self.shard:
@@ -196,17 +196,17 @@ def commit(spark: SparkSession, root: str, files: list[dict]) -> list[dict]:
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive, one gzip member at a time."""
-    while data:
-        member = zlib.decompressobj(31)
-        text = member.decompress(data)
-        data = member.unused_data
-        head, _, rest = text.partition(b"\r\n\r\n")
-        headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-        block = rest[: int(headers["Content-Length"])]
-        if rest[len(block) :] != b"\r\n\r\n":
-            raise ValueError(f"record {headers.get('WARC-Record-ID')} is cut off")
-        yield headers, block
+    """Headers and block of each record of an archive, streamed: one record in memory."""
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as stream:
+        while stream.readline():  # the version
+            headers: dict[str, str] = {}
+            while (line := stream.readline()) not in (b"\r\n", b""):
+                key, _, value = line.decode().rstrip("\r\n").partition(": ")
+                headers[key] = value
+            block = stream.read(int(headers["Content-Length"]))
+            if stream.read(4) != b"\r\n\r\n":
+                raise ValueError(f"record {headers.get('WARC-Record-ID')} is cut off")
+            yield headers, block
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
