@@ -22,10 +22,11 @@ def require(df: DataFrame, columns: tuple[str, ...] = REQUIRED) -> None:
 
 
 def prepared(series: DataFrame) -> DataFrame:
-    """Finite rows, one a day, indexed and unwrapped."""
+    """Finite rows, one a day, indexed and unwrapped, with the object's median orbit: one exchange by object."""
     require(series)
     rows = series.where(finite(*ELEMENTS)).select(*REQUIRED).repartition("norad_id")
-    return indexed(regularize_daily(rows))
+    rows = indexed(regularize_daily(rows))
+    return rows.withColumns({f"m_{c}": F.median(c).over(by_object()) for c in ("a", "e", "inc", "argp")})
 
 
 def scored_gaps(rows: DataFrame) -> DataFrame:
@@ -50,26 +51,28 @@ def candidates(gaps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def suppress_neighbours(found: DataFrame, radius: int = WINDOW) -> DataFrame:
     """Greedy, strongest first (earlier gap on ties): what lies within radius gaps of a kept one goes."""
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("significance")).alias("s"), F.col("idx").alias("i"))))
-    kept = F.aggregate(ranked, F.array().cast("array<int>"), lambda acc, c: F.when(F.forall(acc, lambda k: F.abs(k - c["i"]) > radius), F.concat(acc, F.array(c["i"]))).otherwise(acc))
-    keep = found.groupBy("norad_id").agg(kept.alias("k")).select("norad_id", F.explode("k").alias("idx"))
-    return found.join(keep, ["norad_id", "idx"], "left_semi")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("significance")).alias("s"), F.col("idx").alias("i"))).over(by_object()))
+    kept = F.aggregate("__r", F.array().cast("array<int>"), lambda acc, c: F.when(F.forall(acc, lambda k: F.abs(k - c["i"]) > radius), F.concat(acc, F.array(c["i"]))).otherwise(acc))
+    return found.withColumn("__r", ranked).where(F.array_contains(kept, F.col("idx"))).drop("__r")
 
 
-def object_floors(rows: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Per object: smallest velocity change of each type that a THRESHOLD-sigma step shows, the class floor at least."""
-    orbit = rows.groupBy("norad_id").agg(*[F.median(c).alias(f"m_{c}") for c in ("a", "e", "inc", "argp")])
-    scales = gaps.groupBy("norad_id").agg(*[F.first(f"scale_{c}").alias(f"scale_{c}") for c in ("a", "e", "inc", "raan")])
+def with_floors(gaps: DataFrame) -> DataFrame:
+    """Adds the smallest velocity change of each type that a THRESHOLD-sigma step shows, the class floor at least."""
     o = (F.col("m_a"), clamp_ecc(F.col("m_e")), clamp_inc(F.col("m_inc") * RAD), F.col("m_argp") * RAD)
     zero, s = F.lit(0.0), {c: THRESHOLD * F.col(f"scale_{c}") for c in ("a", "e", "inc", "raan")}
     dv = lambda *step: invert(*step, *o)["delta_v_ms"]
     nominal = class_floor(orbit_class(F.col("m_a")))
-    return orbit.join(scales, "norad_id").select(
-        "norad_id",
-        F.greatest(dv(s["a"], zero, zero, zero), nominal).alias("floor_in_track"),
-        F.greatest(F.least(dv(zero, zero, s["inc"] * RAD, zero), dv(zero, zero, zero, s["raan"] * RAD)), nominal).alias("floor_cross_track"),
-        F.greatest(dv(zero, s["e"], zero, zero), nominal).alias("floor_radial"),
-    )
+    return gaps.withColumns({
+        "floor_in_track": F.greatest(dv(s["a"], zero, zero, zero), nominal),
+        "floor_cross_track": F.greatest(F.least(dv(zero, zero, s["inc"] * RAD, zero), dv(zero, zero, zero, s["raan"] * RAD)), nominal),
+        "floor_radial": F.greatest(dv(zero, s["e"], zero, zero), nominal),
+    })
+
+
+def object_floors(gaps: DataFrame) -> DataFrame:
+    names = ("floor_in_track", "floor_cross_track", "floor_radial")
+    one = gaps.groupBy("norad_id").agg(*[F.first(c).alias(c) for c in (*(f"m_{x}" for x in ("a", "e", "inc", "argp")), *(f"scale_{x}" for x in ("a", "e", "inc", "raan")))])
+    return with_floors(one).select("norad_id", *names)
 
 
 def detect_rule(series: DataFrame) -> DataFrame:
@@ -79,7 +82,7 @@ def detect_rule(series: DataFrame) -> DataFrame:
     kept = suppress_neighbours(candidates(gaps)).where("not transient")
     level = holt(rows.join(kept.select("norad_id").distinct(), "norad_id", "left_semi"), ("a", "e", "inc", "argp"))
     level = level.select("norad_id", (F.col("idx") + 1).alias("idx"), *[f"level_{c}" for c in ("a", "e", "inc", "argp")])
-    joined = kept.join(level, ["norad_id", "idx"]).join(object_floors(rows, gaps), "norad_id")
+    joined = with_floors(kept.join(level, ["norad_id", "idx"]))
     got = invert(
         F.col("step_a"), F.col("step_e"), F.col("step_inc") * RAD, F.col("step_raan") * RAD,
         F.col("level_a"), clamp_ecc(F.col("level_e")), clamp_inc(F.col("level_inc") * RAD), F.col("level_argp") * RAD,

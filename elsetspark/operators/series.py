@@ -106,7 +106,7 @@ def holt(series: DataFrame, columns: tuple[str, ...]) -> DataFrame:
         )
 
     folded = series.groupBy("norad_id").agg(rows.alias("r")).withColumn("levels", F.aggregate(F.slice("r", F.lit(2), F.size("r")), start(F.col("r")), step, lambda s: s["out"]))
-    levels = folded.select("norad_id", F.posexplode("levels").alias("idx", "l")).select("norad_id", "idx", *[F.col(f"l.{c}").alias(f"level_{c}") for c in columns])
+    levels = folded.select("norad_id", F.posexplode_outer("levels").alias("idx", "l")).select("norad_id", "idx", *[F.col(f"l.{c}").alias(f"level_{c}") for c in columns])
     return series.join(levels, ["norad_id", "idx"])
 
 

@@ -10,8 +10,9 @@ from ..constants import US_PER_DAY
 
 def checksum(line: Column) -> Column:
     """Digits of columns 1 to 68 count their value, minus signs 1; modulo 10."""
-    digits = F.regexp_replace(F.substring(line, 1, 68), "[^0-9-]", "")
-    return F.aggregate(F.split(F.regexp_replace(digits, "-", "1"), ""), F.lit(0), lambda s, c: s + F.when(c == "", 0).otherwise(c.cast("int"))) % 10
+    body = F.substring(line, 1, 68)
+    count = lambda c: F.length(body) - F.length(F.translate(body, c, ""))
+    return (count("-") + sum(d * count(str(d)) for d in range(1, 10))) % 10
 
 
 def implied(text: Column) -> Column:
@@ -33,7 +34,7 @@ def parse(pairs: DataFrame, strict: bool = True) -> DataFrame:
     """Elsets of rows with line1, line2. strict: a malformed pair raises; else it is dropped."""
     a, b = F.col("line1"), F.col("line2")
     cut = lambda line, lo, hi: F.trim(F.substring(line, lo, hi - lo + 1))
-    n = cut(b, 53, 63).cast("double")
+    n = cut(b, 53, 63).try_cast("double")
     sound = (
         (F.length(a) >= 69) & (F.length(b) >= 69) & a.startswith("1 ") & b.startswith("2 ") & (cut(a, 3, 7) == cut(b, 3, 7))
         & (checksum(a) == F.substring(a, 69, 1).try_cast("int")) & (checksum(b) == F.substring(b, 69, 1).try_cast("int")) & (n > 0)
