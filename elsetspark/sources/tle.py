@@ -40,14 +40,15 @@ def parse(pairs: DataFrame, strict: bool = True) -> DataFrame:
         & (checksum(a) == F.substring(a, 69, 1).try_cast("int")) & (checksum(b) == F.substring(b, 69, 1).try_cast("int")) & (n > 0)
     )
     sound = F.coalesce(sound, F.lit(False))
-    rows = pairs.where(F.when(sound, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("malformed element set: "), a)).cast("boolean"))) if strict else pairs.where(sound)
+    pairs = pairs.where("line1 is not null or line2 is not null")
+    rows = pairs.where(F.when(sound | (a.isNull() & b.isNull()), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("malformed element set: "), a)).cast("boolean"))) if strict else pairs.where(sound)
     launch = cut(a, 10, 17)
     year = F.substring(launch, 1, 2).try_cast("int")
     objid = F.when(launch == "", "").otherwise(F.concat(F.when(year >= 57, year + 1900).otherwise(year + 2000).cast("string"), F.lit("-"), F.substring(launch, 3, 20)))
     return rows.select(
         cut(a, 3, 7).cast("long").alias("norad_id"), epoch_us(F.substring(a, 19, 2).cast("int"), F.substring(a, 21, 12).cast("double")).alias("t"),
-        n.alias("mean_motion"), F.concat(F.lit("0."), cut(b, 27, 33)).cast("double").alias("eccentricity"), cut(b, 9, 16).cast("double").alias("inclination"), cut(b, 18, 25).cast("double").alias("raan"),
-        cut(b, 35, 42).cast("double").alias("arg_perigee"), cut(b, 44, 51).cast("double").alias("mean_anomaly"), implied(F.substring(a, 54, 8)).alias("bstar"),
+        n.alias("mean_motion"), F.concat(F.lit("0."), cut(b, 27, 33)).try_cast("double").alias("eccentricity"), cut(b, 9, 16).try_cast("double").alias("inclination"), cut(b, 18, 25).try_cast("double").alias("raan"),
+        cut(b, 35, 42).try_cast("double").alias("arg_perigee"), cut(b, 44, 51).try_cast("double").alias("mean_anomaly"), implied(F.substring(a, 54, 8)).alias("bstar"),
         (F.regexp_replace(F.substring(a, 34, 10), " ", "").cast("double") * 2).alias("mean_motion_dot"), (implied(F.substring(a, 45, 8)) * 6).alias("mean_motion_ddot"),
         F.coalesce(cut(a, 65, 68).try_cast("long"), F.lit(0)).alias("element_set_no"), F.coalesce(cut(b, 64, 68).try_cast("long"), F.lit(0)).alias("rev_at_epoch"), F.substring(a, 8, 1).alias("classification"), objid.alias("object_id"),
     )
@@ -61,4 +62,5 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     named = lines.withColumns({"next": F.lead("line").over(w), "last": F.lag("line").over(w)})
     orphan = (F.col("line").startswith("1 ") & ~F.coalesce(F.col("next").startswith("2 "), F.lit(False))) | (F.col("line").startswith("2 ") & ~F.coalesce(F.col("last").startswith("1 "), F.lit(False)))
     checked = named.withColumn("line", F.when(orphan, F.raise_error(F.concat(F.lit("orphan line: "), F.col("line")))).otherwise(F.col("line")))
-    return checked.where(F.col("line").startswith("1 ")).select(F.col("line").alias("line1"), F.col("next").alias("line2"))
+    first = F.col("line").startswith("1 ")
+    return checked.where(first).select(F.when(first, F.col("line")).alias("line1"), F.when(first, F.col("next")).alias("line2"))
