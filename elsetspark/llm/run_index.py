@@ -13,14 +13,16 @@ Every byte covered by a WINDOW-byte string that starts anywhere else (same text
    run boundaries give all matching statistics: streamed along the text, each position's longest
    match elsewhere is the largest of a sample there and its left neighbour's value less one.
    Windows whose match reaches WINDOW bytes, and all windows of contexts that occur twice, repeat.
-4. Marks go back to the texts, where covered bytes merge to spans.
+4. An anchor hash whose contexts pass HOT_BYTES is not indexed in one task: the 128-bit digests of its
+   windows are dealt to buckets of about BUCKET_WINDOWS, where equal ones meet. That is exact too.
+5. Marks go back to the texts, where covered bytes merge to spans.
 
 Each repeated window meets its equals: they share the anchor hash, and so the task. Contexts are
 cut so that no place of a text lies in two of them; hence no window meets itself.
 
-Memory: a task indexes INDEX_BYTES of contexts at a time, whole anchor hashes together; an anchor
-hash with more distinct contexts than that is indexed in one piece. What several texts share
-inside a passage merges to one context, so such pieces come from the passage's edges only.
+Memory: a task indexes INDEX_BYTES of contexts at a time and HOT_BYTES more at most, or holds a
+bucket of windows. What several texts share inside a passage merges to one context; anchor hashes
+pass HOT_BYTES only by the edges of a passage that is very common in ever new surroundings.
 
 Defined cases: null text is empty; texts under WINDOW bytes stay; invalid sequences cannot occur in
 strings; repeated rows are copies like any other; null ids are kept as rows; an empty table gives
@@ -41,6 +43,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, free_shuffles, small_batches
 
 WINDOW, ANCHOR, PIECE, INDEX_BYTES = 400, 128, 1 << 22, 3 << 19  # ANCHOR: a power of two
+HOT_BYTES, BUCKET_WINDOWS = 4 << 20, 200_000
+MARKS = "ch binary, lo array<long>, hi array<long>"
+PACKED = "bucket int, digests binary, names binary, offsets binary, weights binary"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 ANCHORS = "doc_id long, tid binary, x long, n long, sha string, hs array<long>, starts array<long>, ends array<long>"
 NAMED = "tid binary, copies long, text string, hs array<long>, starts array<long>, ends array<long>, chs array<binary>"
@@ -279,6 +284,56 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out()
 
 
+def window_hasher(buckets: int):
+    def hash_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """128-bit digests of all windows of hot contexts, packed by bucket: digest, context, offset, weight."""
+        names = ["digests", "names", "offsets", "weights"]
+        for batch in batches:
+            digests, of, offsets, weights = [], [], [], []
+            for ch, weight, ctx in batch[["ch", "weight", "ctx"]].itertuples(index=False):
+                n = len(ctx) - WINDOW + 1
+                digests += [xxhash.xxh3_128_digest(ctx[i : i + WINDOW]) for i in range(n)]
+                of += [ch] * n
+                offsets.append(np.arange(n, dtype="<u4"))
+                weights.append(np.full(n, weight, dtype=np.uint8))
+            if not digests:
+                continue
+            d, o = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2), np.frombuffer(b"".join(of), dtype="<u8").reshape(-1, 2)
+            at, w = np.concatenate(offsets), np.concatenate(weights)
+            bucket = (d[:, 0] % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            yield pd.DataFrame([(int(bucket[k[0]]), d[k].tobytes(), o[k].tobytes(), at[k].tobytes(), w[k].tobytes()) for k in np.split(order, cuts)], columns=["bucket", *names])
+
+    return hash_windows
+
+
+def _repeated_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Marks of the windows whose digest weighs over 1 in all; rows sorted by bucket, one bucket in memory."""
+    held: list[tuple] = []
+    last = None
+
+    def out() -> pd.DataFrame:
+        d, o, at, w = (np.concatenate([np.frombuffer(r[k], dtype=t) for r in held]) for k, t in enumerate(("<u8", "<u8", "<u4", np.uint8)))
+        held.clear()
+        _, same = np.unique(d.reshape(-1, 2), axis=0, return_inverse=True)
+        same = same.reshape(-1)
+        hit = np.flatnonzero(np.bincount(same, weights=w)[same] > 1)
+        marks: dict[bytes, list[int]] = {}
+        for name, i in zip(o.reshape(-1, 2)[hit], at[hit].tolist(), strict=True):
+            marks.setdefault(name.tobytes(), []).append(i)
+        return pd.DataFrame([(k, v, [i + WINDOW for i in v]) for k, v in marks.items()], columns=["ch", "lo", "hi"])
+
+    for batch in batches:
+        for bucket, *blobs in batch[["bucket", "digests", "names", "offsets", "weights"]].itertuples(index=False):
+            if held and bucket != last:
+                yield out()
+            last = bucket
+            held.append(tuple(blobs))
+    if held:
+        yield out()
+
+
 def merge(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
     order = np.lexsort((hi, lo))
     out: list[list[int]] = []
@@ -336,8 +391,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     scratch.drop(wanted)
     free_shuffles(spark)
 
-    cut = with_text.mapInPandas(_cut, "h long, ch binary, weight int, ctx binary")
-    marks = scratch.write(cut.repartition("h").sortWithinPartitions("h").mapInPandas(_index, "ch binary, lo array<long>, hi array<long>"), "zstd")
+    cut = scratch.write(with_text.mapInPandas(_cut, "h long, ch binary, weight int, ctx binary"), "zstd")
+    hot = scratch.write(cut.groupBy("h").agg(F.sum(F.octet_length("ctx")).alias("bytes")).where(F.col("bytes") > HOT_BYTES))
+    hot_bytes = hot.agg(F.sum("bytes")).first()[0] or 0
+    cold = cut.join(hot, "h", "left_anti") if hot_bytes else cut
+    marks = cold.repartition("h").sortWithinPartitions("h").mapInPandas(_index, MARKS)
+    if hot_bytes:
+        packed = cut.join(hot, "h", "left_semi").mapInPandas(window_hasher(1 + hot_bytes // BUCKET_WINDOWS), PACKED)
+        marks = marks.unionByName(packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_repeated_windows, MARKS))
+    marks = scratch.write(marks, "zstd")
+    scratch.drop(cut, hot)
     free_shuffles(spark)
 
     alone = with_text.where("copies = 1")

@@ -277,6 +277,16 @@ def test_run_index_on_driver_documents(spark):
     assert {tuple(r) for r in queries.op7_run_length_index(spark, "/root/testdata/sf0.01").collect()} == {(r["doc_id"], *e) for r, e in zip(rows, expected)}
 
 
+def test_hot_anchors_take_the_other_way(spark, docs, fixture_docs, monkeypatch):
+    """With every anchor hash hot, window digests alone give the same marks."""
+    expected = Counter((r[0], *e) for r, e in zip(fixture_docs, brute_repeats([(r[1] or "").encode() for r in fixture_docs], 400)))
+    monkeypatch.setattr(run_index, "HOT_BYTES", 0)
+    assert Counter(tuple(r) for r in run_index.digest(docs).collect()) == expected
+    monkeypatch.setattr(run_index, "HOT_BYTES", 3000)
+    monkeypatch.setattr(run_index, "BUCKET_WINDOWS", 500)
+    assert Counter(tuple(r) for r in run_index.digest(docs).collect()) == expected
+
+
 def test_matching_statistics_small():
     rng = random.Random(1)
     for _ in range(60):
