@@ -381,10 +381,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = scratch.write(anchored.groupBy("tid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), *map(one, ("x", "n", "sha", "hs", "starts", "ends"))), "zstd")
 
     each = texts.select("tid", F.posexplode("hs").alias("i", "h"))
-    often = each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    # A table of its own, so that both sides of the join are exchanged and a hot hash can be split.
+    often = scratch.write(each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"))
     shared = each.join(often, "h").groupBy("tid").agg(F.sort_array(F.collect_list("i")).alias("at"))
     pick = lambda c: F.transform("at", lambda i: F.get(F.col(c), i)).alias(c)
     wanted = scratch.write(texts.join(shared, "tid").select("copies", "tid", F.col("rep").alias("rep"), F.col("x").alias("wx"), pick("hs"), pick("starts"), pick("ends")), "zstd")
+    scratch.drop(often)
 
     with_text = rows.withColumn("x", F.xxhash64("text")).join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("x") == F.col("wx")))
     with_text = scratch.write(with_text.select("tid", "copies", "text", "hs", "starts", "ends").mapInPandas(_name, NAMED), "zstd")
