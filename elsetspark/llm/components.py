@@ -23,9 +23,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return flat.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = (now["n"], now["x"])
         both = flat.unionByName(flat.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Minima in a table of their own: then both sides of the join are exchanged and a hub can be split.
+        least = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = scratch.write(large)
+        scratch.drop(least)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         last, flat = flat, scratch.write(small.distinct())
