@@ -27,7 +27,7 @@ def digests(series: DataFrame) -> DataFrame:
 
 def temporal_split(events: DataFrame, seed: int = 0) -> dict[int, str]:
     """events: norad_id, orbit_class, era, n. Per class, objects with the fewest eligible eras first, each into the
-    eligible era with the greatest deficit. On the driver: one row an object and era."""
+    eligible era with the greatest deficit against what the class has placed so far. On the driver: one row an object and era."""
     rows = events.where("era is not null").collect()
     by: dict[str, dict[int, Counter]] = {}
     for r in rows:
@@ -35,10 +35,11 @@ def temporal_split(events: DataFrame, seed: int = 0) -> dict[int, str]:
     out: dict[int, str] = {}
     for name in ORBIT_CLASSES:
         objects = by.get(name, {})
-        total, held = sum(sum(c.values()) for c in objects.values()) or 1, [0, 0, 0]
+        total, held = 0, [0, 0, 0]
         for norad, eras in sorted(objects.items(), key=lambda kv: (len(kv[1]), -sum(kv[1].values()), bench.tiebreak(seed, kv[0]))):
             k = max(sorted(eras), key=lambda e: (bench.RATIOS[e] * total - held[e], -e))
             held[k] += eras[k]
+            total += eras[k]
             out[norad] = ("train", "val", "test")[k]
     return out
 

@@ -215,8 +215,8 @@ y AS (SELECT x.norad_id, greatest(6 * greatest(1.4826 * median(abs(da - ma)), 1e
     "agg_confusion": f"WITH RECURSIVE {SCORED}, x AS (SELECT rk.orbit_class, true_type, type FROM rk JOIN cc USING (orbit_class) WHERE cum_fp <= sat_years AND outcome = 'tp_above') SELECT c.orbit_class, a.true_type, b.predicted_type, count(x.type) AS n FROM cls c CROSS JOIN (SELECT unnest(['in-track', 'cross-track', 'radial']) AS true_type) a CROSS JOIN (SELECT unnest(['in-track', 'cross-track', 'radial']) AS predicted_type) b LEFT JOIN x ON x.orbit_class = c.orbit_class AND x.true_type = a.true_type AND x.type = b.predicted_type GROUP BY 1, 2, 3",
     "agg_pooled_recall": f"WITH RECURSIVE {POINTS} SELECT {rnd('coalesce(sum(tp_above) / sum(n_above), 0)')} AS pooled, {rnd('coalesce(avg(CASE WHEN n_above > 0 THEN tp_above / n_above END), 0)')} AS macro FROM pt WHERE rate = 1.0",
     "fn_wilson": f"SELECT user_id, {rnd(wilson('k', 'n')[0])} AS lo, {rnd(wilson('k', 'n')[1])} AS hi FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS k, count(*) AS n FROM events GROUP BY 1)",
-    "bench_temporal_eras": f"""WITH {LAB}, o AS (SELECT window_start, row_number() OVER (ORDER BY window_start) - 1 AS k, count(*) OVER () AS n FROM lab),
-c AS (SELECT max(window_start) FILTER (WHERE k = least(CAST(floor(0.70::DOUBLE * n) AS BIGINT), n - 1)) AS c1, max(window_start) FILTER (WHERE k = least(CAST(floor(0.85::DOUBLE * n) AS BIGINT), n - 1)) AS c2 FROM o)
+    "bench_temporal_eras": f"""WITH {LAB}, o AS (SELECT epoch, row_number() OVER (ORDER BY epoch) - 1 AS k, count(*) OVER () AS n FROM lab WHERE norad_id IS NOT NULL),
+c AS (SELECT max(epoch) FILTER (WHERE k = least(CAST(floor(0.70::DOUBLE * n) AS BIGINT), n - 1)) AS c1, max(epoch) FILTER (WHERE k = least(CAST(floor(0.85::DOUBLE * n) AS BIGINT), n - 1)) AS c2 FROM o)
 SELECT label_id, CAST(CASE WHEN window_start < c1 - {DAY} THEN 0 WHEN window_start > c1 + {DAY} AND window_start < c2 - {DAY} THEN 1 WHEN window_start > c2 + {DAY} THEN 2 END AS INTEGER) AS era FROM lab, c""",
     "win_overlap_islands": f"WITH {LAB}, q AS (SELECT *, CASE WHEN window_start <= max(window_end) OVER (ORDER BY window_start, window_end, label_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM lab) SELECT label_id, CAST(sum(fresh) OVER (ORDER BY window_start, window_end, label_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM q",
     "graph_components": f"""WITH RECURSIVE {LAB}, q AS (SELECT norad_id, window_start, CASE WHEN window_start <= max(window_start + 60000000) OVER (ORDER BY window_start, label_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh, label_id FROM lab WHERE norad_id IS NOT NULL),

@@ -15,10 +15,9 @@ from elsetspark.cli import main as cli
 from elsetspark.constants import ORBIT_CLASSES
 from elsetspark.functions.sgp4 import sane_at_epoch
 from elsetspark.functions.stats import bin_of
-from elsetspark.operators import bench, calibrate, evaluate, features, labels, series
+from elsetspark.operators import bench, calibrate, evaluate, features, labels, learned, partition, series
 from elsetspark.operators.detect import detect_rule, prepared
-from elsetspark.plans import oracle
-from elsetspark.plans.queries import QUERIES
+from elsetspark.plans import QUERIES, SQL
 from elsetspark.sources import documents, notices, omm, tle
 
 SF = "/root/testdata/sf0.001"
@@ -44,8 +43,8 @@ def norm(rows, cols):
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
-    if name in oracle.SQL:
-        rel = duck.sql(oracle.SQL[name])
+    if name in SQL:
+        rel = duck.sql(SQL[name])
         assert sorted(df.columns) == sorted(rel.columns)
         assert norm(rows, df.columns) == norm(rel.fetchall(), list(rel.columns))
     else:
@@ -295,6 +294,63 @@ def test_temporal_split(spark):
     assert len(got) == 30 and all(any(r[0] == k and ("train", "val", "test")[r[2]] == s for r in rows) for k, s in got.items())
 
 
+def test_temporal_split_follows_what_is_placed(spark):
+    """The first object of a class finds no deficit and goes to the earliest era it has; the next goes to the emptiest one."""
+    rows = [(1, "LEO", 0, 9), (1, "LEO", 2, 1), (2, "LEO", 0, 4), (2, "LEO", 2, 4)]
+    got = evaluate.temporal_split(spark.createDataFrame(rows, "norad_id long, orbit_class string, era int, n int"))
+    assert got == {1: "train", 2: "test"}
+
+
+def test_era_cuts_need_objects_and_two_times(spark):
+    rows = spark.createDataFrame([(1, 10), (1, 20), (None, 1), (None, 2)], "norad_id long, epoch long")
+    assert bench.era_cuts(rows, (0.0, 0.5)) == (10, 20)
+    with pytest.raises(ValueError):
+        bench.era_cuts(rows.where("norad_id is null"))
+    with pytest.raises(ValueError):
+        bench.era_cuts(rows.where("epoch <= 10"))
+
+
+def test_stratified_split_balances_classes():
+    found = [(k, {"LEO": 4}) for k in range(20)] + [(100 + k, {"GEO": 1}) for k in range(20)]
+    got = bench.pack_stratified(found, seed=1)
+    assert got == bench.pack_stratified(found[::-1], seed=1)
+    for base in (0, 100):
+        held = [sum(got[base + k] == s for k in range(20)) for s in ("train", "val", "test")]
+        assert held == [14, 3, 3]
+
+
+def test_learned_detector_inverts_at_peaks(spark):
+    """A scorer that knows the gap: the step of a burn comes back as its velocity change."""
+    rows = spark.createDataFrame(synthetic(5, burns=[(60, "in-track", 0.5)], noise=0.1), "norad_id long, t long, a double, e double, inc double, raan double, argp double")
+    encoded = features.channels(rows)
+    known = lambda tokens: tokens.select("norad_id", "idx", F.when(F.col("idx").isin(60, 61), 1 - F.abs(F.col("idx") - 60) / 10).otherwise(0.0).alias("p"))
+    got = learned.detect_learned(rows, features.class_quartiles(encoded), known).collect()
+    assert [(r["t_before"], r["t_after"], r["type"], r["confidence"]) for r in got] == [(START + 59 * DAY, START + 60 * DAY, "in-track", 1.0)]
+    assert abs(got[0]["delta_v_estimate"] - 0.5) < 0.03
+
+
+def test_steps_near_the_ends(spark):
+    rows = learned.aligned_elements(features.channels(spark.createDataFrame(synthetic(6, n=12), "norad_id long, t long, a double, e double, inc double, raan double, argp double")))
+    own = [r["a"] for r in rows.orderBy("idx").collect()]
+    got = {r["idx"]: r for r in learned.around(rows, rows.where("idx > 0").select("norad_id", "idx")).collect()}
+    assert [got[k]["width"] for k in range(1, 12)] == [1, 2, 3, 4, 4, 4, 4, 4, 3, 2, 1]
+    for k, r in got.items():
+        w, x = r["width"], np.arange(12.0)
+        fit = lambda lo, hi: np.polyval(np.polyfit(x[lo:hi] - k, own[lo:hi], 1), -0.5)  # noqa: B023, E731
+        assert abs(r["step_a"] - (own[k] - own[k - 1] if w < 2 else fit(k, k + w) - fit(k - w, k))) < 1e-6
+        assert abs(r["ref_a"] - np.median(own[max(0, k - 4) : k])) < 1e-9
+
+
+def test_targets_and_weight(spark):
+    tokens = spark.createDataFrame([(1, 10, 0), (1, 20, 1), (1, 30, 2)], "norad_id long, t long, idx int")
+    gaps = spark.createDataFrame([(1, 20), (1, 20), (1, 25)], "norad_id long, t1 long")
+    marked = partition.token_targets(tokens, gaps)
+    assert sorted((r["idx"], r["target"]) for r in marked.collect()) == [(0, 0.0), (1, 1.0), (2, 0.0)]
+    assert [r["t1"] for r in partition.unaligned(tokens, gaps).collect()] == [25]
+    assert partition.positive_weight(marked).first()[0] == 2.0
+    assert partition.positive_weight(marked.where("target = 0")).first()[0] == 1.0
+
+
 def test_manifest(spark):
     s = spark.createDataFrame([(k, at(d), float(d)) for k in (1, 2) for d in (3, 1, 2)], "norad_id long, t long, a double")
     d = evaluate.digests(s)
