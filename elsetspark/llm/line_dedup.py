@@ -38,11 +38,14 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     covered = covered.select("__no", "__id", "__tmd", F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + WIDTH - 1)))).alias("__cov"))
     key = (rows["__id"].eqNullSafe(covered["__id"])) & (rows["__tmd"] == covered["__tmd"]) & (rows["__no"] == covered["__no"])
     out = rows.join(covered.hint("shuffle_hash"), key, "left").select(rows["*"], F.coalesce("__cov", F.array().cast("array<int>")).alias("__cov"))
-    out = out.withColumn("__l", lines)  # a column of its own: inside the lambda below it would be split again for every line
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__l") - 1), "__cov"), lambda i: F.element_at("__l", i + 1))
+    held = "__lines"
+    while held in docs.columns:
+        held += "_"
+    out = out.withColumn(held, lines)  # a column of its own: inside the lambda below it would be split again for every line
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(held) - 1), "__cov"), lambda i: F.element_at(held, i + 1))
     named = {
         "text": F.when(F.size("__cov") > 0, F.array_join(kept, "\n")).otherwise(F.col("text")),
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("__l")).cast("long"),
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(held)).cast("long"),
         "n_removed": F.size("__cov").cast("long"),
     }
     return out.select(*[(named.get(c, F.col(f"`{c}`"))).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")], named["n_lines"].alias("n_lines"), named["n_removed"].alias("n_removed"))
