@@ -4,7 +4,7 @@ The network reads UTF-8 bytes in pieces of PIECE bytes, both ways, labels every
 distribution over the languages, and a document's distribution is the mean over the positions of
 its letters. It is trained in numpy by backpropagation through time (Adam) on windows of a
 bounded sample of labelled rows: about SAMPLE documents a language, chosen by a hash of the text
-over all of the table, and of each at most SAMPLE_CHARS characters from a place that the hash
+over all of the table, each text once, and of each at most SAMPLE_CHARS characters from a place that the hash
 names. Predictions read every byte of every text.
 
 The unit is minimally gated: one gate g, state h' = h + g * (c - h), candidate
@@ -189,6 +189,7 @@ def fit(labelled: DataFrame) -> Network:
     room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
     chosen = usable.where(F.col("lang").isin(languages)).withColumn("h", h).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
     chosen = chosen.select("lang", "h", F.substring(F.col("text"), (F.pmod(F.shiftright("h", 20), room + 1) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+    chosen = chosen.groupBy("h", "lang").agg(F.min("text").alias("text"))  # copies of a text count once, or a large group of them would fill the sample
     rows = sorted((r["h"], r["lang"], r["text"]) for r in chosen.orderBy("h", "lang").limit(2 * SAMPLE * len(languages)).collect())
     return train([t.encode("utf-8", "replace") for _, _, t in rows], [languages.index(k) for _, k, _ in rows], languages)
 

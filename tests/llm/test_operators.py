@@ -475,3 +475,23 @@ def test_decontamination(spark, docs, empty):
 
 def test_sql_texts_are_registered():
     assert set(queries.ORACLES) <= set(queries.QUERIES) and len({re.match(r"op(\d+)_", k)[1] for k in queries.QUERIES}) == 10
+
+
+def test_language_sample_holds_each_text_once(spark, monkeypatch):
+    """A group of copies does not fill the training sample."""
+    held = []
+    monkeypatch.setattr(language_id, "train", lambda texts, labels, languages: held.extend(texts))
+    rows = [(i, "copied words", "en") for i in range(40)] + [(100 + i, f"own words {i}", "en") for i in range(5)] + [(200, None, "en"), (201, "text", None)]
+    language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(held) == sorted([b"copied words", *[f"own words {i}".encode() for i in range(5)]])
+
+
+def test_line_windows_in_long_texts(spark):
+    """Many lines on either side of a covered passage are kept in order."""
+    shared = ["one", "two", "three"]
+    own = [[f"{d} line {i}" for i in range(3000)] for d in "ab"]
+    rows = [(1, "\n".join([*shared, *own[0]]), "x"), (2, "\n".join([*own[1][:1500], *shared, *own[1][1500:]]), "y")]
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, __lines string")).collect()}
+    assert got[1]["text"] == rows[0][1] and got[1]["n_removed"] == 0
+    assert got[2]["text"] == "\n".join(own[1]) and (got[2]["n_lines"], got[2]["n_removed"]) == (3003, 3)
+    assert got[2]["__lines"] == "y"
