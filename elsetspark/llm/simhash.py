@@ -54,18 +54,24 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of a text."""
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 (uint64) of each shingle of a text, in order."""
     words = text.encode("utf-8", "replace").translate(LOWER).split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum([len(w) + 1 for w in words])
     begins = [0, *ends[: n - 1].tolist()]
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begins, stops, strict=True)), dtype=np.uint64, count=n))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begins, stops, strict=True)), dtype=np.uint64, count=n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of a text."""
+    got = hashes(text, shingle)
+    return majority(got) if len(got) else 0
 
 
 @F.pandas_udf(LongType())

@@ -1,9 +1,13 @@
 """The pipeline: stages keep the columns, decisions take effect, clean documents stay."""
 
+import random
+from collections import defaultdict
+
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from elsetspark.llm import mixing
+from elsetspark.llm import mixing, near_copies
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -56,3 +60,48 @@ def test_nulls_in_every_column(spark, tmp_path):
     spark.createDataFrame([(1, "x"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["text"] for r in out} <= {"some words here that stay", "other words of some text"}
+
+
+def test_near_copies_against_brute_force(spark):
+    """Groups are those of all pairs of five-word shingle sets with similarity 0.8 or more, in few and in many sets a shingle."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    base, passage, rows = fresh(200), fresh(40), []
+    for i in range(60):  # about 0.75 to 0.95 from the base, and so among themselves at times
+        near = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            near[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(near)))
+    for i in range(60, 110):
+        rows.append((i, " ".join([*fresh(rng.randrange(1, 60)), *passage, *fresh(rng.randrange(1, 30))])))
+    for i in range(110, 150):
+        near = rows[i - 90][1].split()
+        at = rng.randrange(len(near))
+        rows.append((i, " ".join([*near[:at], "inserted", *near[at:]])))
+    rows += [(200, None), (201, ""), (202, "two words"), (203, "TWO  words"), (204, "other two"), (None, "two words"), (202, "two words")]
+    sets = [near_copies.shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(set(a.tolist()) & set(b.tolist()))
+            if both * 5 >= 4 * (len(a) + len(b) - both):
+                root = [root[j] if r == root[i] else r for r in root]
+    groups = defaultdict(list)
+    for (i, _), r in zip(rows, root, strict=True):
+        groups[r].append(float("inf") if i is None else i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in near_copies.one_per_group(docs).collect())
+    assert got == sorted(min(g) for g in groups.values())
+    assert 5 < len(got) < 130
+
+
+def test_prefixes_of_sets_alike_meet():
+    rng = np.random.default_rng(4)
+    for n in range(1, 80):
+        own = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for k in range(len(own)):
+            other = np.unique(np.concatenate([own[k:], rng.integers(0, 2**63, rng.integers(0, 9)).astype(np.uint64)]))
+            common = np.sort(rng.choice(own, len(own) // 2, replace=False))
+            often = rng.integers(1, 9, len(common))
+            if near_copies.alike(own, other):
+                assert set(near_copies.prefix(own, common, often).tolist()) & set(near_copies.prefix(other, common, often).tolist())
