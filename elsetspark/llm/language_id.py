@@ -180,11 +180,12 @@ def predict(net: Network, texts: list[str | None]) -> tuple[list[str], list[floa
 def fit(labelled: DataFrame) -> Network:
     """Network from a bounded sample of labelled: text, lang. Only the sample reaches the driver."""
     usable = labelled.where("text is not null and lang is not null").select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    h = F.xxhash64("text", F.lit(SEED))
+    # Distinct texts, or a language of few texts beside a large group of copies would get a share of its rows and hardly a text.
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.countDistinct(h).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(counts)
     if not languages:
         return Network([], *[np.zeros(0)] * 4)
-    h = F.xxhash64("text", F.lit(SEED))
     share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, SAMPLE / counts[k]))]), F.col("lang"))
     room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
     chosen = usable.where(F.col("lang").isin(languages)).withColumn("h", h).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))

@@ -495,3 +495,13 @@ def test_line_windows_in_long_texts(spark):
     assert got[1]["text"] == rows[0][1] and got[1]["n_removed"] == 0
     assert got[2]["text"] == "\n".join(own[1]) and (got[2]["n_lines"], got[2]["n_removed"]) == (3003, 3)
     assert got[2]["__lines"] == "y"
+
+
+def test_language_sample_is_whole_beside_copies(spark, monkeypatch):
+    """A group of copies does not make the share of its language's other texts smaller."""
+    held = []
+    monkeypatch.setattr(language_id, "train", lambda texts, labels, languages: held.extend(zip(texts, labels, strict=True)))
+    copies = spark.range(40000).select(F.lit("copied words").alias("text"), F.lit("en").alias("lang"))
+    own = spark.range(200).select(F.concat(F.lit("own words "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    language_id.fit(copies.unionByName(own))
+    assert len(held) == 201
