@@ -3,14 +3,15 @@
 The network reads UTF-8 bytes in pieces of PIECE bytes, both ways, labels every position with a
 distribution over the languages, and a document's distribution is the mean over the positions of
 its letters. It is trained in numpy by backpropagation through time (Adam) on windows of a
-bounded sample of labelled rows: about SAMPLE documents a language, chosen by a hash of the text
-over all of the table, each text once, and of each at most SAMPLE_CHARS characters from a place that the hash
-names. Predictions read every byte of every text.
+sample of labelled rows: about SAMPLE documents a language (of more than MANY languages fewer,
+LEAST at least), chosen by a hash of the text over all of the table, each text once, and of each at most SAMPLE_CHARS characters from a place that the hash
+names. Every language that a labelled row names is learned. Predictions read every byte of every text.
 
 The unit is minimally gated: one gate g, state h' = h + g * (c - h), candidate
 c = tanh(x + g * (U h)).
 
-Memory: a batch of texts, cut to matrices of BATCH pieces at a time.
+Memory: a batch of texts, cut to matrices of BATCH pieces at a time (of fewer with more than MANY
+languages); the driver holds the sample.
 
 Defined cases: texts that are null or have no letter get `und` and score 0; ties go to the
 language first in order; with no labelled rows nothing is learned and every text is `und`;
@@ -30,7 +31,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import small_batches
 
-SAMPLE, SAMPLE_CHARS, MOST_LANGUAGES = 250, 3000, 200
+SAMPLE, SAMPLE_CHARS, MANY, LEAST = 250, 3000, 200, 20
 HIDDEN, PIECE, BATCH, STEPS, TRAIN_BATCH, TRAIN_PIECE, RATE, SEED = 12, 64, 2048, 260, 256, 32, 0.02, 7
 UNKNOWN = "und"
 LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
@@ -150,6 +151,7 @@ def predict(net: Network, texts: list[str | None]) -> tuple[list[str], list[floa
         return names, scores
     usable = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))]
     pooled, letters = np.zeros((len(texts), len(net.languages))), np.zeros(len(texts))
+    most = max(1, BATCH * MANY // max(MANY, len(net.languages)))
     waiting: list[np.ndarray] = []
     owners: list[int] = []
 
@@ -167,7 +169,7 @@ def predict(net: Network, texts: list[str | None]) -> tuple[list[str], list[floa
         for row in cut:
             waiting.append(row)
             owners.append(i)
-            if len(waiting) == BATCH:
+            if len(waiting) == most:
                 label()
     if waiting:
         label()
@@ -182,17 +184,19 @@ def fit(labelled: DataFrame) -> Network:
     usable = labelled.where("text is not null and lang is not null").select("text", "lang")
     h = F.xxhash64("text", F.lit(SEED))
     # Distinct texts, or a language of few texts beside a large group of copies would get a share of its rows and hardly a text.
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.countDistinct(h).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.countDistinct(h).alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return Network([], *[np.zeros(0)] * 4)
-    share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, SAMPLE / counts[k]))]), F.col("lang"))
+    each = min(SAMPLE, max(LEAST, SAMPLE * MANY // len(languages)))
+    shares = labelled.sparkSession.createDataFrame([(k, min(1.0, each / counts[k])) for k in languages], "lang string, share double")
     room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
-    chosen = usable.where(F.col("lang").isin(languages)).withColumn("h", h).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
+    chosen = usable.join(F.broadcast(shares), "lang").withColumn("h", h).where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     chosen = chosen.select("lang", "h", F.substring(F.col("text"), (F.pmod(F.shiftright("h", 20), room + 1) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     chosen = chosen.groupBy("h", "lang").agg(F.min("text").alias("text"))  # copies of a text count once, or a large group of them would fill the sample
-    rows = sorted((r["h"], r["lang"], r["text"]) for r in chosen.orderBy("h", "lang").limit(2 * SAMPLE * len(languages)).collect())
-    return train([t.encode("utf-8", "replace") for _, _, t in rows], [languages.index(k) for _, k, _ in rows], languages)
+    rows = sorted((r["h"], r["lang"], r["text"]) for r in chosen.orderBy("h", "lang").limit(2 * each * len(languages)).collect())
+    number = {k: i for i, k in enumerate(languages)}
+    return train([t.encode("utf-8", "replace") for _, _, t in rows], [number[k] for _, k, _ in rows], languages)
 
 
 def identify(docs: DataFrame, net: Network) -> DataFrame:

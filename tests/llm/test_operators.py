@@ -505,3 +505,10 @@ def test_language_sample_is_whole_beside_copies(spark, monkeypatch):
     own = spark.range(200).select(F.concat(F.lit("own words "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
     language_id.fit(copies.unionByName(own))
     assert len(held) == 201
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "train", lambda texts, labels, languages: (labels, languages))
+    rows = [(f"text {i} {k}", f"l{k:03}") for k in range(230) for i in range(2)]
+    labels, languages = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert languages == [f"l{k:03}" for k in range(230)] and sorted(labels) == sorted(2 * list(range(230)))
