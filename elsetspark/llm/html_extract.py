@@ -5,8 +5,8 @@ root-to-leaf path of block-level tags. Blocks below navigation, headers, footers
 and elements whose class or id names boilerplate never count. For every path, text length and
 punctuation are aggregated over its blocks, both ratios are smoothed along the page, fused with
 the share of text outside links, and paths above a threshold give the content nodes. Their common
-container is the article: all blocks in it belong to the text; where only body holds them all,
-the chosen paths and headings do.
+container is the article: all blocks in it belong to the text; where it is no article or main
+element, the chosen paths and headings outside it do too.
 
 Defined cases: null or empty html, and pages without content, give an empty text; unclosed tags
 and truncated pages are read as far as they go; repeated rows each get their text; an empty table
@@ -210,10 +210,10 @@ def main_text(page: str | None) -> str:
     marked = [e for e in inner if depth[e][1] in ("article", "main")]
     if marked:
         root = max(marked, key=lambda e: depth[e][0])
-    if root is not None:
+    if marked:
         kept = [text for text, _, elements, _ in found if root in elements]
     else:
-        kept = [text for text, path, _, linked in found if path in chosen or re.match(r"h[1-6]\b", path[-1] if path else "") and linked < len(text)]
+        kept = [text for text, path, elements, linked in found if root in elements or path in chosen or re.match(r"h[1-6]\b", path[-1] if path else "") and linked < len(text)]
     return "\n".join(kept)
 
 

@@ -512,3 +512,10 @@ def test_every_language_is_learned(spark, monkeypatch):
     rows = [(f"text {i} {k}", f"l{k:03}") for k in range(230) for i in range(2)]
     labels, languages = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
     assert languages == [f"l{k:03}" for k in range(230)] and sorted(labels) == sorted(2 * list(range(230)))
+
+
+def test_html_without_article_keeps_what_is_outside_the_largest_container():
+    long = "".join(f"<p>A long sentence, number {i}, with some words and points.</p>" for i in range(17))
+    page = f"<body><div class=wrap><h1>Title</h1><div class=one>{long}</div><div class=two>{long[: len(long) // 17 * 3]}</div></div></body>"
+    lines = html_extract.main_text(page).split("\n")
+    assert lines[0] == "Title" and sum(x.startswith("A long sentence, number 1,") for x in lines) == 2
