@@ -519,3 +519,11 @@ def test_html_without_article_keeps_what_is_outside_the_largest_container():
     page = f"<body><div class=wrap><h1>Title</h1><div class=one>{long}</div><div class=two>{long[: len(long) // 17 * 3]}</div></div></body>"
     lines = html_extract.main_text(page).split("\n")
     assert lines[0] == "Title" and sum(x.startswith("A long sentence, number 1,") for x in lines) == 2
+
+
+def test_html_attributes_are_compared_whole():
+    text = "A sentence with some words, and a point."
+    for attribute in ('title="the hidden valley"', 'data-overflow="hidden"', 'data-testid="ad"', "title='id=ad'", "aria-label=hidden"):
+        assert html_extract.main_text(f"<article><div {attribute}><p>{text}</p></div></article>") == text
+    for attribute in ("hidden", 'HIDDEN=""', 'id="ad"', "x=1 class = 'nav'", 'title="a" aria-hidden="true"'):
+        assert html_extract.main_text(f"<article><div {attribute}><p>other</p></div><p>{text}</p></article>") == text
