@@ -258,6 +258,12 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(verifier(radius), "a long, b long")
 
 
+def rooted(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+    """distinct (fp, more columns) with root, the smallest fingerprint that it is linked to."""
+    found = components(links(distinct, radius), scratch)
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id of every row of docs (doc_id, text)."""
     if radius != RADIUS:
@@ -265,10 +271,9 @@ def group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     marked = scratch.write(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
     distinct = scratch.write(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(distinct, radius), scratch)
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    placed = rooted(distinct, scratch, radius)
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = placed.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -279,9 +284,7 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     marked = scratch.write(fingerprints(docs.withColumns(keys_).select("__id", "__x", "text")).select("__id", "__x", "fp"))
     order = F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__x").alias("x"))
     distinct = scratch.write(marked.groupBy("fp").agg(F.min(order).alias("first")))
-    found = components(links(distinct), scratch)
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
-    kept = scratch.write(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("k_id"), F.col("first.x").alias("k_x")))
+    kept = scratch.write(rooted(distinct, scratch).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("k_id"), F.col("first.x").alias("k_x")))
     rows = docs.withColumns(keys_)
     out = rows.join(kept.hint("shuffle_hash"), rows["__id"].eqNullSafe(kept["k_id"]) & (rows["__x"] == kept["k_x"]), "left_semi")
     again = marked.groupBy("__id", "__x").count().where("count > 1").join(kept, F.col("__id").eqNullSafe(F.col("k_id")) & (F.col("__x") == F.col("k_x")), "left_semi")

@@ -105,3 +105,17 @@ def test_prefixes_of_sets_alike_meet():
             often = rng.integers(1, 9, len(common))
             if near_copies.alike(own, other):
                 assert set(near_copies.prefix(own, common, often).tolist()) & set(near_copies.prefix(other, common, often).tolist())
+
+
+def test_sketches_never_rule_out_sets_alike():
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for n in [*range(0, 40), 100, 500, 513, 3000]:
+        own = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for part in (0.0, 0.05, 0.1, 0.12, 0.2, 0.5, 1.0):
+            k = int(part * len(own))
+            other = np.unique(np.concatenate([own[k:], rng.integers(0, 2**63, int(rng.integers(0, k + 1))).astype(np.uint64)]))
+            may = near_copies.may_be_alike(len(own), near_copies.sketch(own), len(other), near_copies.sketch(other))
+            assert may or not near_copies.alike(own, other)
+            ruled_out += not may
+    assert ruled_out > 60
