@@ -1,16 +1,23 @@
 """Main text of HTML pages by tag-path ratios.
 
 A page is parsed to blocks: runs of text between block-level tags, in page order, each with its
-root-to-leaf path of block-level tags. Blocks below navigation, headers, footers, asides, forms
-and elements whose class or id names boilerplate never count. For every path, text length and
-punctuation are aggregated over its blocks, both ratios are smoothed along the page, fused with
-the share of text outside links, and paths above a threshold give the content nodes. Their common
-container is the article: all blocks in it belong to the text; where it is no article or main
-element, the chosen paths and headings outside it do too.
+root-to-leaf path of block-level tags and their first class. For every path, text length and
+punctuation are aggregated over its blocks; both ratios are smoothed along the page, so that a
+short heading between paragraphs rises and a line of a menu does not, and fused with the share of
+text outside links and with a prior of the path's elements. A path whose score reaches THRESHOLD
+of the score of the weightiest path is chosen. The deepest element with most of the chosen text is
+the article; in it a path needs INSIDE of that score only, as tables, captions and headings are
+short. Outside it chosen paths and headings stay, unless it is an article or main element.
+
+The prior only lowers a score. STRONG: elements whose tag, role or whole class token means a menu,
+header, footer, sidebar, notice, advert, form or comments; a path with one never sets the measure.
+WEAK: class tokens with such a word beside an unknown one (`related-work`, `ad-free`): good prose
+in them stays. A form that holds most of the page's text is no form in this sense.
 
 Defined cases: null or empty html, and pages without content, give an empty text; unclosed tags
-and truncated pages are read as far as they go; repeated rows each get their text; an empty table
-gives an empty result; extra columns are kept, and columns named like the added ones replaced.
+and truncated pages are read as far as they go, nesting of any depth in linear time and memory;
+repeated rows each get their text; an empty table gives an empty result; extra columns are kept,
+and columns named like the added ones replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,67 +41,115 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("ul ol dl table div article section main body html".split())
-NEVER = frozenset("nav footer aside form button menu dialog label fieldset".split())
-ALWAYS_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu sidebar breadcrumb breadcrumbs cookie cookies consent gdpr comment comments disqus replies share sharing social related recommended newsletter subscribe signup login popup modal overlay widget pagination pager skip".split())
+MARKED = frozenset("nav footer aside form button menu dialog label fieldset".split())
+ALWAYS_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu sidebar breadcrumb breadcrumbs cookie cookies consent gdpr comment comments disqus replies share sharing social related recommended newsletter subscribe signup login popup modal overlay widget widgets pagination pager skip".split())
 OFTEN_WORDS = frozenset("header masthead footer banner notice notices alert toolbar form search tags meta aside legal copyright".split())
 CONTENT_WORDS = frozenset("article content post entry story main body text page".split())
+LAYOUT_WORDS = frozenset("area bar bottom box block btn button buttons container footer global group header inner item items left link links list module outer panel posts primary right secondary section side site slot thread top unit wrap wrapper zone".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-CONTAINERS = frozenset("article main body div section td".split())
+CONTAINERS = frozenset("article main body div section td form".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
-THRESHOLD = 0.2
-
-
-def _boilerplate(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
-    """Whether an element is boilerplate by itself, and its class for the path. inside: in an article or main."""
-    name = ""
-    if tag in NEVER or tag == "header" and not inside:
-        return True, name
-    if attributes:
-        for key, value in ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), value.strip("\"'").lower()
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-                return tag not in ("html", "body"), name
-            if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return tag not in ("html", "body"), name
-            if key in ("class", "id"):
-                words = set(re.split(r"[^a-z0-9]+", value))
-                if tag not in ("html", "body", "article", "main") and (words & ALWAYS_WORDS or words & OFTEN_WORDS and not words & CONTENT_WORDS):
-                    return True, name
-                if key == "class":
-                    name = "." + value.split(" ")[0] if value else ""
-    return False, name
-
-
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], int]]:
-    """(text, path, elements, characters in links) of each block outside boilerplate, in page order."""
-    out: list = []
-    stack: list = []  # (tag, path name, number, boilerplate)
+THRESHOLD, INSIDE, STRONG, WEAK, MOST = 0.35, 0.04, 0.01, 0.25, 0.8
+
+
+def _token_prior(token: str) -> float:
+    """Prior of one class or id token: by its words, and whether all of them are known."""
+    words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+    if any(w in ALWAYS_WORDS for w in words):
+        known = ALWAYS_WORDS | OFTEN_WORDS | LAYOUT_WORDS | CONTENT_WORDS
+        return STRONG if all(w in known or w.isdigit() for w in words) else WEAK
+    if any(w in OFTEN_WORDS for w in words) and not any(w in CONTENT_WORDS for w in words):
+        return STRONG if all(w in OFTEN_WORDS or w in LAYOUT_WORDS or w.isdigit() for w in words) else WEAK
+    return 1.0
+
+
+def _prior(tag: str, attributes: str, inside: bool) -> tuple[float, str]:
+    """Prior of an element (0: not shown at all), and its class for the path. inside: in an article or main."""
+    prior, name = STRONG if tag in MARKED or tag == "header" and not inside else 1.0, ""
+    root = tag in ("html", "body")
+    for key, value in ATTRIBUTE.findall(attributes) if attributes else ():
+        key, value = key.lower(), value.strip("\"'").lower()
+        if not root and (key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+            return 0.0, name
+        if key == "role" and value in ROLES and not root:
+            prior = min(prior, STRONG)
+        if key in ("class", "id"):
+            tokens = value.split()
+            if tag not in ("html", "body", "article", "main"):
+                prior = min([prior, *map(_token_prior, tokens)])
+            if key == "class" and tokens:
+                name = "." + tokens[0]
+    return prior, name
+
+
+class Tree:
+    """Block-level elements of a page by number: parent, depth, tag, prior, path. The path of equal tags and classes below an equal path is one number."""
+
+    def __init__(self):
+        self.parent, self.depth, self.tag, self.own, self.path = [-1], [0], [""], [1.0], [0]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.leaf = [""]  # tag that a path ends with
+
+    def add(self, parent: int, tag: str, name: str, prior: float) -> int:
+        key = (self.path[parent], tag + name)
+        if key not in self.paths:
+            self.paths[key] = len(self.leaf)
+            self.leaf.append(tag)
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        self.tag.append(tag)
+        self.own.append(prior)
+        self.path.append(self.paths[key])
+        return len(self.parent) - 1
+
+
+def blocks(page: str) -> tuple[list[tuple[str, int, int]], Tree]:
+    """(text, element, characters in links) of each block that is shown, in page order, and the elements."""
+    out: list[tuple[str, int, int]] = []
+    tree = Tree()
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, element around or of it, not shown, a block of its own
+    opened: Counter = Counter()  # by tag
+    inline: list[Counter] = [Counter()]  # of inline tags since the innermost block-level one
     said: list[str] = []
-    linked = links = number = at = 0
-    skipped = inside = 0
+    linked = skipped = at = 0
+
+    def here() -> int:
+        return stack[-1][1] if stack else 0
 
     def flush() -> None:
         nonlocal linked
         if said:
             text = " ".join("".join(said).split())
             if text and not skipped:
-                out.append((text, tuple(x[1] for x in stack if x[1]), tuple(x[2] for x in stack if x[1]), linked))
+                out.append((text, here(), linked))
             said.clear()
         linked = 0
 
     def close(to: int) -> None:
-        nonlocal skipped, inside, links
+        nonlocal skipped
         while len(stack) > to:
-            tag, _, _, own = stack[-1]
-            if tag in BLOCK or own:
+            tag, _, gone, alone = stack[-1]
+            if alone:
                 flush()
             stack.pop()
-            skipped -= own
-            inside -= tag in ("article", "main")
-            links -= tag == "a"
+            skipped -= gone
+            opened[tag] -= 1
+            if tag in BLOCK:
+                inline.pop()
+            else:
+                inline[-1][tag] -= 1
+
+    def close_nearest(tags: set[str] | frozenset[str], until: frozenset[str]) -> bool:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in tags:
+                close(k)
+                return True
+            if stack[k][0] in until:
+                return False
+        return False
 
     def say(text: str) -> None:
         nonlocal linked
@@ -102,7 +157,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], int]]
             if "&" in text:
                 text = entities.unescape(text)
             said.append(text)
-            if links:
+            if opened["a"]:
                 linked += len(text.strip())
 
     size, find = len(page), TOKEN.search
@@ -119,15 +174,13 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], int]]
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and not any(x[0] == "p" for x in stack):
-                flush()
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK and tag not in BLOCK:
-                    break
+            if not opened[tag]:
+                if tag == "p":
+                    flush()
+            elif tag in BLOCK:
+                close_nearest({tag}, frozenset())
+            elif inline[-1][tag]:
+                close_nearest({tag}, BLOCK)
             continue
         if tag in RAW:
             if tag == "head":
@@ -143,77 +196,89 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], int]]
             elif tag in ("br", "wbr", "img"):
                 said.append(" " if tag != "wbr" else "")
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in SCOPE:
-                    break
-        if tag in SIBLINGS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SIBLINGS[tag]:
-                    close(k)
-                    if tag != "tr" or not any(x[0] == "tr" for x in stack):
-                        break
-                elif stack[k][0] in SCOPE:
-                    break
-        own, name = _boilerplate(tag, m[3], inside > 0)
-        if tag in BLOCK or own:
+        if tag in CLOSES_P and opened["p"]:
+            close_nearest({"p"}, SCOPE)
+        if tag in SIBLINGS and any(opened[x] for x in SIBLINGS[tag]):
+            while close_nearest(SIBLINGS[tag], SCOPE) and tag == "tr" and opened["tr"]:
+                pass
+        prior, name = _prior(tag, m[3], opened["article"] + opened["main"] > 0)
+        gone, element = prior == 0.0, here()
+        alone = tag in BLOCK or prior <= STRONG
+        if alone:
             flush()
-        number += 1
-        stack.append((tag, tag + name if tag in BLOCK else "", number, own))
-        skipped += own
-        inside += tag in ("article", "main")
-        links += tag == "a"
+            element = tree.add(element, tag, name, prior)
+        if tag in BLOCK:
+            inline.append(Counter())
+        else:
+            inline[-1][tag] += 1
+        stack.append((tag, element, gone, alone))
+        opened[tag] += 1
+        skipped += gone
     close(0)
     flush()
-    return out
+    return out, tree
 
 
 def _smooth(values: list[float]) -> list[float]:
     n = len(values)
-    return [(values[max(i - 1, 0)] + 2 * v + values[min(i + 1, n - 1)]) / 4 for i, v in enumerate(values)]
+    return [(values[max(i - 1, 0)] + 4 * v + values[min(i + 1, n - 1)]) / 6 for i, v in enumerate(values)]
+
 
+def _held(found: list[tuple[str, int, int]], tree: Tree, counted: list[bool]) -> list[int]:
+    """Characters of the counted blocks below each element; children have larger numbers than their parents."""
+    held = [0] * len(tree.parent)
+    for (text, element, _), yes in zip(found, counted, strict=True):
+        held[element] += len(text) * yes
+    for e in range(len(held) - 1, 0, -1):
+        held[tree.parent[e]] += held[e]
+    return held
 
-def main_text(page: str | None) -> str:
-    found = blocks(page) if page else []
+
+def main_text(page: str | None, threshold: float = THRESHOLD, inside: float = INSIDE) -> str:
+    found, tree = blocks(page) if page else ([], None)
     if not found:
         return ""
-    total: dict = defaultdict(lambda: [0, 0, 0, 0])
-    for text, path, _, linked in found:
-        t = total[path]
-        t[0] += len(text)
-        t[1] += len(PUNCTUATION.findall(text))
-        t[2] += 1
-        t[3] += min(linked, len(text))
-    length = _smooth([math.log1p(total[p][0] / total[p][2]) for _, p, _, _ in found])
-    points = _smooth([total[p][1] / total[p][2] for _, p, _, _ in found])
-    fused: dict = defaultdict(list)
-    for (_, path, _, _), a, b in zip(found, length, points, strict=True):
-        fused[path].append(a * (1 + math.log1p(b)))
-    score = {p: sum(v) / len(v) * math.log1p(total[p][0]) * (1 - total[p][3] / max(1, total[p][0])) for p, v in fused.items()}
-    most = max(score.values())
-    chosen = {p for p, v in score.items() if v >= THRESHOLD * most and v > 0}
-    # The deepest element that holds most of the chosen paths' text is the article.
-    weight: dict[int, int] = defaultdict(int)
-    depth: dict[int, tuple[int, str]] = {}
-    whole = 0
-    for text, path, elements, _ in found:
-        if path in chosen:
-            whole += len(text)
-            for d, e in enumerate(elements if path and path[-1].split(".")[0] in CONTAINERS else elements[:-1]):
-                weight[e] += len(text)
-                depth[e] = (d, path[d].split(".")[0])
-    inner = [e for e, w in weight.items() if w >= 0.8 * whole and depth[e][1] not in ("html", "body")]
-    root = max(inner, key=lambda e: depth[e][0], default=None)
-    marked = [e for e in inner if depth[e][1] in ("article", "main")]
-    if marked:
-        root = max(marked, key=lambda e: depth[e][0])
-    if marked:
-        kept = [text for text, _, elements, _ in found if root in elements]
-    else:
-        kept = [text for text, path, elements, linked in found if root in elements or path in chosen or re.match(r"h[1-6]\b", path[-1] if path else "") and linked < len(text)]
+    held = _held(found, tree, [True] * len(found))
+    prior = [1.0] * len(held)
+    for e in range(1, len(held)):
+        own = tree.own[e] if tree.tag[e] != "form" or 2 * held[e] <= held[0] else 1.0
+        prior[e] = min(prior[tree.parent[e]], own)
+    n_paths = len(tree.leaf)
+    length, points, linked, times = ([0.0] * n_paths for _ in range(4))
+    of = [tree.path[e] for _, e, _ in found]
+    for (text, _, links), p in zip(found, of, strict=True):
+        length[p] += len(text)
+        points[p] += len(PUNCTUATION.findall(text))
+        linked[p] += min(links, len(text))
+        times[p] += 1
+    a = _smooth([math.log1p(length[p] / times[p]) for p in of])
+    b = _smooth([points[p] / times[p] for p in of])
+    fused, likely = [0.0] * n_paths, [1.0] * n_paths
+    for (_, e, _), p, x, y in zip(found, of, a, b, strict=True):
+        fused[p] += x * (1 + math.log1p(y)) / times[p]
+        likely[p] = min(likely[p], prior[e])
+    heading = [re.fullmatch(r"h[1-6]", t) is not None for t in tree.leaf]
+    free = [1 - linked[p] / max(1.0, length[p]) for p in range(n_paths)]
+    score = [fused[p] * likely[p] * (max(free[p], 0.5) if heading[p] else free[p]) for p in range(n_paths)]
+    weighty = max((p for p in set(of) if likely[p] > STRONG), key=lambda p: (score[p] * math.log1p(length[p]), -p), default=None)
+    if weighty is None or not score[weighty]:
+        return ""
+    chosen = [s >= threshold * score[weighty] and s > 0 for s in score]
+    held = _held(found, tree, [chosen[p] for p in of])
+    most = [e for e in range(1, len(held)) if held[e] >= MOST * held[0] and tree.tag[e] in CONTAINERS and tree.tag[e] != "body"]
+    marked = [e for e in most if tree.tag[e] in ("article", "main")]
+    root = max(marked or most, key=lambda e: tree.depth[e], default=0)
+    within = [e == root for e in range(len(held))]
+    for e in range(1, len(held)):
+        within[e] = within[e] or within[tree.parent[e]]
+    kept = []
+    for (text, e, links), p in zip(found, of, strict=True):
+        if root and within[e]:
+            stays = score[p] > 0 and score[p] >= inside * score[weighty]
+        else:
+            stays = not marked and (chosen[p] or heading[p] and likely[p] > STRONG and links < len(text))
+        if stays:
+            kept.append(text)
     return "\n".join(kept)
 
 

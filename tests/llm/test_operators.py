@@ -527,3 +527,39 @@ def test_html_attributes_are_compared_whole():
         assert html_extract.main_text(f"<article><div {attribute}><p>{text}</p></div></article>") == text
     for attribute in ("hidden", 'HIDDEN=""', 'id="ad"', "x=1 class = 'nav'", 'title="a" aria-hidden="true"'):
         assert html_extract.main_text(f"<article><div {attribute}><p>other</p></div><p>{text}</p></article>") == text
+
+
+ANNOTATED = """<html><body><div class=site><ul><li>Home<li>News<li>About us</ul>
+<div class=wrap><h1>Tide tables</h1><div class=intro><p>Short intro.</p></div>
+<div class=text><p>{0}</p><h2>Second part</h2><p>{0}</p><table><tr><td>1<td>2</table><ul><li>one item<li>two</ul></div>
+<div class=tail><p>Ends here, at last, with a few more words, in all.</p></div></div><div><span>Powered by something</span></div></div></body></html>"""
+
+
+def test_html_scores_decide():
+    """Paths are chosen by their score: what the thresholds let in differs on a page without any telling name."""
+    page = ANNOTATED.format("Long prose, with commas, and with a full stop. " * 6)
+    usual = html_extract.main_text(page).split("\n")
+    assert usual[0] == "Tide tables" and {"Second part", "1", "2", "one item", "two", "Ends here, at last, with a few more words, in all."} <= set(usual)
+    assert not {"Home", "News", "Powered by something"} & set(usual)
+    every, few = (html_extract.main_text(page, t).split("\n") for t in (-1.0, 0.95))
+    assert {"Home", "Powered by something"} <= set(every) and len(few) < len(usual) < len(every)
+    assert "1" not in html_extract.main_text(page, inside=0.5).split("\n")
+
+
+def test_html_names_are_a_prior_only():
+    text = "Good prose, of some length, with stops. " * 5
+    whole = f"<h1>Title</h1><p>{text}</p>"
+    bare = f"Title\n{text.strip()}"
+    for page in (f"<form id=f action=x>{whole}<input></form>", f"<article><div class='ad-free'>{whole}</div></article>", f"<body><form><nav><a>Menu</a></nav><div>{whole}</div></form><footer>End, of all.</footer></body>"):
+        assert html_extract.main_text(page) == bare
+    assert html_extract.main_text(f"<article>{whole}<section class=related-work><h2>Earlier</h2><p>{text}</p></section></article>") == f"{bare}\nEarlier\n{text.strip()}"
+    for name in ("ad", "related-posts", "comment-list", "cookie notice", "site-header", "sidebar_left", "newsletter-signup box"):
+        assert html_extract.main_text(f"<div>{whole}<div class='{name}'><p>{text}</p></div></div>") == bare, name
+
+
+def test_html_deep_and_long_pages():
+    text = "Deep prose, at the end. "
+    assert html_extract.main_text("<div>x " * 50_000 + f"<p>{text * 20}</p>").endswith((text * 20).strip())
+    assert html_extract.main_text("<b>" * 50_000 + text + "</i>" * 50_000) == text.strip()
+    long = "".join(f"<p>{text * 3}{i}</p>" for i in range(20_000))
+    assert html_extract.main_text(f"<article>{long}</article>").count("\n") == 19_999
