@@ -7,13 +7,16 @@ weights), and for each term of a tile of queries scatters the weighted postings
 arrays. Partition selection keeps each query's k best of the cell, ties to the smaller id; one
 window merges the cells.
 
-Memory: a cell holds BLOCK_MOST rows of either side at most (about; ids are hashed), whatever the
-size of the tables, and the work is the product of the two sides, by definition.
+Memory: a cell holds BLOCK_MOST candidates and twice as many queries at most (about; ids are
+hashed), fewer of long vectors so that CELL_NUMBERS weights are not passed, and the dense scores of
+one tile of TILE queries, whose k best are selected before the next tile. All that whatever the size
+of the tables; the work is the product of the two sides, by definition.
 
 Defined cases: vectors that are null or hold null or non-finite components, and null ids, take no
-part; vectors of different lengths meet in the dimensions they share; of rows with the same id
-the smallest vector counts; fewer than k candidates give fewer ranks; empty tables give an empty
-result; extra columns are ignored. Scores outside 64 bits raise.
+part; vectors of different lengths meet in the dimensions they share; rows that repeat an id are
+candidates each by itself, except for queries of that id, and queries of one id share one ranking;
+fewer than k candidates give fewer ranks; empty tables give an empty result; extra columns are
+ignored. Scores outside 64 bits raise.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE, K, EVERY = 256, 5, 50
-BLOCK_LEAST, BLOCK_MOST, TILE = 512, 16384, 64
+BLOCK_LEAST, BLOCK_MOST, CELL_NUMBERS, TILE = 512, 16384, 1 << 22, 64
 
 
 def quantised(vector: Column) -> Column:
@@ -40,49 +43,64 @@ def matrix(rows: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Scores of every query and candidate, term by term. The number type holds every partial sum exactly."""
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0)) * max(1, queries.shape[1])
-    if most >= 2**63:
-        raise OverflowError("an inner product may not fit 64 bits")
-    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
-    q, n = queries.astype(kind), len(candidates)
-    postings = []
+def postings(candidates: np.ndarray, kind: type) -> list[tuple[np.ndarray | None, np.ndarray]]:
+    """For each dimension the candidates with a weight there (None: all) and the weights."""
+    out = []
     for t in range(candidates.shape[1]):
         hit = np.flatnonzero(candidates[:, t])
-        postings.append((hit if len(hit) < n else None, candidates[hit, t].astype(kind)))
-    scores = np.zeros((len(q), n), dtype=kind)
-    spare = np.empty((min(TILE, len(q)), n), dtype=kind)
-    for lo in range(0, len(q), TILE):
-        part, tile = scores[lo : lo + TILE], q[lo : lo + TILE]
-        for t, (hit, weights) in enumerate(postings):
-            asks = tile[:, t]
-            if not len(weights) or not asks.any():
-                continue
-            if hit is None:
-                part += np.multiply(asks[:, None], weights[None, :], out=spare[: len(part)])
-            else:
-                part[:, hit] += asks[:, None] * weights[None, :]
+        out.append((hit if len(hit) < len(candidates) else None, candidates[hit, t].astype(kind)))
+    return out
+
+
+def number_type(queries: int, candidates: int, width: int) -> type:
+    """The type that holds every partial sum exactly, of the largest weights of either side."""
+    most = float(queries) * float(candidates) * max(1, width)
+    if most >= 2**63:
+        raise OverflowError("an inner product may not fit 64 bits")
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+
+
+def accumulate(queries: np.ndarray, lists: list[tuple[np.ndarray | None, np.ndarray]], n: int, kind: type) -> np.ndarray:
+    """Scores of a tile of queries with n candidates, term by term."""
+    q, scores = queries.astype(kind), np.zeros((len(queries), n), dtype=kind)
+    spare = np.empty_like(scores)
+    for t, (hit, weights) in enumerate(lists):
+        asks = q[:, t]
+        if not len(weights) or not asks.any():
+            continue
+        if hit is None:
+            scores += np.multiply(asks[:, None], weights[None, :], out=spare)
+        else:
+            scores[:, hit] += asks[:, None] * weights[None, :]
     return scores
 
 
 def cell(k: int):
     def best(key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if len(queries) and len(candidates):
             candidates = candidates.sort_values("vec_id")
-            ids = candidates["vec_id"].to_numpy()
+            ids, asked = candidates["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
             width = max(max(map(len, queries["w"])), max(map(len, candidates["w"])))
-            scores = accumulate(matrix(queries["w"], width), matrix(candidates["w"], width))
-            for q, row in zip(queries["vec_id"].to_numpy(), scores, strict=True):
-                hit = np.arange(len(ids))
-                if len(ids) > k + 1:  # one more, as the query's own row may be among them
-                    hit = np.flatnonzero(row >= np.partition(row, len(ids) - k - 1)[len(ids) - k - 1])
-                hit = hit[ids[hit] != q]
-                hit = hit[np.lexsort((ids[hit], -row[hit]))][:k]
-                out["query_id"] += [q] * len(hit)
-                out["vec_id"] += ids[hit].tolist()
-                out["score"] += row[hit].astype(np.int64).tolist()
+            largest = lambda rows: max((int(np.abs(r).max(initial=0)) for r in rows), default=0)
+            kind = number_type(largest(queries["w"]), largest(candidates["w"]), width)
+            lists = postings(matrix(candidates["w"], width), kind)
+            firsts, ends = np.searchsorted(ids, asked), np.searchsorted(ids, asked, side="right")
+            for lo in range(0, len(asked), TILE):
+                scores = accumulate(matrix(queries["w"].iloc[lo : lo + TILE], width), lists, len(ids), kind)
+                for q, a, b, row in zip(asked[lo : lo + TILE], firsts[lo : lo + TILE], ends[lo : lo + TILE], scores, strict=True):
+                    if b > a:  # rows of the query's own id
+                        row = np.delete(row, np.s_[a:b])
+                    if not len(row):
+                        continue
+                    hit = np.arange(len(row))
+                    if len(row) > k:
+                        hit = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+                    where = ids[np.where(hit < a, hit, hit + (b - a))]
+                    chosen = np.lexsort((where, -row[hit]))[:k]
+                    out["query_id"] += [q] * len(chosen)
+                    out["vec_id"] += where[chosen].tolist()
+                    out["score"] += row[hit[chosen]].astype(np.int64).tolist()
         return pd.DataFrame(out).astype("int64")
 
     return best
@@ -90,12 +108,13 @@ def cell(k: int):
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best rows of vectors. Both sides: vec_id long, w array<bigint>."""
-    one = lambda df: df.where("vec_id is not null and w is not null").groupBy("vec_id").agg(F.min("w").alias("w"))
-    left, right = one(queries), one(vectors)
-    n, m = vectors.count(), queries.count()
-    rows = lambda x: min(BLOCK_MOST, max(BLOCK_LEAST, x // 128))
-    across, down = max(1, -(-n // rows(n))), max(1, -(-m // (2 * rows(m))))
-    block = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    left, right = (df.where("vec_id is not null and w is not null").select("vec_id", "w") for df in (queries, vectors))
+    size = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("w")), F.lit(1)).alias("width")).first()
+    n, m = size(right), size(left)
+    rows = lambda x, w: min(BLOCK_MOST, CELL_NUMBERS // max(1, w), max(BLOCK_LEAST, x // 128)) or 1
+    across, down = max(1, -(-n["n"] // rows(n["n"], n["width"]))), max(1, -(-m["n"] // (2 * rows(m["n"], m["width"]))))
+    # Rows of one id go to different blocks, so that an id with many rows is no block of its own.
+    block = lambda parts: F.pmod(F.xxhash64("vec_id", "w"), F.lit(parts)).cast("int")
     left = left.withColumns({"down": block(down), "across": F.explode(F.sequence(F.lit(0), F.lit(across - 1)))})
     right = right.withColumns({"across": block(across), "down": F.explode(F.sequence(F.lit(0), F.lit(down - 1)))})
     found = left.groupBy("across", "down").cogroup(right.groupBy("across", "down")).applyInPandas(cell(k), "query_id long, vec_id long, score long")

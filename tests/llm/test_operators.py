@@ -98,31 +98,32 @@ def test_html_nulls_and_clashes(spark):
 # 2 top-k search
 
 
-def test_topk_against_brute_force(spark):
+def test_topk_against_brute_force(spark, monkeypatch):
+    """Repeated ids are rows of their own: each a candidate, for queries of other ids; queries of one id share a ranking."""
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=6)] if i % 5 else [0.0, 0.25, 0.0, 0.0, -0.5, 0.0], i) for i in range(300)]
-    rows += [(300, None, 0), (301, [1.0, None], 0), (302, [float("nan")], 0), (303, [float("inf")], 0), (350, [0.5], 1), (None, [0.1], 2), (7, [9.0] * 6, 0)]
+    rows += [(300, None, 0), (301, [1.0, None], 0), (302, [float("nan")], 0), (303, [float("inf")], 0), (350, [0.5], 1), (None, [0.1], 2)]
+    rows += [(7, [9.0] * 6, 0)] * 3 + [(100, [float(x) for x in rng.normal(size=6)], 5), (100, [2.0] * 6, 5)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    vec = {}
-    for i, v, _ in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(float(np.float32(x)) * 256)) for x in v]
-            vec[i] = min(vec[i], q) if i in vec else q
-    expected = set()
-    for q in vec:
-        if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(vec[q], vec[c])), c) for c in vec if c != q)[:5]
-            expected |= {(q, k + 1, c, -s) for k, (s, c) in enumerate(scored)}
-    assert {tuple(r) for r in topk_search.digest(df).collect()} == expected
+    vec = [(i, [int(np.floor(float(np.float32(x)) * 256)) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    expected = []
+    for q in {i for i, _ in vec if i % 50 == 0}:
+        scored = sorted((-sum(x * y for x, y in zip(a, b)), c) for i, a in vec if i == q for c, b in vec if c != q)[:5]
+        expected += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scored)]
+    assert sorted(tuple(r) for r in topk_search.digest(df).collect()) == sorted(expected)
     assert topk_search.digest(df.where("label = 77")).count() == 0
+    for name, value in (("TILE", 2), ("BLOCK_LEAST", 16), ("CELL_NUMBERS", 6 * 16)):
+        monkeypatch.setattr(topk_search, name, value)
+    assert sorted(tuple(r) for r in topk_search.digest(df).collect()) == sorted(expected)
 
 
 def test_topk_number_types():
     for big in (1, 2**20, 2**28):
         q, c = np.array([[big, 0, -3]]), np.array([[big, 5, 1], [0, 0, 2]])
-        assert topk_search.accumulate(q, c).astype(np.int64).tolist() == (q @ c.T).tolist()
+        kind = topk_search.number_type(big, max(big, 5), 3)
+        assert topk_search.accumulate(q, topk_search.postings(c, kind), 2, kind).astype(np.int64).tolist() == (q @ c.T).tolist()
     with pytest.raises(OverflowError):
-        topk_search.accumulate(np.array([[2**40]]), np.array([[2**40]]))
+        topk_search.number_type(2**40, 2**40, 1)
 
 
 # 3 sharding
