@@ -449,7 +449,7 @@ def brute_leaks(text, items):
     return out
 
 
-def test_decontamination(spark, docs, empty):
+def test_decontamination(spark, docs, empty, monkeypatch):
     rng = random.Random(8)
     items = [(i, " ".join(words(rng, rng.randrange(20, 70)))) for i in range(12)] + [(50, "tiny one"), (51, None), (52, ""), (53, "Tiny ONE!")]
     rows = []
@@ -470,6 +470,9 @@ def test_decontamination(spark, docs, empty):
     got = sorted((r["doc_id"], tuple(r["items"]), r["contaminated"]) for r in out)
     expected = sorted((i, tuple(sorted(x := brute_leaks(t, items))), bool(x)) for i, t in rows)
     assert got == expected and sum(e[2] for e in expected) > 15
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)  # several passes over the documents
+    out = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], tuple(r["items"]), r["contaminated"]) for r in out) == expected
     assert not any(r["contaminated"] for r in decontaminate.contamination(docs, bench.where("item_id > 99")).collect())
     assert decontaminate.contamination(empty, bench).count() == 0
 
@@ -564,3 +567,41 @@ def test_html_deep_and_long_pages():
     assert html_extract.main_text("<b>" * 50_000 + text + "</i>" * 50_000) == text.strip()
     long = "".join(f"<p>{text * 3}{i}</p>" for i in range(20_000))
     assert html_extract.main_text(f"<article>{long}</article>").count("\n") == 19_999
+
+
+def test_decontamination_recall_and_pruning():
+    """Items edited down to a similarity of 0.8: the radius finds all but a few of what the exact search finds, and the blocks leave most windows out."""
+    rng = random.Random(21)
+    word = lambda: f"v{rng.randrange(4000)}"
+    items = [(i, " ".join(word() for _ in range(rng.randrange(20, 121)))) for i in range(150)]
+    index, every = decontaminate.Index(items), decontaminate.Index(items, radius=64)
+    found = wanted = 0
+    for i, text in items * 4:
+        copy = text.split()
+        for _ in range(rng.randrange(1, max(2, len(copy) // 40 + 1))):
+            copy[rng.randrange(len(copy))] = word()
+        page = " ".join([*(word() for _ in range(90)), *copy, *(word() for _ in range(90))])
+        wanted += len(every.matches(page))
+        found += len(index.matches(page))
+    assert wanted > 200 and found >= 0.98 * wanted
+    assert index.left > 0.3 * index.seen
+    alone = decontaminate.Index(items)
+    for _, text in items:  # only a piece of an item
+        assert not alone.matches(" ".join([*(word() for _ in range(90)), *text.split()[:8], *(word() for _ in range(90))]))
+    assert alone.seen > 1000 and alone.left > 0.6 * alone.seen
+
+
+def test_decontamination_in_long_texts():
+    rng = random.Random(22)
+    items = [(i, " ".join(f"v{rng.randrange(4000)}" for _ in range(40))) for i in range(3)]
+    noise = " ".join(f"v{rng.randrange(4000)}" for _ in range(200_000))
+    assert decontaminate.Index(items).matches(f"{noise} {items[1][1]} {noise}") == {1: 1.0}
+
+
+def test_near_values_of_blocks_miss_nothing_within_the_radius():
+    rng = np.random.default_rng(6)
+    items = decontaminate.Items([(i, rng.integers(0, 2**63, 30).astype(np.uint64)) for i in range(5)], decontaminate.RADIUS)
+    for _ in range(3000):
+        flips = sum(1 << int(b) for b in rng.choice(64, decontaminate.RADIUS, replace=False))
+        own = items.prints[rng.integers(5)]
+        assert items.reachable(np.array([own ^ np.uint64(flips)]))[0]
