@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """A fresh folder below spark.checkpoint.dir; a temporary one where that is unset, on a local master only (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(shared_dir, "local", None) or tempfile.mkdtemp(prefix="elsetspark-")
         shared_dir.local = base
     return f"{base.rstrip('/')}/elsetspark-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -234,8 +235,9 @@ def test_warc_round_trip(spark):
     rows = [(1, "http://a", big), (2, "http://b c\n", big), (5, None, big), (3, "u", "small"), (4, "u", "small"), (6, "u", None), (7, "u", ""), (None, "n", big), (5, "dup", big), (8, "l", "x" * 300_000)]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, payload_digest string")
     root = f"{shared_dir(spark)}/w"
-    files = warc.write_archives(df, root, roll=2000)
-    assert len(files) > 2 and json.loads(open(root.replace("file://", "") + "/manifest.json").read())["files"] == files
+    listed = lambda m: sorted(tuple(r) for r in m.collect())
+    files = listed(warc.write_archives(df, root, roll=2000))
+    assert len(files) > 2 and json.loads(open(root.replace("file://", "") + "/manifest.json").read()) == {"files": len(files), "records": len(rows), "bytes": sum(f[2] for f in files)}
     got = sorted(((r["page_id"] if r["page_id"] is not None else -1, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, root).collect()), key=str)
     sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
     size = lambda t: len((t or "").encode())
@@ -243,10 +245,30 @@ def test_warc_round_trip(spark):
     expected = sorted(((r[0] if r[0] is not None else -1, size(r[2]), sha(r[2]), "revisit" if i in revisit else "response", 5 if i in revisit else None) for i, r in enumerate(rows)), key=str)
     assert got == expected
     again = f"{shared_dir(spark)}/w"
-    assert warc.write_archives(df.repartition(5), again, roll=2000) == files
+    assert listed(warc.write_archives(df.repartition(5), again, roll=2000)) == files
+    named = lambda: sorted(p.name for p in Path(root).glob("*.warc.gz"))
+    before = named()
+    (Path(root) / ".shard-00000-00000.warc.gz.lost.tmp").write_bytes(b"x")
+    table = spark.createDataFrame([(f".{f[0]}.again.tmp", *f) for f in files], warc.MANIFEST)
+    assert listed(warc.commit(table, root)) == files and named() == before and not list(Path(root).glob(".*.tmp"))  # a repeated commit
+    with pytest.raises(Exception, match="is lost"):
+        warc.commit(spark.createDataFrame([(".a.tmp", "a", 1, 1, "")], warc.MANIFEST), root)
     assert warc.digest(df.where("page_id = 99")).count() == 0
 
 
+def test_warc_rows_without_id_spread(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SHARD_BYTES", 4000)
+    big = "same payload " * 100
+    rows = [(None if i % 3 else 7, f"http://x/{i}", big if i % 2 else f"{i} {big}") for i in range(60)]
+    root = f"{shared_dir(spark)}/w"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), root)
+    shards = {p.name.split("-")[1] for p in Path(root).glob("*.warc.gz")}
+    assert len(shards) > 8
+    got = [(r["url"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, root).collect()]
+    first = min(u for i, u, h in rows if i == 7 and h == big)
+    assert sorted(got) == sorted((u, "revisit", 7) if h == big and u != first else (u, "response", None) for _, u, h in rows)
+
+
 # 7 run-length index
 
 
