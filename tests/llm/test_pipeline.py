@@ -119,3 +119,27 @@ def test_sketches_never_rule_out_sets_alike():
             assert may or not near_copies.alike(own, other)
             ruled_out += not may
     assert ruled_out > 60
+
+
+def test_bridges_join_what_is_alike():
+    """Sets of one shingle, in groups: the links join the groups as all pairs of sets alike would."""
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 2**63, 100).astype(np.uint64))
+    sets = []
+    for _ in range(40):
+        own = base[rng.random(len(base)) > rng.choice([0.02, 0.1, 0.15, 0.4])]
+        sets.append(np.unique(np.concatenate([own, rng.integers(0, 2**63, int(rng.integers(0, 12))).astype(np.uint64)])))
+    short = [near_copies.lengthened(near_copies.shortened(x)) for x in sets]
+    assert all((a == b >> np.uint64(24)).all() for a, b in zip(short, sets, strict=True))
+    n, pos = np.array([len(x) for x in sets]), np.zeros(40, dtype=np.int64)
+
+    def groups(links, root):
+        root = list(root)
+        for i, j in links:
+            root = [root[i] if x == root[j] else x for x in root]
+        return [[a == b for b in root] for a in root]
+
+    for start in (np.arange(40), np.arange(40) // 8 * 8):
+        every = [(i, j) for i in range(40) for j in range(i) if near_copies.alike(sets[i], sets[j])]
+        got = near_copies.bridges(n, pos, start, short)
+        assert groups(got, start) == groups(every, start) and 0 < len(got) < 40
