@@ -50,10 +50,12 @@ def candidates(gaps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def suppress_neighbours(found: DataFrame, radius: int = WINDOW) -> DataFrame:
-    """Greedy, strongest first (earlier gap on ties): what lies within radius gaps of a kept one goes."""
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("significance")).alias("s"), F.col("idx").alias("i"))).over(by_object()))
-    kept = F.aggregate("__r", F.array().cast("array<int>"), lambda acc, c: F.when(F.forall(acc, lambda k: F.abs(k - c["i"]) > radius), F.concat(acc, F.array(c["i"]))).otherwise(acc))
-    return found.withColumn("__r", ranked).where(F.array_contains(kept, F.col("idx"))).drop("__r")
+    """Greedy, strongest first (earlier gap on ties): what lies within radius gaps of a kept one goes. One fold an object."""
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("significance")).alias("s"), F.col("idx").alias("i"), F.struct(*found.columns).alias("row"))))
+    none = F.array().cast(f"array<struct<i:int,row:{found.select(F.struct(*found.columns)).dtypes[0][1]}>>")
+    far = lambda acc, c: F.forall(acc, lambda k: F.abs(k["i"] - c["i"]) > radius)
+    kept = F.aggregate("r", none, lambda acc, c: F.when(far(acc, c), F.concat(acc, F.array(F.struct(c["i"].cast("int").alias("i"), c["row"].alias("row"))))).otherwise(acc))
+    return found.groupBy("norad_id").agg(ranked.alias("r")).select(F.inline(kept)).select("row.*")
 
 
 def with_floors(gaps: DataFrame) -> DataFrame:
@@ -77,12 +79,11 @@ def object_floors(gaps: DataFrame) -> DataFrame:
 
 def detect_rule(series: DataFrame) -> DataFrame:
     """Manoeuvres: epoch_ns, confidence, type, delta_v_estimate (null below the floor), norad_id, t_before, t_after."""
-    rows = prepared(series)
-    gaps = scored_gaps(rows)
-    kept = suppress_neighbours(candidates(gaps)).where("not transient")
-    level = holt(rows.join(kept.select("norad_id").distinct(), "norad_id", "left_semi"), ("a", "e", "inc", "argp"))
-    level = level.select("norad_id", (F.col("idx") + 1).alias("idx"), *[f"level_{c}" for c in ("a", "e", "inc", "argp")])
-    joined = with_floors(kept.join(level, ["norad_id", "idx"]))
+    names = ("a", "e", "inc", "argp")
+    rows = holt(prepared(series), names)  # one scan: the level before a gap travels with its row
+    rows = rows.withColumns({f"level_{c}": F.lag(f"level_{c}").over(by_object("idx")) for c in names})
+    kept = suppress_neighbours(candidates(scored_gaps(rows))).where("not transient")
+    joined = with_floors(kept)
     got = invert(
         F.col("step_a"), F.col("step_e"), F.col("step_inc") * RAD, F.col("step_raan") * RAD,
         F.col("level_a"), clamp_ecc(F.col("level_e")), clamp_inc(F.col("level_inc") * RAD), F.col("level_argp") * RAD,

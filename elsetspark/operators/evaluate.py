@@ -7,16 +7,16 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import ORBIT_CLASSES, US_PER_DAY
+from ..constants import OPERATING_POINT, ORBIT_CLASSES, US_PER_DAY
 from . import bench, calibrate, detect, labels
-from .series import assemble, dedup_epoch, physical
+from .series import assemble, clean
 
 YEAR_US = 365.25 * US_PER_DAY
 
 
 def reconstruct(elsets: DataFrame) -> DataFrame:
     """Cleaned and assembled series of all objects in one job."""
-    return assemble(dedup_epoch(physical(elsets)))
+    return assemble(clean(elsets))
 
 
 def digests(series: DataFrame) -> DataFrame:
@@ -70,6 +70,38 @@ def sweep(scores: DataFrame, thresholds: list[float]) -> DataFrame:
     return out
 
 
+def recalls(found: dict[float, DataFrame], labels_: DataFrame, exposure_: DataFrame, rate: float = OPERATING_POINT) -> DataFrame:
+    """threshold, orbit_class, tp_above, n_above, recall at the operating point, of the detections at each of a few thresholds."""
+    out = None
+    for threshold, dets in found.items():
+        scored = bench.outcomes(dets, labels_, bench.match(dets, labels_), exposure_)
+        points = bench.budget_points(scored, bench.class_counts(scored, labels_, exposure_), (rate,))
+        part = points.select(F.lit(float(threshold)).alias("threshold"), "orbit_class", "tp_above", "n_above", "recall")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no candidate threshold")
+    return out
+
+
+def objective(points: DataFrame, kind: str = "pooled") -> DataFrame:
+    """threshold, value: above-floor recall over all labels (pooled) or the mean over classes that have some (macro), 0 without any."""
+    values = {"pooled": F.sum("tp_above") / F.nullif(F.sum("n_above"), F.lit(0)), "macro": F.avg("recall")}
+    if kind not in values:
+        raise ValueError(f"unknown objective {kind!r}")
+    return points.groupBy("threshold").agg(F.coalesce(values[kind], F.lit(0.0)).alias("value"))
+
+
+def tune(points: DataFrame, kind: str = "pooled") -> tuple[dict, dict[str, float]]:
+    """From recalls(): the best threshold of all (threshold, value), and of each class with above-floor labels; ties to the lower threshold."""
+    points = points.persist()
+    try:
+        best = calibrate.best_thresholds(objective(points, kind)).first().asDict()
+        by = calibrate.best_thresholds(points.where("recall is not null").select("orbit_class", "threshold", F.col("recall").alias("value")), "orbit_class")
+        return best, {r["orbit_class"]: r["threshold"] for r in by.collect()}
+    finally:
+        points.unpersist()
+
+
 def calibration_bundle(samples: DataFrame) -> dict:
     """Pooled temperature, kept only if the pooled error falls, and the error of each class after it."""
     t = calibrate.fit_temperature(samples)
@@ -95,9 +127,10 @@ class Board:
             raise ValueError("the report has no recall")
         self.used[user, day] += 1
         pooled = sum(r * n for r, n in shares) / sum(n for _, n in shares)
-        self.entries.append((-pooled, day, name, {c: v["recall"] for c, v in report.items()}))
+        own = (-pooled, day, name, {c: v["recall"] for c, v in report.items()})
+        self.entries.append(own)
         self.entries.sort(key=lambda e: e[:3])
-        return next(i for i, e in enumerate(self.entries) if e[2] == name) + 1
+        return next(i for i, e in enumerate(self.entries) if e is own) + 1
 
     def rows(self) -> list[dict]:
         return [{"place": i + 1, "name": e[2], "submitted_at": e[1], "recall": -e[0], "by_class": e[3]} for i, e in enumerate(self.entries)]

@@ -58,3 +58,23 @@ def token_windows(encoded: DataFrame, length: int = TOKENS, stride: int = STRIDE
     first = F.greatest(F.floor((F.col("idx") - length) / stride) + 1, F.lit(0))
     out = encoded.select("*", F.explode(F.sequence(first, last)).alias("window_id"))
     return out.withColumn("position", F.col("idx") - F.col("window_id") * stride)
+
+
+def padded_windows(encoded: DataFrame, length: int = TOKENS, stride: int = STRIDE) -> DataFrame:
+    """All positions of the windows that start at 0, stride, ... inside an object's tokens: window_id, position, valid and the
+    columns of encoded. A window past the end is padded: null t and idx, zero numbers, valid false. Real tokens are valid where elset_valid is."""
+    if length < 1 or not 1 <= stride <= length:
+        raise ValueError(f"a stride in [1, length] and a length of at least 1 are needed, got {stride} and {length}")
+    number = {f.name for f in encoded.schema.fields if f.dataType.typeName() in ("double", "float")}
+    rows = encoded.withColumn("n", F.count("*").over(by_object()))
+    first = F.greatest(F.floor((F.col("idx") - length) / stride) + 1, F.lit(0))
+    own = F.transform(F.sequence(first, F.floor(F.col("idx") / stride)), lambda w: F.struct(w.alias("window_id"), (F.col("idx") - w * stride).alias("position"), F.lit(True).alias("real")))
+    # The last token brings the padding of the windows that run past it.
+    past = F.filter(F.sequence(first, F.floor(F.col("idx") / stride)), lambda w: w * stride + length > F.col("n"))
+    padding = F.flatten(F.transform(past, lambda w: F.transform(F.sequence(F.col("n") - w * stride, F.lit(length - 1).cast("bigint")), lambda p: F.struct(w.alias("window_id"), p.alias("position"), F.lit(False).alias("real")))))
+    places = F.when(F.col("idx") == F.col("n") - 1, F.concat(own, padding)).otherwise(own)
+    out = rows.select("*", F.inline(places))
+    real = F.col("real")
+    kept = [F.col(c) if c in ("norad_id", "orbit_class") else F.when(real, F.col(c)).otherwise(F.lit(0.0 if c in number else None)).cast(encoded.schema[c].dataType).alias(c) for c in encoded.columns]
+    valid = real & (F.col("elset_valid") > 0) if "elset_valid" in encoded.columns else real
+    return out.select("window_id", "position", valid.alias("valid"), *kept)

@@ -6,11 +6,15 @@ Everything is partitioned by norad_id: one exchange, then windows over the same
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..constants import ALPHA, BETA, DETREND_HALFWIDTH, DT_FLOOR_DAYS, MAD, SCALE_FLOOR, US_PER_DAY, WINDOW
 from ..functions.physics import semi_major_axis
+from ..functions.sgp4 import sane
 from ..functions.stats import by_object, fit_at, mad_scale, unwrap_step
 
 ELEMENTS = ("a", "e", "inc", "raan", "argp")
@@ -30,6 +34,16 @@ def physical(elsets: DataFrame) -> DataFrame:
     return elsets.where(finite(*SIGNATURE) & (e >= 0) & (e < 1) & (n > 0) & (i >= 0) & (i <= 180))
 
 
+def valid(elsets: DataFrame) -> DataFrame:
+    """Physical rows that can be propagated at their own epoch. The bounds come first, so that the Arrow check sees only those rows."""
+    return physical(elsets).where(sane(*[F.col(c) for c in ("mean_motion", "eccentricity", "inclination", "mean_anomaly")]))
+
+
+def clean(elsets: DataFrame) -> DataFrame:
+    """Valid rows, one an epoch."""
+    return dedup_epoch(valid(elsets))
+
+
 def dedup_epoch(elsets: DataFrame) -> DataFrame:
     """One row per object and epoch: largest set number, then largest elements."""
     rank = F.struct("element_set_no", *SIGNATURE)
@@ -83,31 +97,25 @@ def scaled(gaps: DataFrame, columns: tuple[str, ...] = ("a", "e", "inc", "raan")
 
 
 def holt(series: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Adds level_<c>: Holt level with a trend per day over the irregular spacing. A fold over each object's sorted rows."""
-    rows = F.sort_array(F.collect_list(F.struct("idx", "t_days", *columns)))
-
-    def start(r: Column) -> Column:
-        first, second = r[0], F.get(r, F.lit(1))
-        dt = F.greatest(second["t_days"] - first["t_days"], F.lit(DT_FLOOR_DAYS))
-        return F.struct(
-            F.array(F.struct(*[first[c].alias(c) for c in columns])).alias("out"),
-            first["t_days"].alias("t"),
-            *[F.coalesce((second[c] - first[c]) / dt, F.lit(0.0)).alias(f"trend_{c}") for c in columns],
-        )
-
-    def step(s: Column, x: Column) -> Column:
-        dt = F.greatest(x["t_days"] - s["t"], F.lit(DT_FLOOR_DAYS))
-        last = F.element_at(s["out"], -1)
-        level = {c: ALPHA * x[c] + (1 - ALPHA) * (last[c] + s[f"trend_{c}"] * dt) for c in columns}
-        return F.struct(
-            F.concat(s["out"], F.array(F.struct(*[level[c].alias(c) for c in columns]))).alias("out"),
-            x["t_days"].alias("t"),
-            *[(BETA * (level[c] - last[c]) / dt + (1 - BETA) * s[f"trend_{c}"]).alias(f"trend_{c}") for c in columns],
-        )
-
-    folded = series.groupBy("norad_id").agg(rows.alias("r")).withColumn("levels", F.aggregate(F.slice("r", F.lit(2), F.size("r")), start(F.col("r")), step, lambda s: s["out"]))
-    levels = folded.select("norad_id", F.posexplode_outer("levels").alias("idx", "l")).select("norad_id", "idx", *[F.col(f"l.{c}").alias(f"level_{c}") for c in columns])
-    return series.join(levels, ["norad_id", "idx"])
+    """Adds level_<c>: Holt level with a trend per day over the irregular spacing. One Arrow pass over each object's rows, linear in them."""
+    kind = StructType([*series.schema.fields, *[StructField(f"level_{c}", DoubleType()) for c in columns]])
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        gaps = np.maximum(np.diff(rows["t_days"].to_numpy()), DT_FLOOR_DAYS).tolist()
+        for c in columns:
+            own = rows[c].to_numpy(dtype=float).tolist()
+            level, trend = own[0], (own[1] - own[0]) / gaps[0] if gaps else 0.0
+            levels = [level]
+            for x, dt in zip(own[1:], gaps, strict=True):
+                now = ALPHA * x + (1 - ALPHA) * (level + trend * dt)
+                trend = BETA * (now - level) / dt + (1 - BETA) * trend
+                level = now
+                levels.append(level)
+            rows[f"level_{c}"] = levels
+        return rows
+
+    return series.groupBy("norad_id").applyInPandas(fold, kind)
 
 
 def local_trend(series: DataFrame, column: str, half: int = DETREND_HALFWIDTH) -> Column:

@@ -36,11 +36,11 @@ def series_ev(spark: SparkSession, sf_dir: str, quiet: bool = False) -> DataFram
 
 
 def elsets_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw elsets with re-fits of the same epoch and some unphysical rows."""
+    """Raw elsets with re-fits of the same epoch, some unphysical rows, and some (event_id % 90 = 7) that have decayed into the Earth."""
     ev, i = read(spark, sf_dir, "events"), F.col("event_id")
     copies = ev.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
     return copies.select(
-        F.col("user_id").alias("norad_id"), micros("ts").alias("t"), (F.lit(15.0) + F.col("value") / 1000 + F.col("copy") * F.lit(0.001)).alias("mean_motion"),
+        F.col("user_id").alias("norad_id"), micros("ts").alias("t"), (F.when(i % 90 == 7, 18.0).otherwise(F.lit(15.0) + F.col("value") / 1000) + F.col("copy") * F.lit(0.001)).alias("mean_motion"),
         F.when(i % 50 == 0, 1.5).otherwise(F.lit(0.001) + (i % 97) * F.lit(1e-6)).alias("eccentricity"), F.when(i % 70 == 0, 200.0).otherwise(66.0).alias("inclination"),
         (i % 360).cast("double").alias("raan"), F.lit(90.0).alias("arg_perigee"), F.lit(10.0).alias("mean_anomaly"), F.lit(1e-4).alias("bstar"), F.lit(0.0).alias("mean_motion_dot"), F.lit(0.0).alias("mean_motion_ddot"),
         (F.lit(100) + F.when(i % 3 == 0, F.col("copy")).otherwise(0)).cast("long").alias("element_set_no"),

@@ -9,7 +9,7 @@ EV = f"""ev AS (SELECT user_id AS norad_id, epoch_us(ts) AS t,
   CAST(0.001 AS DOUBLE) + (event_id % 97) * CAST(1e-6 AS DOUBLE) AS e,
   CAST(66 AS DOUBLE) + ((event_id * 31) % 101) * CAST(1e-4 AS DOUBLE) + CASE WHEN epoch_us(ts) >= 1705276800000000 AND user_id % 3 = 1 THEN CAST(0.05 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS inc,
   CAST((event_id * 37) % 360 AS DOUBLE) AS raan, CAST(90 AS DOUBLE) AS argp, CAST(1 AS DOUBLE) + value / 100000 AS mean_motion, event_id, event_type FROM events)"""
-ELS = """els AS (SELECT user_id AS norad_id, epoch_us(ts) AS t, CAST(15 AS DOUBLE) + value / 1000 + copy * CAST(0.001 AS DOUBLE) AS mean_motion,
+ELS = """els AS (SELECT user_id AS norad_id, epoch_us(ts) AS t, CASE WHEN event_id % 90 = 7 THEN CAST(18 AS DOUBLE) ELSE CAST(15 AS DOUBLE) + value / 1000 END + copy * CAST(0.001 AS DOUBLE) AS mean_motion,
   CASE WHEN event_id % 50 = 0 THEN CAST(1.5 AS DOUBLE) ELSE CAST(0.001 AS DOUBLE) + (event_id % 97) * CAST(1e-6 AS DOUBLE) END AS eccentricity,
   CASE WHEN event_id % 70 = 0 THEN 200.0 ELSE 66.0 END AS inclination,
   CAST(100 + CASE WHEN event_id % 3 = 0 THEN copy ELSE 0 END AS BIGINT) AS element_set_no
@@ -169,7 +169,7 @@ SQL = {
     "pred_physical": f"WITH {ELS} SELECT norad_id, count(*) AS n FROM els WHERE eccentricity < 1 AND inclination <= 180 AND mean_motion > 0 GROUP BY 1",
     "pred_in_range": "SELECT user_id AS norad_id, count(*) AS n, min(epoch_us(ts)) AS first_t FROM events WHERE epoch_us(ts) BETWEEN 1704672000000000 AND 1705276800000000 GROUP BY 1",
     "agg_dedup_epoch": f"WITH {ELS} SELECT norad_id, t, {rnd('mean_motion')} AS mean_motion, element_set_no FROM (SELECT *, row_number() OVER (PARTITION BY norad_id, t ORDER BY element_set_no DESC, mean_motion DESC) AS k FROM els) WHERE k = 1",
-    "agg_clean": f"WITH {ELS}, g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norad_id, t ORDER BY element_set_no DESC, mean_motion DESC) AS k FROM els WHERE eccentricity < 1 AND inclination <= 180) WHERE k = 1) SELECT norad_id, t, {rnd(f'pow({MU} / pow(mean_motion * 2 * pi() / 86400, 2), 1.0 / 3)')} AS semi_major_axis, {rnd(f'(t - lag(t) OVER (PARTITION BY norad_id ORDER BY t)) / CAST({DAY} AS DOUBLE)')} AS dt_days FROM g",
+    "agg_clean": f"WITH {ELS}, g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norad_id, t ORDER BY element_set_no DESC, mean_motion DESC) AS k FROM els WHERE eccentricity < 1 AND inclination <= 180 AND mean_motion < 17) WHERE k = 1) SELECT norad_id, t, {rnd(f'pow({MU} / pow(mean_motion * 2 * pi() / 86400, 2), 1.0 / 3)')} AS semi_major_axis, {rnd(f'(t - lag(t) OVER (PARTITION BY norad_id ORDER BY t)) / CAST({DAY} AS DOUBLE)')} AS dt_days FROM g",
     "win_regularize_daily": f"WITH {EV}, {DAILY} SELECT norad_id, t, event_id FROM daily",
     "win_unwrap": f"WITH {EV}, {DAILY}, {indexed('daily')} SELECT norad_id, t, idx, {rnd('t_days')} AS t_days, {rnd('raan')} AS raan FROM ix",
     "proj_orbit_class": f"WITH {EV} SELECT norad_id, CASE WHEN m < 8378 THEN 'LEO' WHEN m >= 35000 THEN 'GEO' ELSE 'MEO' END AS orbit_class FROM (SELECT norad_id, median(a * (1 + norad_id % 3 * CAST(2.6 AS DOUBLE))) AS m FROM ev GROUP BY 1)",
@@ -230,7 +230,7 @@ SELECT coalesce(p.id, r.id) AS norad_id, CASE WHEN p.id IS NULL THEN 'unexpected
     "agg_digest": f"SELECT o_custkey, count(*) AS n, {DIGEST} AS sha256 FROM orders GROUP BY 1",
     "sort_board": f"SELECT CAST(s_suppkey AS VARCHAR) AS name, {rnd('(s_suppkey % 7) / 7')} AS recall, s_suppkey % 5 AS submitted_at, CAST(row_number() OVER (ORDER BY (s_suppkey % 7) / 7 DESC, s_suppkey % 5, CAST(s_suppkey AS VARCHAR)) AS INTEGER) AS place FROM supplier",
     "feat_channels": f"WITH {CHAN} SELECT norad_id, idx, orbit_class, {rnd('x_sin_i')} AS lvl_sin_i, {rnd('x_h')} AS lvl_h, {rnd('x_raan')} AS lvl_raan, {rnd('res_a')} AS res_a, {rnd('res_raan')} AS res_raan, {rnd('dlt_a')} AS dlt_a, {rnd('dlt_sin_i')} AS dlt_sin_i, {rnd('least(gap, 2.5) / 2.5')} AS t_dt, {rnd('sin(pi() * gap)')} AS t_sin2, {rnd('cos(2 * pi() * gap / 8)')} AS t_cos8, CAST(1 AS DOUBLE) AS elset_valid, CAST(CASE WHEN gap > 2.5 THEN 1 ELSE 0 END AS DOUBLE) AS dt_saturated FROM ch",
-    "feat_windows": f"WITH {EV}, {indexed('ev')}, w AS (SELECT norad_id, idx, unnest(range(greatest(CAST(floor((idx - 64) / 32) AS BIGINT) + 1, 0), idx // 32 + 1)) AS window_id FROM ix) SELECT norad_id, window_id, idx - window_id * 32 AS position, idx FROM w",
+    "feat_windows": f"WITH {EV}, {indexed('ev')}, o AS (SELECT norad_id, CAST(count(*) AS BIGINT) AS n FROM ix GROUP BY 1), w AS (SELECT norad_id, n, unnest(range(0, n, 32)) AS start FROM o), p AS (SELECT *, unnest(range(0, 64)) AS position FROM w) SELECT norad_id, start // 32 AS window_id, position, CASE WHEN start + position < n THEN start + position END AS idx, start + position < n AS valid FROM p",
     "agg_class_quartiles": f"WITH {CHAN}, u AS ({' UNION ALL '.join(f'''SELECT orbit_class, '{n}' AS channel, quantile_cont({v}, [0.25, 0.5, 0.75]) AS q FROM ch GROUP BY 1''' for n, v in {'lvl_a': 'x_a', 'res_a': 'res_a', 'dlt_a': 'dlt_a', 'lvl_raan': 'x_raan'}.items())}) SELECT orbit_class, channel, {rnd('q[2]', 5)} AS median, {rnd('greatest(q[3] - q[1], 1e-12)', 5)} AS iqr FROM u",
     "win_overlap_average": f"WITH {EV}, {indexed('ev')}, w AS (SELECT norad_id, idx, unnest(range(greatest(CAST(floor((idx - 64) / 32) AS BIGINT) + 1, 0), idx // 32 + 1)) AS window_id FROM ix) SELECT norad_id, idx, {rnd('avg(1 / CAST(1 + window_id + idx - window_id * 32 AS DOUBLE))')} AS p FROM w GROUP BY 1, 2",
     "agg_reliability": f"WITH {RELY} SELECT c.orbit_class, CAST(b.bin AS INTEGER) AS bin, coalesce(n, 0) AS n, {rnd('mean_confidence')} AS mean_confidence, {rnd('precision')} AS precision FROM (SELECT DISTINCT orbit_class FROM smp) c CROSS JOIN (SELECT unnest(range(10)) AS bin) b LEFT JOIN ag ON ag.orbit_class = c.orbit_class AND ag.bin = b.bin",

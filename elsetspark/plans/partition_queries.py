@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..functions.sgp4 import sane
 from ..operators import bench, calibrate, detect, features, labels, learned, partition, series
 from . import adapters as ad
 from .oracle import CHAN, DAY, DETECT, EV, FLOORS, LAB, RAD, SAMPLES, SCORED, TYPE, indexed, invert, rnd
@@ -203,7 +202,7 @@ def bench_temporal_split(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def pred_sgp4_sane(s: SparkSession, d: str) -> DataFrame:
-    rows = series.physical(ad.elsets_dup(s, d)).where(sane(*[F.col(c) for c in ("mean_motion", "eccentricity", "inclination", "mean_anomaly")]))
+    rows = series.valid(ad.elsets_dup(s, d))
     return rows.groupBy("norad_id").agg(F.count("*").alias("n"))
 
 

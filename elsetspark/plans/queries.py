@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..constants import THRESHOLD
 from ..functions import physics
 from ..functions.stats import wilson
-from ..operators import bench, calibrate, detect, features, labels, series
+from ..operators import bench, calibrate, detect, evaluate, features, labels, series
 from ..sources import notices, omm, tle
 from . import adapters as ad
 
@@ -56,7 +56,7 @@ def agg_dedup_epoch(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def agg_clean(s: SparkSession, d: str) -> DataFrame:
-    return rounded(series.assemble(series.dedup_epoch(series.physical(ad.elsets_dup(s, d)))).select("norad_id", "t", "semi_major_axis", "dt_days"))
+    return rounded(series.assemble(series.clean(ad.elsets_dup(s, d))).select("norad_id", "t", "semi_major_axis", "dt_days"))
 
 
 @query
@@ -314,8 +314,9 @@ def feat_channels(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def feat_windows(s: SparkSession, d: str) -> DataFrame:
-    rows = features.token_windows(series.indexed(ad.series_ev(s, d)).select("norad_id", "idx"))
-    return rows.select("norad_id", F.col("window_id").cast("long").alias("window_id"), F.col("position").cast("long").alias("position"), F.col("idx").cast("long").alias("idx"))
+    """All 64 positions of every window, padded past the end, with the validity mask."""
+    rows = features.padded_windows(series.indexed(ad.series_ev(s, d)).select("norad_id", "idx"))
+    return rows.select("norad_id", *[F.col(c).cast("long").alias(c) for c in ("window_id", "position", "idx")], "valid")
 
 
 @query
@@ -373,6 +374,17 @@ def tune_threshold(s: SparkSession, d: str) -> DataFrame:
     return rounded(calibrate.best_thresholds(values))
 
 
+@query
+def tune_recall(s: SparkSession, d: str) -> DataFrame:
+    """Above-floor recall of each class at every threshold of the residual score; the best thresholds are evaluate.tune's."""
+    scores, labs, exposure = detect.drift_scores(ad.series_ev(s, d)), ad.scored_labels(s, d), ad.exposure_ev(s, d)
+    found = {}
+    for x in (2.0, 3.0, 4.0):
+        peaks = detect.run_peaks(scores, x)
+        found[x] = peaks.select(F.xxhash64("norad_id", "t").alias("det_id"), "norad_id", F.col("t").alias("epoch"), physics.residual_confidence(F.col("z"), x).alias("confidence"), F.lit("in-track").alias("type"))
+    return rounded(evaluate.recalls(found, labs, exposure))
+
+
 # Sources
 
 

@@ -11,8 +11,9 @@ from ..constants import US_PER_DAY
 def checksum(line: Column) -> Column:
     """Digits of columns 1 to 68 count their value, minus signs 1; modulo 10."""
     body = F.substring(line, 1, 68)
-    count = lambda c: F.length(body) - F.length(F.translate(body, c, ""))
-    return (count("-") + sum(d * count(str(d)) for d in range(1, 10))) % 10
+    count = lambda *c: F.length(body) - F.length(F.translate(body, "".join(map(str, c)), ""))
+    # By the binary places of a digit: four counts in place of nine.
+    return (count("-", *range(1, 10, 2)) + 2 * count(2, 3, 6, 7) + 4 * count(4, 5, 6, 7) + 8 * count(8, 9)) % 10
 
 
 def implied(text: Column) -> Column:

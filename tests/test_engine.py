@@ -415,3 +415,80 @@ def test_entry_imports_without_training_operators():
 
 def test_times_are_utc():
     assert documents.iso(START) == datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc).isoformat()
+
+
+# Guards, cleaning, windows, tuning
+
+
+def test_exposure_guards(spark):
+    dets, labs, expo = golden(spark)
+    scored = bench.outcomes(dets, labs, bench.match(dets, labs), expo)
+    with pytest.raises(Exception, match="duplicate exposure for object 11111"):
+        bench.class_counts(scored, labs, expo.union(expo.where("norad_id = 11111"))).collect()
+    with pytest.raises(Exception, match="duplicate exposure for object 22222"):
+        bench.outcomes(dets, labs, bench.match(dets, labs), expo.union(expo.where("norad_id = 22222"))).collect()
+    stray = labs.union(labs.where("label_id = 1").withColumn("norad_id", F.lit(99999).cast("long")))
+    with pytest.raises(Exception, match="label outside the scored population: 99999"):
+        bench.class_counts(scored, stray, expo).collect()
+    free = labs.union(labs.where("label_id = 1").withColumn("norad_id", F.lit(None).cast("long")))
+    assert sorted(map(str, bench.class_counts(scored, free, expo).collect())) == sorted(map(str, bench.class_counts(scored, labs, expo).collect()))
+
+
+def test_cleaning_drops_what_cannot_be_propagated(spark):
+    names = "mean_motion eccentricity inclination raan arg_perigee mean_anomaly bstar mean_motion_dot mean_motion_ddot".split()
+    rows = [(1, 10, 1, 15.5, 0.001, 51.6), (1, 10, 2, 18.0, 0.001, 51.6), (1, 20, 1, 15.5, 1.2, 51.6), (1, 30, 1, 2.0, 0.9, 63.0), (1, 40, 1, 1.0027, 0.0002, 0.05), (1, 50, 1, float("nan"), 0.0, 1.0)]
+    df = spark.createDataFrame([(i, t, k, *([n, e, inc] + [0.0] * 6)) for i, t, k, n, e, inc in rows], "norad_id long, t long, element_set_no long, " + ", ".join(f"{c} double" for c in names))
+    got = evaluate.reconstruct(df).orderBy("t").select("t", "element_set_no").collect()
+    assert [tuple(r) for r in got] == [(10, 1), (40, 1)]  # the decayed re-fit of the first epoch does not win
+
+
+def test_windows_are_padded(spark):
+    rows = [(1, 100 + k, k, "LEO", float(k + 1), 0.0 if k == 2 else 1.0) for k in range(70)] + [(2, 100 + k, k, "GEO", 9.0, 1.0) for k in range(3)]
+    df = spark.createDataFrame(rows, "norad_id long, t long, idx int, orbit_class string, x double, elset_valid double")
+    got = {(r["norad_id"], r["window_id"], r["position"]): r for r in features.padded_windows(df).collect()}
+    assert len(got) == 64 * (3 + 1) == features.padded_windows(df).count()
+    for (norad, w, p), r in got.items():
+        k, n = 32 * w + p, 70 if norad == 1 else 3
+        if k < n:
+            assert (r["idx"], r["t"], r["valid"]) == (k, 100 + k, norad == 2 or k != 2)
+        else:
+            assert (r["idx"], r["t"], r["x"], r["valid"]) == (None, None, 0.0, False)
+    assert features.padded_windows(df.where("norad_id = 9")).count() == 0
+    with pytest.raises(ValueError):
+        features.padded_windows(df, 4, 5)
+
+
+def test_tuning_by_recall(spark):
+    dets, labs, expo = golden(spark)
+    found = {t: dets.where(F.col("confidence") >= t) for t in (0.4, 0.6, 0.95)}
+    points = evaluate.recalls(found, labs, expo)
+    got = {(r["threshold"], r["orbit_class"]): r["recall"] for r in points.collect()}
+    assert got[0.4, "LEO"] == got[0.6, "LEO"] == 2 / 3 and got[0.95, "LEO"] == 0 and got[0.6, "MEO"] == 1 and got[0.4, "GEO"] is None
+    assert evaluate.tune(points) == ({"threshold": 0.4, "value": 0.75}, {"LEO": 0.4, "MEO": 0.4})
+    best, _ = evaluate.tune(points.where("threshold > 0.5"), "macro")
+    assert best["threshold"] == 0.6 and abs(best["value"] - 5 / 6) < 1e-12
+    with pytest.raises(ValueError):
+        evaluate.objective(points, "other")
+    with pytest.raises(ValueError):
+        evaluate.recalls({}, labs, expo)
+
+
+def test_board_place_is_that_of_the_submission():
+    board, report = evaluate.Board(), {"LEO": {"recall": 0.5, "n_above": 2}}
+    assert board.submit("u", "same", "2024-01-01", report) == 1
+    assert board.submit("u", "same", "2024-01-02", {"LEO": {"recall": 0.1, "n_above": 2}}) == 2
+
+
+def test_holt_is_linear_in_an_object(spark):
+    """One object of 60,000 rows, against the plain recursion."""
+    rng = np.random.default_rng(3)
+    x, t = rng.normal(7000, 1, 60_000), np.cumsum(rng.uniform(0, 1, 60_000))
+    df = spark.createDataFrame([(1, k, float(a), float(b)) for k, (a, b) in enumerate(zip(t, x))], "norad_id long, idx int, t_days double, a double").repartition(3)
+    got = [r["level_a"] for r in series.holt(df, ("a",)).orderBy("idx").select("level_a").collect()]
+    dt = max(t[1] - t[0], series.DT_FLOOR_DAYS)
+    level, trend = x[0], (x[1] - x[0]) / dt
+    for k in range(1, len(x)):
+        dt = max(t[k] - t[k - 1], series.DT_FLOOR_DAYS)
+        now = series.ALPHA * x[k] + (1 - series.ALPHA) * (level + trend * dt)
+        trend, level = series.BETA * (now - level) / dt + (1 - series.BETA) * trend, now
+        assert abs(got[k] - level) < 1e-6
