@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import REVERT, THRESHOLD, WINDOW
 from ..functions.physics import clamp_ecc, clamp_inc, class_floor, confidence, invert, orbit_class
 from ..functions.stats import by_object
-from .series import ELEMENTS, finite, holt, indexed, local_steps, regularize_daily, scaled
+from .series import ELEMENTS, finite, holt_at, indexed, local_steps, regularize_daily, scaled
 
 RAD = math.pi / 180
 REQUIRED = ("norad_id", "t", *ELEMENTS)
@@ -29,9 +29,9 @@ def prepared(series: DataFrame) -> DataFrame:
     return rows.withColumns({f"m_{c}": F.median(c).over(by_object()) for c in ("a", "e", "inc", "argp")})
 
 
-def scored_gaps(rows: DataFrame) -> DataFrame:
-    """Gaps with the dominant channel (a on ties), its significance, and whether a neighbour takes the step back."""
-    gaps = scaled(local_steps(rows))
+def scored_gaps(rows: DataFrame, others: bool = False) -> DataFrame:
+    """Gaps with the dominant channel (a on ties), its significance, and whether a neighbour takes the step back. others: as in local_steps."""
+    gaps = scaled(local_steps(rows, others=others))
     za, zi = F.abs(F.col("step_a")) / F.col("scale_a"), F.abs(F.col("step_inc")) / F.col("scale_inc")
     gaps = gaps.withColumns({"z_a": za, "z_inc": zi})
     gaps = gaps.withColumns({"significance": F.greatest("z_a", "z_inc"), "channel": F.when(F.col("z_a") >= F.col("z_inc"), "a").otherwise("inc")})
@@ -49,13 +49,22 @@ def candidates(gaps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return gaps.where(F.col("significance") >= threshold)
 
 
+def _strongest(rows: Column, row_type: str, radius: int) -> Column:
+    """Of an object's (s: -significance, i: gap, row), greedily from the smallest s: those that have no kept one within radius gaps."""
+    far = lambda acc, c: F.forall(acc, lambda k: F.abs(k["i"] - c["i"]) > radius)
+    one = lambda c: F.array(F.struct(c["i"].cast("int").alias("i"), c["row"].alias("row")))
+    return F.aggregate(F.array_sort(rows), F.array().cast(f"array<struct<i:int,row:{row_type}>>"), lambda acc, c: F.when(far(acc, c), F.concat(acc, one(c))).otherwise(acc))
+
+
+def _packed(df: DataFrame) -> tuple[Column, str]:
+    row = F.struct(*df.columns)
+    return F.struct((-F.col("significance")).alias("s"), F.col("idx").alias("i"), row.alias("row")), df.select(row).dtypes[0][1]
+
+
 def suppress_neighbours(found: DataFrame, radius: int = WINDOW) -> DataFrame:
     """Greedy, strongest first (earlier gap on ties): what lies within radius gaps of a kept one goes. One fold an object."""
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("significance")).alias("s"), F.col("idx").alias("i"), F.struct(*found.columns).alias("row"))))
-    none = F.array().cast(f"array<struct<i:int,row:{found.select(F.struct(*found.columns)).dtypes[0][1]}>>")
-    far = lambda acc, c: F.forall(acc, lambda k: F.abs(k["i"] - c["i"]) > radius)
-    kept = F.aggregate("r", none, lambda acc, c: F.when(far(acc, c), F.concat(acc, F.array(F.struct(c["i"].cast("int").alias("i"), c["row"].alias("row"))))).otherwise(acc))
-    return found.groupBy("norad_id").agg(ranked.alias("r")).select(F.inline(kept)).select("row.*")
+    packed, kind = _packed(found)
+    return found.groupBy("norad_id").agg(F.collect_list(packed).alias("r")).select(F.inline(_strongest(F.col("r"), kind, radius))).select("row.*")
 
 
 def with_floors(gaps: DataFrame) -> DataFrame:
@@ -80,9 +89,14 @@ def object_floors(gaps: DataFrame) -> DataFrame:
 def detect_rule(series: DataFrame) -> DataFrame:
     """Manoeuvres: epoch_ns, confidence, type, delta_v_estimate (null below the floor), norad_id, t_before, t_after."""
     names = ("a", "e", "inc", "argp")
-    rows = holt(prepared(series), names)  # one scan: the level before a gap travels with its row
-    rows = rows.withColumns({f"level_{c}": F.lag(f"level_{c}").over(by_object("idx")) for c in names})
-    kept = suppress_neighbours(candidates(scored_gaps(rows))).where("not transient")
+    gaps = scored_gaps(prepared(series), others=True)
+    packed, kind = _packed(gaps)
+    # One scan and one exchange: an object's candidates and its rows meet in one aggregate, and levels are folded only where a step stays.
+    per = gaps.groupBy("norad_id").agg(F.collect_list(F.when(F.col("significance") >= THRESHOLD, packed)).alias("r"), F.sort_array(F.collect_list(F.struct("idx", "t_days", *names))).alias("rows"))
+    per = per.where(F.size("r") > 0).select("rows", F.filter(_strongest(F.col("r"), kind, WINDOW), lambda k: ~k["row"]["transient"]).alias("kept")).where(F.size("kept") > 0)
+    per = per.withColumn("levels", holt_at(F.col("rows"), F.transform("kept", lambda k: k["i"] - 1), names))
+    kept = per.select("levels", F.inline("kept")).withColumn("level", F.filter("levels", lambda x: x["idx"] == F.col("i") - 1)[0])
+    kept = kept.select("row.*", *[F.col(f"level.{c}").alias(f"level_{c}") for c in names])
     joined = with_floors(kept)
     got = invert(
         F.col("step_a"), F.col("step_e"), F.col("step_inc") * RAD, F.col("step_raan") * RAD,

@@ -6,7 +6,8 @@ Everything is partitioned by norad_id: one exchange, then windows over the same
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,14 +80,17 @@ def unwrapped(series: DataFrame, *angles: str) -> DataFrame:
     return out.withColumns({c: F.col(c) + F.sum(f"__{c}").over(running) for c in angles}).drop(*[f"__{c}" for c in angles])
 
 
-def local_steps(series: DataFrame, columns: tuple[str, ...] = ("a", "e", "inc", "raan"), window: int = WINDOW) -> DataFrame:
-    """Gaps (idx: row after the gap) with the two-sided step of each column at the gap's midpoint, t0 and t1."""
+def local_steps(series: DataFrame, columns: tuple[str, ...] = ("a", "e", "inc", "raan"), window: int = WINDOW, others: bool = False) -> DataFrame:
+    """Gaps (idx: row after the gap) with the two-sided step of each column at the gap's midpoint, t0 and t1. others: rows without a full window stay too, with null steps."""
     w = by_object("t")
     before, after = w.rowsBetween(-window, -1), w.rowsBetween(0, window - 1)
     mid = (F.lag("t_days").over(w) + F.col("t_days")) / 2
     out = series.withColumns({"mid": mid, "t0": F.lag("t").over(w)})
     steps = {f"step_{c}": fit_at(F.col(c), F.col("t_days"), F.col("mid"), after) - fit_at(F.col(c), F.col("t_days"), F.col("mid"), before) for c in columns}
-    return out.withColumns(steps).where((F.col("n") >= 2 * window + 1) & (F.col("idx") >= window) & (F.col("idx") < F.col("n") - window))
+    whole = (F.col("n") >= 2 * window + 1) & (F.col("idx") >= window) & (F.col("idx") < F.col("n") - window)
+    if others:
+        return out.withColumns({c: F.when(whole, v) for c, v in steps.items()})
+    return out.withColumns(steps).where(whole)
 
 
 def scaled(gaps: DataFrame, columns: tuple[str, ...] = ("a", "e", "inc", "raan")) -> DataFrame:
@@ -97,25 +101,54 @@ def scaled(gaps: DataFrame, columns: tuple[str, ...] = ("a", "e", "inc", "raan")
 
 
 def holt(series: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Adds level_<c>: Holt level with a trend per day over the irregular spacing. One Arrow pass over each object's rows, linear in them."""
+    """Adds level_<c>: Holt level with a trend per day over the irregular spacing. One Arrow pass over rows sorted by object, linear in them."""
     kind = StructType([*series.schema.fields, *[StructField(f"level_{c}", DoubleType()) for c in columns]])
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        gaps = np.maximum(np.diff(rows["t_days"].to_numpy()), DT_FLOOR_DAYS).tolist()
-        for c in columns:
-            own = rows[c].to_numpy(dtype=float).tolist()
-            level, trend = own[0], (own[1] - own[0]) / gaps[0] if gaps else 0.0
-            levels = [level]
-            for x, dt in zip(own[1:], gaps, strict=True):
-                now = ALPHA * x + (1 - ALPHA) * (level + trend * dt)
-                trend = BETA * (now - level) / dt + (1 - BETA) * trend
-                level = now
-                levels.append(level)
-            rows[f"level_{c}"] = levels
-        return rows
-
-    return series.groupBy("norad_id").applyInPandas(fold, kind)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        norad = last = None
+        state: dict[str, tuple[float, float | None]] = {}  # level, and trend from the second row on
+        for batch in batches:
+            ids, times = batch["norad_id"].tolist(), batch["t_days"].tolist()
+            for c in columns:
+                before, at, (level, trend) = norad, last, state.get(c, (0.0, None))
+                levels = []
+                for i, t, x in zip(ids, times, batch[c].tolist(), strict=True):
+                    if i != before:
+                        before, level, trend = i, x, None
+                    else:
+                        dt = max(t - at, DT_FLOOR_DAYS)
+                        slope = (x - level) / dt if trend is None else trend
+                        now = ALPHA * x + (1 - ALPHA) * (level + slope * dt)
+                        level, trend = now, BETA * (now - level) / dt + (1 - BETA) * slope
+                    at = t
+                    levels.append(level)
+                state[c] = level, trend
+                batch[f"level_{c}"] = levels
+            if ids:
+                norad, last = ids[-1], times[-1]
+            yield batch
+
+    return series.repartition("norad_id").sortWithinPartitions("norad_id", "idx").mapInPandas(fold, kind)
+
+
+def holt_at(rows: Column, wanted: Column, columns: tuple[str, ...]) -> Column:
+    """The same levels as an expression over an object's sorted rows (idx, t_days, columns), kept only for the rows in wanted: array of (idx, columns)."""
+    first, second = rows[0], F.get(rows, F.lit(1))
+    gap = lambda t, t0: F.greatest(t - t0, F.lit(DT_FLOOR_DAYS))
+    own = lambda x, level: F.when(F.array_contains(wanted, x["idx"]), F.array(F.struct(x["idx"].alias("idx"), *[level[c].alias(c) for c in columns]))).otherwise(F.array())
+
+    def step(s: Column, x: Column) -> Column:
+        dt = gap(x["t_days"], s["t"])
+        level = {c: ALPHA * x[c] + (1 - ALPHA) * (s[f"level_{c}"] + s[f"trend_{c}"] * dt) for c in columns}
+        return F.struct(
+            F.concat(s["out"], own(x, level)).alias("out"), x["t_days"].alias("t"), *[level[c].alias(f"level_{c}") for c in columns],
+            *[(BETA * (level[c] - s[f"level_{c}"]) / dt + (1 - BETA) * s[f"trend_{c}"]).alias(f"trend_{c}") for c in columns],
+        )
+
+    dt = gap(second["t_days"], first["t_days"])
+    kind = f"array<struct<idx:int,{','.join(f'{c}:double' for c in columns)}>>"
+    start = F.struct(own(first, first).cast(kind).alias("out"), first["t_days"].alias("t"), *[first[c].alias(f"level_{c}") for c in columns], *[F.coalesce((second[c] - first[c]) / dt, F.lit(0.0)).alias(f"trend_{c}") for c in columns])
+    return F.aggregate(F.slice(rows, F.lit(2), F.size(rows)), start, step, lambda s: s["out"])
 
 
 def local_trend(series: DataFrame, column: str, half: int = DETREND_HALFWIDTH) -> Column:

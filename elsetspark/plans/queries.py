@@ -406,7 +406,7 @@ def src_tle_pair(s: SparkSession, d: str) -> DataFrame:
     one = F.concat(F.lit("1 "), n, F.lit("U 98067A   24"), day, F.lit("  .00001234  00000-0  12345-4 0  999"))
     two = F.concat(F.lit("2 "), n, F.lit("  51.6400 208.9000 "), F.lpad((k % 9999999).cast("string"), 7, "0"), F.lit(" 120.0000 240.0000 15.50000000 1234"))
     whole = lambda c: F.concat(F.rpad(c, 68, " "), tle.checksum(F.rpad(c, 68, " ")).cast("string"))
-    lines = _order_text(s, d).select(one.alias("one"), two.alias("two")).repartition("one").select(whole(F.col("one")).alias("line1"), whole(F.col("two")).alias("line2")).repartition("line1")
+    lines = tle.held(_order_text(s, d).repartition("o_orderkey"), one.alias("one"), two.alias("two")).select(whole(F.col("one")).alias("line1"), whole(F.col("two")).alias("line2"))
     return rounded(tle.parse(lines).select("norad_id", "t", "eccentricity", "mean_motion", F.col("bstar").alias("bstar"), "object_id"), 9)
 
 

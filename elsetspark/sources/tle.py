@@ -31,8 +31,14 @@ def epoch_us(year: Column, day: Column) -> Column:
     return (F.unix_date(F.make_date(full, F.lit(1), F.lit(1))).cast("long") * US_PER_DAY + F.round((day - 1) * US_PER_DAY)).cast("long")
 
 
+def held(df: DataFrame, *columns: Column) -> DataFrame:
+    """df.select(*columns), evaluated once: what follows is not written into it, however often it names a column."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def parse(pairs: DataFrame, strict: bool = True) -> DataFrame:
     """Elsets of rows with line1, line2. strict: a malformed pair raises; else it is dropped."""
+    pairs = held(pairs, F.col("line1"), F.col("line2"))
     a, b = F.col("line1"), F.col("line2")
     cut = lambda line, lo, hi: F.trim(F.substring(line, lo, hi - lo + 1))
     n = cut(b, 53, 63).try_cast("double")

@@ -112,6 +112,14 @@ def test_series_plan_has_one_exchange(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_rule_detector_scans_once(spark, tmp_path):
+    spark.createDataFrame(synthetic(1), COLUMNS).write.parquet(f"{tmp_path}/s")
+    df = detect_rule(spark.read.parquet(f"{tmp_path}/s"))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan parquet") == 1 and "Python" not in plan and "Pandas" not in plan
+
+
 # Golden scoring scenario
 
 
