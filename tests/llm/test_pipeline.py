@@ -62,8 +62,10 @@ def test_nulls_in_every_column(spark, tmp_path):
     assert {r["text"] for r in out} <= {"some words here that stay", "other words of some text"}
 
 
-def test_near_copies_against_brute_force(spark):
+@pytest.mark.parametrize("dense", [0, 4, 10**6])
+def test_near_copies_against_brute_force(spark, monkeypatch, dense):
     """Groups are those of all pairs of five-word shingle sets with similarity 0.8 or more, in few and in many sets a shingle."""
+    monkeypatch.setattr(near_copies, "DENSE", dense)
     rng = random.Random(3)
     fresh = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
     base, passage, rows = fresh(200), fresh(40), []
@@ -121,6 +123,18 @@ def test_sketches_never_rule_out_sets_alike():
     assert ruled_out > 60
 
 
+def test_sketches_of_a_shingle_agree_with_pairs():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 140).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(140) > rng.choice([0.05, 0.2])], rng.integers(0, 2**63, int(rng.integers(0, 30))).astype(np.uint64)])) for _ in range(60)]
+    n, drawn = np.array([len(x) for x in sets]), [near_copies.sketch(x) for x in sets]
+    assert len({len(x) for x in drawn}) > 1
+    own = near_copies.Sketches(n, drawn)
+    for i in range(60):
+        j = np.array([k for k in range(60) if k != i])
+        assert set(own.may(i, j).tolist()) == {k for k in j.tolist() if near_copies.may_be_alike(n[i], drawn[i], n[k], drawn[k])}
+
+
 def test_bridges_join_what_is_alike():
     """Sets of one shingle, in groups: the links join the groups as all pairs of sets alike would."""
     rng = np.random.default_rng(6)
