@@ -68,19 +68,44 @@ def classify(radial: Column, along: Column, cross: Column) -> Column:
     return F.when((s >= cross) & (s >= radial), TYPES[0]).when(cross >= radial, TYPES[1]).otherwise(TYPES[2])
 
 
-def invert(da: Column, de: Column, di: Column, draan: Column, a: Column, e: Column, i: Column, argp: Column) -> dict[str, Column]:
-    """Velocity change (m/s) and type of an element step (km, -, rad, rad) about an orbit."""
+def orbit(a: Column, e: Column, i: Column, argp: Column) -> Column:
+    """Struct of an orbit (km, -, rad, rad) with semi-latus rectum p, angular momentum h and mean motion.
+    a > 0, 0 <= e < 1 and 0 <= i <= pi, else an error; null where one of them is."""
+    bad = F.when(a <= 0, "semi-major axis").when(~e.between(0, 1) | (e == 1), "eccentricity").when(~i.between(0, math.pi), "inclination")
+    p = a * (1 - e * e)
+    made = F.struct(a.alias("a"), e.alias("e"), i.alias("i"), argp.alias("argp"), p.alias("p"), F.sqrt(MU * p).alias("h"), mean_motion(a).alias("mean_motion"))
+    return F.when(bad.isNotNull(), F.raise_error(F.concat(bad, F.lit(" out of range")))).when(a.isNotNull() & e.isNotNull() & i.isNotNull(), made)
+
+
+def located(da: Column, de: Column, a: Column, e: Column, nu: Column) -> dict[str, Column]:
+    """Radial and in-track change (km/s) that make the step at true anomaly nu; null where nu is or the two hardly differ in effect."""
+    unit = lambda radial, along: gauss_forward(F.lit(radial), F.lit(along), F.lit(0.0), nu, a, e, F.lit(1.0), F.lit(0.0))
+    by_radial, by_along = unit(1.0, 0.0), unit(0.0, 1.0)
+    det = by_radial["da"] * by_along["de"] - by_along["da"] * by_radial["de"]
+    solve = lambda x: F.when(F.abs(det) > 1e-15, x / det)
+    return {"radial": solve(da * by_along["de"] - by_along["da"] * de), "along": solve(by_radial["da"] * de - da * by_radial["de"])}
+
+
+def invert(da: Column, de: Column, di: Column, draan: Column, a: Column, e: Column, i: Column, argp: Column, nu: Column | None = None) -> dict[str, Column]:
+    """Velocity change (m/s) and type of an element step (km, -, rad, rad) about an orbit.
+
+    Where the true anomaly nu of the burn is given and tells radial from in-track, both are exact (radial without its sign).
+    Elsewhere in-track follows from da, radial from what is left of de; an anomaly read off the node only sets the speed.
+    """
     along_node = F.sin(i) * draan
     signal = F.sqrt(di * di + along_node * along_node)
     seen = signal > 1e-12
-    nu = F.atan2(along_node, di) - argp
-    r = F.when(seen, radius_at(a, e, nu)).otherwise(a)
+    crossing = F.atan2(along_node, di) - argp
+    r = F.when(seen, radius_at(a, e, crossing)).otherwise(a)
     cross = F.when(seen, F.sqrt(MU * a * (1 - e * e)) / r * signal).otherwise(0.0) * 1e3
-    n, v = mean_motion(a), orbital_speed(a, r)
+    n, v = mean_motion(a), orbital_speed(a, r if nu is None else F.coalesce(radius_at(a, e, nu), r))
     along = n * n * a / (2 * v) * da
     rest = (v * de) * (v * de) - (2 * along) * (2 * along)
     radial = F.when(rest > 0, F.sqrt(F.greatest(rest, F.lit(0.0)))).otherwise(0.0) * 1e3
     along = along * 1e3
+    if nu is not None:
+        exact = located(da, de, a, e, nu)
+        radial, along = F.coalesce(F.abs(exact["radial"]) * 1e3, radial), F.coalesce(exact["along"] * 1e3, along)
     return {"radial_ms": radial, "in_track_ms": along, "cross_track_ms": cross, "delta_v_ms": F.sqrt(radial * radial + along * along + cross * cross), "type": classify(radial, along, cross)}
 
 

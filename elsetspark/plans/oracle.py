@@ -150,13 +150,16 @@ def self_labels(along: str, other: str, kind: str) -> str:
     return f"SELECT norad_id, t0 AS window_start, t AS window_end, CASE WHEN along >= other THEN 'in-track' ELSE '{kind}' END AS maneuver_type FROM (SELECT *, {along} AS along, {other} AS other FROM z WHERE t0 IS NOT NULL) WHERE along > 0 OR other > 0"
 
 
-BASE = {"a": "a", "e": "e", "sin_i": f"sin(inc * {RAD})", "h": f"e * cos(argp * {RAD})", "raan": "raan"}
+BASE = {"a": "ix.a", "e": "ix.e", "sin_i": f"sin(ev.inc * {RAD})", "cos_i": f"cos(ev.inc * {RAD})", "h": f"ix.e * cos(ev.argp * {RAD})", "k": f"ix.e * sin(ev.argp * {RAD})", "raan": "ix.raan"}
 TREND = "(avg({c}) OVER w + CASE WHEN isfinite(regr_slope({c}, t_days) OVER w) THEN coalesce(regr_slope({c}, t_days) OVER w, 0) ELSE 0 END * (t_days - avg(t_days) OVER w))"
 CHAN = f"""{EV}, {indexed('ev')},
-b AS (SELECT ix.norad_id, ix.t, ix.idx, ix.t_days, {", ".join(f"{('ev.inc' if False else v)} AS x_{k}" for k, v in {'a': 'ix.a', 'e': 'ix.e', 'sin_i': f'sin(ev.inc * {RAD})', 'h': f'ix.e * cos(ev.argp * {RAD})', 'raan': 'ix.raan'}.items())} FROM ix JOIN ev ON ev.event_id = ix.event_id),
+b AS (SELECT ix.norad_id, ix.t, ix.idx, ix.t_days, {", ".join(f"{v} AS x_{k}" for k, v in BASE.items())} FROM ix JOIN ev ON ev.event_id = ix.event_id),
 r AS (SELECT *, {", ".join(f"x_{c} - {TREND.format(c='x_' + c)} AS res_{c}" for c in BASE)} FROM b WINDOW w AS (PARTITION BY norad_id ORDER BY t ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
 ch AS (SELECT *, {", ".join(f"coalesce(res_{c} - lag(res_{c}) OVER w, 0) AS dlt_{c}" for c in BASE)}, coalesce(t_days - lag(t_days) OVER w, 0) AS gap,
   CASE WHEN median(x_a) OVER (PARTITION BY norad_id) < 8378 THEN 'LEO' WHEN median(x_a) OVER (PARTITION BY norad_id) >= 35000 THEN 'GEO' ELSE 'MEO' END AS orbit_class FROM r WINDOW w AS (PARTITION BY norad_id ORDER BY t))"""
+ELEMENT_CHANNELS = {f"{kind}_{c}": f"{column}_{c}" for kind, column in (("lvl", "x"), ("res", "res"), ("dlt", "dlt")) for c in BASE}
+TIME_CHANNELS = {"t_dt": "least(gap, 2.5) / 2.5"} | {f"t_{f}{p}": f"{f}(2 * pi() * gap / {p})" for p in (1, 2, 4, 8) for f in ("sin", "cos")}
+FLAG_CHANNELS = {"elset_valid": "CAST(1 AS DOUBLE)", "dt_saturated": "CAST(CASE WHEN gap > 2.5 THEN 1 ELSE 0 END AS DOUBLE)"}
 SAMPLES = f"smp AS (SELECT value / (value + 50) AS confidence, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS outcome, {CLASS} AS orbit_class FROM events)"
 BINS = "(" + " + ".join(f"CASE WHEN confidence >= CAST({i * 0.1!r} AS DOUBLE) THEN 1 ELSE 0 END" for i in range(1, 10)) + ")"
 RELY = f"""{SAMPLES}, ag AS (SELECT orbit_class, {BINS} AS bin, count(*) AS n, avg(confidence) AS mean_confidence, avg(CAST(outcome AS DOUBLE)) AS precision FROM smp GROUP BY 1, 2)"""
@@ -182,6 +185,16 @@ SQL = {
     "win_holt": f"WITH RECURSIVE {EV}, {indexed('ev')}, {holt(('a', 'inc'))} SELECT norad_id, idx, {rnd('l_a')} AS level_a, {rnd('l_inc')} AS level_inc FROM h",
     "fn_invert": f"WITH {EV} SELECT event_id, {rnd('radial_ms')} AS radial_ms, {rnd('in_track_ms')} AS in_track_ms, {rnd('cross_track_ms')} AS cross_track_ms, {rnd('delta_v_ms')} AS delta_v_ms, type FROM {invert('(event_id % 41 - 20) * CAST(0.1 AS DOUBLE)', '(event_id % 7 - 3) * CAST(1e-4 AS DOUBLE)', '(event_id % 5 - 2) * CAST(1e-5 AS DOUBLE)', '(event_id % 3 - 1) * CAST(1e-5 AS DOUBLE)', 'a', 'e', f'inc * {RAD}', f'raan * {RAD}', 'ev', 'event_id')}",
     "fn_gauss_round_trip": f"WITH {EV} SELECT event_id, {rnd('(event_id % 41 + 1) * CAST(1e-4 AS DOUBLE) * 1000', 5)} AS dv_ms, {rnd('(event_id % 41 + 1) * CAST(1e-4 AS DOUBLE) * 1000', 5)} AS in_track_ms FROM ev",
+    "fn_invert_located": f"""WITH {EV}, x AS (SELECT event_id, a, (event_id % 20) * CAST(0.04 AS DOUBLE) AS e, (event_id % 63) * CAST(0.1 AS DOUBLE) AS nu, event_id % 3 = 0 AS blind, (event_id % 41 - 20) * CAST(0.1 AS DOUBLE) AS da, (event_id % 7 - 3) * CAST(1e-4 AS DOUBLE) AS de FROM ev),
+y AS (SELECT *, sqrt({MU} / (a * a * a)) AS n, sqrt(1 - e * e) AS s, CASE WHEN blind THEN a ELSE a * (1 - e * e) / (1 + e * cos(nu)) END AS r FROM x),
+m AS (SELECT *, 2 * e * sin(nu) / (n * s) AS ar, 2 * a * s / (n * r) AS al, s * sin(nu) / (n * a) AS er, s * (cos(nu) + (e + cos(nu)) / (1 + e * cos(nu))) / (n * a) AS et, sqrt({MU} * (2 / r - 1 / a)) AS v FROM y),
+z AS (SELECT *, ar * et - al * er AS det, n * n * a / (2 * v) * da AS along FROM m)
+SELECT event_id, {rnd('1000 * CASE WHEN NOT blind AND abs(det) > 1e-15 THEN abs((da * et - al * de) / det) ELSE sqrt(greatest(v * de * v * de - 4 * along * along, 0)) END', 5)} AS radial_ms, {rnd('1000 * CASE WHEN NOT blind AND abs(det) > 1e-15 THEN (ar * de - da * er) / det ELSE along END', 5)} AS in_track_ms FROM z""",
+    "fn_orbit": f"WITH {EV} SELECT event_id, {rnd('a * (1 - e * e)')} AS p, {rnd(f'sqrt({MU} * a * (1 - e * e))')} AS h, {rnd(f'sqrt({MU} / (a * a * a)) * 1e4')} AS rate FROM ev",
+    "src_fetch_result": f"WITH {EV} SELECT norad_id, t, a, 'history' AS source, t > epoch_us(TIMESTAMP '2024-01-11') AS after_fetch, true AS stale FROM ev WHERE t BETWEEN epoch_us(TIMESTAMP '2024-01-08') AND epoch_us(TIMESTAMP '2024-01-15')",
+    "txt_epoch_predicate": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN lo || '--' || hi WHEN 1 THEN '>' || lo WHEN 2 THEN '<' || hi ELSE '' END AS predicate FROM (SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS lo, strftime(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') AS hi FROM orders)",
+    "txt_coverage": f"""WITH {LAB}, c AS (SELECT orbit_class, place, count(label_id) AS n, count(delta_v) AS dv, count(norad_id) AS cat, coalesce(string_agg(DISTINCT source, ', ' ORDER BY source), '—') AS src FROM (SELECT unnest(['LEO', 'MEO', 'GEO', 'IGSO', 'HEO']) AS orbit_class, unnest(range(1, 6)) AS place) LEFT JOIN lab USING (orbit_class) GROUP BY 1, 2)
+SELECT CAST(0 AS INTEGER) AS place, sum(n) || ' labelled maneuver events' AS line FROM c UNION ALL SELECT CAST(place AS INTEGER), '  ' || orbit_class || ': ' || n || ' events (' || dv || ' with Δv, ' || cat || ' catalogue-resolved) [' || src || ']' FROM c""",
     "fn_j2_rates": f"WITH {EV}, q AS (SELECT event_id, sqrt({MU} / pow(a, 3)) * 1.082616e-3 * pow(6378.135 / (a * (1 - e * e)), 2) AS k, e, cos(inc * {RAD}) AS c FROM ev) SELECT event_id, {rnd('-1.5 * k * c * 1e7')} AS raan_rate, {rnd('0.75 * k * (5 * c * c - 1) * 1e7')} AS argp_rate, {rnd('0.75 * k * (3 * c * c - 1) * sqrt(1 - e * e) * 1e7')} AS anomaly_rate FROM q",
     "fn_speeds": f"WITH {EV} SELECT event_id, {rnd(f'sqrt({MU} / pow(a, 3)) * 1000')} AS n_mrad_s, {rnd(f'sqrt({MU} / a)')} AS v_circular, {rnd(f'sqrt({MU} * (2 * (1 + e * cos(raan * {RAD})) / (a * (1 - e * e)) - 1 / a))')} AS v FROM ev",
     "agg_object_floor": f"WITH {DETECT}, {FLOORS} SELECT norad_id, {rnd('floor_in_track', 5)} AS floor_in_track, {rnd('floor_cross_track', 5)} AS floor_cross_track, {rnd('floor_radial', 5)} AS floor_radial FROM floors",
@@ -229,9 +242,9 @@ rc AS (SELECT a, b FROM pr UNION SELECT rc.a, pr.b FROM rc JOIN pr ON rc.b = pr.
 SELECT coalesce(p.id, r.id) AS norad_id, CASE WHEN p.id IS NULL THEN 'unexpected' WHEN r.id IS NULL THEN 'missing' ELSE 'hash' END AS problem FROM p FULL JOIN r ON p.id = r.id WHERE p.id IS NULL OR r.id IS NULL OR p.h <> r.h""",
     "agg_digest": f"SELECT o_custkey, count(*) AS n, {DIGEST} AS sha256 FROM orders GROUP BY 1",
     "sort_board": f"SELECT CAST(s_suppkey AS VARCHAR) AS name, {rnd('(s_suppkey % 7) / 7')} AS recall, s_suppkey % 5 AS submitted_at, CAST(row_number() OVER (ORDER BY (s_suppkey % 7) / 7 DESC, s_suppkey % 5, CAST(s_suppkey AS VARCHAR)) AS INTEGER) AS place FROM supplier",
-    "feat_channels": f"WITH {CHAN} SELECT norad_id, idx, orbit_class, {rnd('x_sin_i')} AS lvl_sin_i, {rnd('x_h')} AS lvl_h, {rnd('x_raan')} AS lvl_raan, {rnd('res_a')} AS res_a, {rnd('res_raan')} AS res_raan, {rnd('dlt_a')} AS dlt_a, {rnd('dlt_sin_i')} AS dlt_sin_i, {rnd('least(gap, 2.5) / 2.5')} AS t_dt, {rnd('sin(pi() * gap)')} AS t_sin2, {rnd('cos(2 * pi() * gap / 8)')} AS t_cos8, CAST(1 AS DOUBLE) AS elset_valid, CAST(CASE WHEN gap > 2.5 THEN 1 ELSE 0 END AS DOUBLE) AS dt_saturated FROM ch",
+    "feat_channels": f"WITH {CHAN} SELECT norad_id, idx, orbit_class, {', '.join(f'{rnd(v)} AS {n}' for n, v in (ELEMENT_CHANNELS | TIME_CHANNELS | FLAG_CHANNELS).items())} FROM ch",
     "feat_windows": f"WITH {EV}, {indexed('ev')}, o AS (SELECT norad_id, CAST(count(*) AS BIGINT) AS n FROM ix GROUP BY 1), w AS (SELECT norad_id, n, unnest(range(0, n, 32)) AS start FROM o), p AS (SELECT *, unnest(range(0, 64)) AS position FROM w) SELECT norad_id, start // 32 AS window_id, position, CASE WHEN start + position < n THEN start + position END AS idx, start + position < n AS valid FROM p",
-    "agg_class_quartiles": f"WITH {CHAN}, u AS ({' UNION ALL '.join(f'''SELECT orbit_class, '{n}' AS channel, quantile_cont({v}, [0.25, 0.5, 0.75]) AS q FROM ch GROUP BY 1''' for n, v in {'lvl_a': 'x_a', 'res_a': 'res_a', 'dlt_a': 'dlt_a', 'lvl_raan': 'x_raan'}.items())}) SELECT orbit_class, channel, {rnd('q[2]', 5)} AS median, {rnd('greatest(q[3] - q[1], 1e-12)', 5)} AS iqr FROM u",
+    "agg_class_quartiles": f"WITH {CHAN}, u AS ({' UNION ALL '.join(f'''SELECT orbit_class, '{n}' AS channel, quantile_cont({v}, [0.25, 0.5, 0.75]) AS q FROM ch GROUP BY 1''' for n, v in ELEMENT_CHANNELS.items())}) SELECT orbit_class, channel, {rnd('q[2]', 5)} AS median, {rnd('greatest(q[3] - q[1], 1e-12)', 5)} AS iqr FROM u",
     "win_overlap_average": f"WITH {EV}, {indexed('ev')}, w AS (SELECT norad_id, idx, unnest(range(greatest(CAST(floor((idx - 64) / 32) AS BIGINT) + 1, 0), idx // 32 + 1)) AS window_id FROM ix) SELECT norad_id, idx, {rnd('avg(1 / CAST(1 + window_id + idx - window_id * 32 AS DOUBLE))')} AS p FROM w GROUP BY 1, 2",
     "agg_reliability": f"WITH {RELY} SELECT c.orbit_class, CAST(b.bin AS INTEGER) AS bin, coalesce(n, 0) AS n, {rnd('mean_confidence')} AS mean_confidence, {rnd('precision')} AS precision FROM (SELECT DISTINCT orbit_class FROM smp) c CROSS JOIN (SELECT unnest(range(10)) AS bin) b LEFT JOIN ag ON ag.orbit_class = c.orbit_class AND ag.bin = b.bin",
     "agg_ece": f"WITH {RELY} SELECT orbit_class, {rnd('sum(n * abs(mean_confidence - precision)) / sum(n)')} AS ece FROM ag GROUP BY 1",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import physics
 from ..operators import bench, calibrate, detect, features, labels, learned, partition, series
 from . import adapters as ad
-from .oracle import CHAN, DAY, DETECT, EV, FLOORS, LAB, RAD, SAMPLES, SCORED, TYPE, indexed, invert, rnd
+from .oracle import CHAN, DAY, DETECT, ELEMENT_CHANNELS, EV, FLAG_CHANNELS, FLOORS, LAB, RAD, SAMPLES, SCORED, TIME_CHANNELS, TYPE, indexed, invert, rnd
 from .oracle import SQL as ENGINE_SQL
 from .queries import _scored, rounded
 
@@ -56,10 +56,10 @@ def det_learned_peaks(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def det_learned_invert(s: SparkSession, d: str) -> DataFrame:
-    """Steps and median orbits around the tokens of every eleventh event, the ends of a series included."""
+    """Steps and median orbits around every gap, the ends of a series included."""
     encoded = features.channels(ad.series_ev(s, d))
     rows = learned.aligned_elements(encoded)
-    found = learned.around(rows, rows.where("idx > 0 and (norad_id + idx) % 11 = 0").select("norad_id", "idx"))
+    found = learned.around(rows, rows.where("idx > 0").select("norad_id", "idx"))
     got = learned.inverted(found)
     return rounded(found.select("norad_id", "idx", "width", (F.col("step_a") * 100).alias("step_a"), (F.col("ref_a") * 100).alias("ref_a"), (F.col("ref_e") * 1000).alias("ref_e"), got["in_track_ms"].alias("in_track_ms"), got["cross_track_ms"].alias("cross_track_ms")), 4)
 
@@ -88,7 +88,7 @@ def agg_median_orbit(s: SparkSession, d: str) -> DataFrame:
 def fn_standardise(s: SparkSession, d: str) -> DataFrame:
     encoded = features.channels(ad.series_ev(s, d))
     out = features.standardise(encoded, features.class_quartiles(encoded))
-    return rounded(out.select("norad_id", "idx", *[F.col(c).cast("double").alias(c) for c in ("lvl_a", "res_a", "dlt_a", "dlt_sin_i")]), 3)
+    return rounded(out.select("norad_id", "idx", *[F.col(c).cast("double").alias(c) for c in features.CHANNELS]), 3)
 
 
 @query
@@ -218,7 +218,7 @@ def era(x: str) -> str:
 ERAS = f"{CUTS}, er AS (SELECT lab.*, {era('window_start')} AS era FROM lab, c WHERE norad_id IS NOT NULL AND {era('window_start')} = {era('window_end')})"
 ASSIGNED = f"{MEM}, {ERAS}, asg AS (SELECT er.*, split FROM er JOIN mem USING (norad_id) WHERE era = CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END)"
 SPANS = f"spans AS (SELECT norad_id, (max(t) - min(t)) / CAST(365.25 * {DAY} AS DOUBLE) AS observation_years, min(t) AS lo FROM ev JOIN mem USING (norad_id), c WHERE split = 'train' AND {era('t')} = 0 GROUP BY 1)"
-QUART = "qt AS (SELECT orbit_class, " + ", ".join(f"quantile_cont({v}, [0.25, 0.5, 0.75]) AS q_{n}" for n, v in {"lvl_a": "x_a", "res_a": "res_a", "dlt_a": "dlt_a", "dlt_sin_i": "dlt_sin_i"}.items()) + " FROM ch GROUP BY 1)"
+QUART = "qt AS (SELECT orbit_class, " + ", ".join(f"quantile_cont({v}, [0.25, 0.5, 0.75]) AS q_{n}" for n, v in ELEMENT_CHANNELS.items()) + " FROM ch GROUP BY 1)"
 
 
 def std(name: str, value: str) -> str:
@@ -241,7 +241,7 @@ def step(c: str) -> str:
 AROUND = f"""{EV}, {indexed('ev')},
 el AS (SELECT ix.norad_id, ix.idx, ix.n, ix.t_days, ev.a, ev.e, sin(ev.inc * {RAD}) AS sin_i, cos(ev.inc * {RAD}) AS cos_i, ev.e * cos(ev.argp * {RAD}) AS h, ev.e * sin(ev.argp * {RAD}) AS k,
   atan2(sin(ev.inc * {RAD}), cos(ev.inc * {RAD})) AS inc_rad, radians(ix.raan) AS raan_rad, (ix.t_days + lag(ix.t_days) OVER (PARTITION BY ix.norad_id ORDER BY ix.idx)) / 2 AS mid FROM ix JOIN ev USING (event_id)),
-nr AS (SELECT g.norad_id, g.idx, el.idx - g.idx AS off, least(4, g.idx, g.n - g.idx) AS width, g.mid, el.* EXCLUDE (norad_id, idx, mid) FROM el g JOIN el ON el.norad_id = g.norad_id AND el.idx BETWEEN g.idx - 4 AND g.idx + 3 WHERE g.idx > 0 AND (g.norad_id + g.idx) % 11 = 0),
+nr AS (SELECT g.norad_id, g.idx, el.idx - g.idx AS off, least(4, g.idx, g.n - g.idx) AS width, g.mid, el.* EXCLUDE (norad_id, idx, mid) FROM el g JOIN el ON el.norad_id = g.norad_id AND el.idx BETWEEN g.idx - 4 AND g.idx + 3 WHERE g.idx > 0),
 ar AS (SELECT norad_id, idx, any_value(width) AS width, {", ".join(step(c) for c in ("a", "e", "inc_rad", "raan_rad"))}, {", ".join(f"median({c}) FILTER (WHERE off < 0) AS m_{c}" for c in ("a", "e", "sin_i", "cos_i", "h", "k"))} FROM nr GROUP BY 1, 2)"""
 
 SQL = {
@@ -255,7 +255,7 @@ SELECT norad_id, idx, t, {rnd('p', 4)} AS p FROM (SELECT *, row_number() OVER (P
     "det_learned_invert": f"WITH {AROUND} SELECT norad_id, idx, width, {rnd('s_a * 100', 4)} AS step_a, {rnd('m_a * 100', 4)} AS ref_a, {rnd('m_e * 1000', 4)} AS ref_e, {rnd('in_track_ms', 4)} AS in_track_ms, {rnd('cross_track_ms', 4)} AS cross_track_ms FROM {invert('s_a', 's_e', 's_inc_rad', 's_raan_rad', 'm_a', 'least(greatest(m_e, 0), 0.999999)', 'least(greatest(atan2(m_sin_i, m_cos_i), 0), pi())', 'atan2(m_k, m_h)', 'ar', 'norad_id, idx, width, s_a, m_a, m_e')}",
     "win_rolling_context": f"WITH {EV}, {indexed('ev')} SELECT norad_id, idx, n, {rnd('oldest')} AS oldest, {rnd('latest')} AS latest, {rnd('total')} AS total FROM (SELECT norad_id, idx, count(*) OVER w AS n, first_value(a) OVER w AS oldest, last_value(a) OVER w AS latest, sum(a) OVER w AS total FROM ix WINDOW w AS (PARTITION BY norad_id ORDER BY idx ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING)) WHERE idx > 0",
     "agg_median_orbit": f"WITH {DETECT} SELECT norad_id, {rnd('median(a)', 8)} AS a, {rnd('least(greatest(median(e), 0), 0.999999)', 8)} AS e, {rnd(f'least(greatest(median(inc) * {RAD}, 0), pi())', 8)} AS inc_rad, {rnd('median(argp)', 8)} AS argp FROM ix GROUP BY 1",
-    "fn_standardise": f"WITH {CHAN}, {QUART} SELECT norad_id, idx, {rnd(std('lvl_a', 'x_a'), 3)} AS lvl_a, {rnd(std('res_a', 'res_a'), 3)} AS res_a, {rnd(std('dlt_a', 'dlt_a'), 3)} AS dlt_a, {rnd(std('dlt_sin_i', 'dlt_sin_i'), 3)} AS dlt_sin_i FROM ch JOIN qt USING (orbit_class)",
+    "fn_standardise": f"WITH {CHAN}, {QUART} SELECT norad_id, idx, {', '.join(f'{rnd(std(n, v), 3)} AS {n}' for n, v in ELEMENT_CHANNELS.items())}, {', '.join(f'{rnd(f"CAST(CAST({v} AS FLOAT) AS DOUBLE)", 3)} AS {n}' for n, v in (TIME_CHANNELS | FLAG_CHANNELS).items())} FROM ch JOIN qt USING (orbit_class)",
     "fn_confidence": f"SELECT event_id, {rnd(f'least(1, greatest(0, value / (value + 6) * CASE WHEN {TYPE} = $$radial$$ THEN 0.6::DOUBLE ELSE 1 END))')} AS rule, {rnd('1 - exp(-value / 40)')} AS residual FROM events",
     "fn_conformal_set": f"WITH {SAMPLES}, r AS (SELECT orbit_class, score, row_number() OVER (PARTITION BY orbit_class ORDER BY score) AS k, count(*) OVER (PARTITION BY orbit_class) AS n FROM (SELECT orbit_class, CASE WHEN outcome = 1 THEN 1 - confidence ELSE confidence END AS score FROM smp)), q AS (SELECT orbit_class, coalesce(min(score) FILTER (WHERE k = ceil((n + 1) * (1 - 0.1::DOUBLE))), 1) AS q FROM r GROUP BY 1) SELECT orbit_class, array_to_string(list_filter([CASE WHEN confidence >= 1 - q THEN '1' END, CASE WHEN 1 - confidence >= 1 - q THEN '0' END], lambda x: x IS NOT NULL), ',') AS labels, count(*) AS n FROM smp JOIN q USING (orbit_class) GROUP BY 1, 2",
     "calib_samples": f"WITH RECURSIVE {SCORED} SELECT orbit_class, count(*) AS n, CAST(sum(CASE WHEN outcome = 'tp_above' THEN 1 ELSE 0 END) AS BIGINT) AS hits, {rnd('avg(confidence)')} AS mean_confidence FROM scored WHERE outcome <> 'tp_below' GROUP BY 1",

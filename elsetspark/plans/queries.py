@@ -12,7 +12,7 @@ from ..constants import THRESHOLD
 from ..functions import physics
 from ..functions.stats import wilson
 from ..operators import bench, calibrate, detect, evaluate, features, labels, series
-from ..sources import notices, omm, tle
+from ..sources import fetch, notices, omm, tle
 from . import adapters as ad
 
 RAD = math.pi / 180
@@ -49,6 +49,20 @@ def pred_in_range(s: SparkSession, d: str) -> DataFrame:
     return ev.groupBy("norad_id").agg(F.count("*").alias("n"), F.min("t").alias("first_t"))
 
 
+@query
+def src_fetch_result(s: SparkSession, d: str) -> DataFrame:
+    """A week of elements as a fetch returns them, here out of an old copy."""
+    got = fetch.result(ad.series_ev(s, d), "history", F.lit(1_704_931_200_000_000), 1_704_672_000_000_000, 1_705_276_800_000_000, stale=True)
+    return got.select("norad_id", "t", "a", "source", (F.col("t") > F.col("fetched_at")).alias("after_fetch"), "stale")
+
+
+@query
+def txt_epoch_predicate(s: SparkSession, d: str) -> DataFrame:
+    k, day = F.col("o_orderkey") % 4, ad.micros("o_orderdate")
+    lo, hi = F.when(k.isin(0, 1), day), F.when(k.isin(0, 2), day + 36 * 3_600_000_000)
+    return ad.read(s, d, "orders").select("o_orderkey", fetch.epoch_predicate(lo, hi).alias("predicate"))
+
+
 @query
 def agg_dedup_epoch(s: SparkSession, d: str) -> DataFrame:
     return rounded(series.dedup_epoch(ad.elsets_dup(s, d)).select("norad_id", "t", "mean_motion", "element_set_no"))
@@ -131,6 +145,22 @@ def fn_gauss_round_trip(s: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("event_id", (F.col("dv") * 1000).alias("dv_ms"), got["in_track_ms"].alias("in_track_ms")), 5)
 
 
+@query
+def fn_invert_located(s: SparkSession, d: str) -> DataFrame:
+    """In-plane inversion with a known true anomaly, and without one in every third row."""
+    i, zero = F.col("event_id"), F.lit(0.0)
+    nu = F.when(i % 3 != 0, (i % 63) * F.lit(0.1))
+    got = physics.invert((i % 41 - 20) * F.lit(0.1), (i % 7 - 3) * F.lit(1e-4), zero, zero, F.col("a"), (i % 20) * F.lit(0.04), F.lit(1.0), zero, nu)
+    return rounded(ad.series_ev(s, d).select("event_id", *[got[c].alias(c) for c in ("radial_ms", "in_track_ms")]), 5)
+
+
+@query
+def fn_orbit(s: SparkSession, d: str) -> DataFrame:
+    orbit = physics.orbit(F.col("a"), F.col("e"), F.col("inc") * RAD, F.col("argp") * RAD)
+    rows = ad.series_ev(s, d).select("event_id", orbit.alias("o"))
+    return rounded(rows.select("event_id", "o.p", "o.h", (F.col("o.mean_motion") * 1e4).alias("rate")))
+
+
 @query
 def fn_j2_rates(s: SparkSession, d: str) -> DataFrame:
     rates = physics.j2_rates(F.col("a"), F.col("e"), F.col("inc") * RAD)
@@ -188,6 +218,11 @@ def agg_coverage(s: SparkSession, d: str) -> DataFrame:
     return labels.coverage(ad.labels_ev(s, d))
 
 
+@query
+def txt_coverage(s: SparkSession, d: str) -> DataFrame:
+    return labels.coverage_lines(labels.coverage(ad.labels_ev(s, d)))
+
+
 @query
 def lab_geo_self(s: SparkSession, d: str) -> DataFrame:
     return labels.derive_geo(ad.series_ev(s, d))
@@ -309,7 +344,7 @@ def sort_board(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def feat_channels(s: SparkSession, d: str) -> DataFrame:
-    return rounded(features.channels(ad.series_ev(s, d)).select("norad_id", "idx", "orbit_class", "lvl_sin_i", "lvl_h", "lvl_raan", "res_a", "res_raan", "dlt_a", "dlt_sin_i", "t_dt", "t_sin2", "t_cos8", "elset_valid", "dt_saturated"))
+    return rounded(features.channels(ad.series_ev(s, d)).drop("t"))
 
 
 @query
@@ -321,8 +356,7 @@ def feat_windows(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def agg_class_quartiles(s: SparkSession, d: str) -> DataFrame:
-    q = features.class_quartiles(features.channels(ad.series_ev(s, d)))
-    return rounded(q.where(F.col("channel").isin("lvl_a", "res_a", "dlt_a", "lvl_raan")), 5)
+    return rounded(features.class_quartiles(features.channels(ad.series_ev(s, d))), 5)
 
 
 @query

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from elsetspark import available_models, detect, get_detector, register_detector
 from elsetspark.cli import main as cli
 from elsetspark.constants import ORBIT_CLASSES
+from elsetspark.functions import physics
 from elsetspark.functions.sgp4 import sane_at_epoch
 from elsetspark.functions.stats import bin_of
 from elsetspark.operators import bench, calibrate, evaluate, features, labels, learned, partition, series
 from elsetspark.operators.detect import detect_rule, prepared
 from elsetspark.plans import QUERIES, SQL
-from elsetspark.sources import documents, notices, omm, tle
+from elsetspark.sources import documents, fetch, notices, omm, tle
 
 SF = "/root/testdata/sf0.001"
 DAY = 86_400_000_000
@@ -500,3 +501,40 @@ def test_holt_is_linear_in_an_object(spark):
         now = series.ALPHA * x[k] + (1 - series.ALPHA) * (level + trend * dt)
         trend, level = series.BETA * (now - level) / dt + (1 - series.BETA) * trend, now
         assert abs(got[k] - level) < 1e-6
+
+
+def test_located_inversion_recovers_the_impulse(spark):
+    given = [(0.003, -0.002, 0.7, 0.2), (-0.001, 0.004, 2.0, 0.01), (0.002, 0.0, 1.0, 0.0)]
+    rows = spark.createDataFrame(given, "radial double, along double, nu double, e double")
+    zero, a = F.lit(0.0), F.lit(7000.0)
+    step = physics.gauss_forward(F.col("radial"), F.col("along"), zero, F.col("nu"), a, F.col("e"), F.lit(1.0), zero)
+    got = rows.select(*[v.alias(k) for k, v in physics.invert(step["da"], step["de"], zero, zero, a, F.col("e"), F.lit(1.0), zero, F.col("nu")).items()]).collect()
+    for (radial, along, *_), r in zip(given, got):
+        assert (r["radial_ms"], r["in_track_ms"]) == pytest.approx((abs(radial) * 1e3, along * 1e3), abs=1e-6)
+    # At perigee of a circle a radial impulse changes neither element: the estimate without a place is taken.
+    flat = spark.range(1).select(*[v.alias(k) for k, v in physics.invert(F.lit(1.0), zero, zero, zero, a, zero, F.lit(1.0), zero, zero).items()]).first()
+    assert flat["radial_ms"] == 0 and flat["in_track_ms"] > 0
+
+
+@pytest.mark.parametrize("a, e, i, ok", [(7000.0, 0.0, 0.0, True), (7000.0, 0.5, math.pi, True), (0.0, 0.0, 1.0, False), (7000.0, 1.0, 1.0, False), (7000.0, -0.1, 1.0, False), (7000.0, 0.1, 3.2, False)])
+def test_orbits_outside_their_range_are_errors(spark, a, e, i, ok):
+    row = spark.createDataFrame([(a, e, i)], "a double, e double, i double").select(physics.orbit(F.col("a"), F.col("e"), F.col("i"), F.lit(0.0)).alias("o"))
+    if ok:
+        assert row.first()["o"]["p"] == pytest.approx(a * (1 - e * e))
+    else:
+        with pytest.raises(Exception, match="out of range"):
+            row.collect()
+
+
+def test_fetch_result_bounds_and_order(spark):
+    rows = spark.createDataFrame([(1, 30), (1, 10), (2, 20), (1, None)], "norad_id long, t long")
+    got = lambda lo, hi: [(r["norad_id"], r["t"], r["stale"]) for r in fetch.result(rows, "x", F.lit(5), lo, hi).coalesce(1).collect()]
+    assert sorted(got(10, 20)) == [(1, 10, False), (2, 20, False)]
+    assert sorted(got(None, 10)) == [(1, 10, False)]
+    assert [t for n, t, _ in got(None, None) if n == 1] == [None, 10, 30]
+
+
+def test_coverage_lines_without_labels(spark):
+    empty = spark.createDataFrame([], "orbit_class string, delta_v double, norad_id long, source string")
+    lines = [r["line"] for r in labels.coverage_lines(labels.coverage(empty)).orderBy("place").collect()]
+    assert lines[0] == "0 labelled maneuver events" and len(lines) == 6 and lines[1] == "  LEO: 0 events (0 with Δv, 0 catalogue-resolved) [—]"
