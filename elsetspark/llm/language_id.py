@@ -63,8 +63,8 @@ def _run(pieces: np.ndarray, x: np.ndarray, u: np.ndarray, keep: list | None = N
     """States after each position, of pieces (T x B bytes, in the order read): T x B x H."""
     steps, batch = pieces.shape
     size = u.shape[0]
-    h = np.zeros((batch, size), dtype=np.float32)
-    out = np.empty((steps, batch, size), dtype=np.float32)
+    h = np.zeros((batch, size), dtype=x.dtype)
+    out = np.empty((steps, batch, size), dtype=x.dtype)
     for t in range(steps):
         a, r = x[pieces[t]], h @ u
         g = _sigmoid(a[:, :size] + r[:, :size])
@@ -83,6 +83,34 @@ def _softmax(a: np.ndarray) -> np.ndarray:
     return a
 
 
+def gradients(weights: list[np.ndarray], pieces: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Slopes of the mean cross entropy over the letters of pieces (T x B bytes) with labels y, by backpropagation through time."""
+    (steps, batch), size = pieces.shape, weights[1].shape[1]
+    kept: list = [[], []]
+    states = [_run(pieces, weights[0][0], weights[1][0], kept[0]), _run(pieces[::-1], weights[0][1], weights[1][1], kept[1])]
+    both = np.concatenate([states[0], states[1][::-1]], axis=2)
+    p = _softmax(both @ weights[2] + weights[3])
+    mask = LETTER[pieces].astype(p.dtype)
+    p[np.arange(steps)[:, None], np.arange(batch)[None, :], y[None, :]] -= 1
+    p *= (mask / max(1.0, float(mask.sum())))[:, :, None]
+    grads = [np.zeros_like(weights[0]), np.zeros_like(weights[1]), np.einsum("tbh,tbk->hk", both, p, optimize=True), p.sum(axis=(0, 1))]
+    back = p @ weights[2].T
+    for d, read in ((0, pieces), (1, pieces[::-1])):
+        dout = back[:, :, :size] if d == 0 else back[::-1, :, size:]
+        dh, u = np.zeros((batch, size), dtype=p.dtype), weights[1][d]
+        for t in range(steps - 1, -1, -1):
+            h, g, c, r = kept[d][t]
+            dh = dh + dout[t]
+            dc = dh * g * (1 - c * c)
+            dg = (dh * (c - h) + dc * r) * g * (1 - g)
+            da = np.concatenate([dg, dc], axis=1)
+            dr = np.concatenate([dg, dc * g], axis=1)
+            grads[1][d] += h.T @ dr
+            np.add.at(grads[0][d], read[t], da)
+            dh = dh * (1 - g) + dr @ u.T
+    return grads
+
+
 def train(texts: list[bytes], labels: list[int], languages: list[str]) -> Network:
     rng, size, classes = np.random.default_rng(SEED), HIDDEN, len(languages)
     draw = lambda *shape, by: (rng.standard_normal(shape) * by).astype(np.float32)
@@ -100,28 +128,7 @@ def train(texts: list[bytes], labels: list[int], languages: list[str]) -> Networ
             t = of[k][rng.integers(len(of[k]))]
             at = rng.integers(len(t) - TRAIN_PIECE + 1)
             pieces[:, i] = t[at : at + TRAIN_PIECE]
-        kept: list = [[], []]
-        states = [_run(pieces, weights[0][0], weights[1][0], kept[0]), _run(pieces[::-1], weights[0][1], weights[1][1], kept[1])]
-        both = np.concatenate([states[0], states[1][::-1]], axis=2)
-        p = _softmax(both @ weights[2] + weights[3])
-        mask = LETTER[pieces].astype(np.float32)
-        p[np.arange(TRAIN_PIECE)[:, None], np.arange(TRAIN_BATCH)[None, :], y[None, :]] -= 1
-        p *= (mask / max(1.0, float(mask.sum())))[:, :, None]
-        grads = [np.zeros_like(weights[0]), np.zeros_like(weights[1]), np.einsum("tbh,tbk->hk", both, p, optimize=True), p.sum(axis=(0, 1))]
-        back = p @ weights[2].T
-        for d, read in ((0, pieces), (1, pieces[::-1])):
-            dout = back[:, :, :size] if d == 0 else back[::-1, :, size:]
-            dh, u = np.zeros((TRAIN_BATCH, size), dtype=np.float32), weights[1][d]
-            for t in range(TRAIN_PIECE - 1, -1, -1):
-                h, g, c, r = kept[d][t]
-                dh = dh + dout[t]
-                dc = dh * g * (1 - c * c)
-                dg = (dh * (c - h) + dc * r) * g * (1 - g)
-                da = np.concatenate([dg, dc], axis=1)
-                dr = np.concatenate([dg, dc * g], axis=1)
-                grads[1][d] += h.T @ dr
-                np.add.at(grads[0][d], read[t], da)
-                dh = dh * (1 - g) + dr @ u.T
+        grads = gradients(weights, pieces, y)
         rate = RATE * min(1.0, (STEPS - step) / (0.5 * STEPS))
         for w, g, m, v in zip(weights, grads, first, second, strict=True):
             np.clip(g, -0.5, 0.5, out=g)

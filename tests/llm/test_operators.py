@@ -627,3 +627,82 @@ def test_near_values_of_blocks_miss_nothing_within_the_radius():
         flips = sum(1 << int(b) for b in rng.choice(64, decontaminate.RADIUS, replace=False))
         own = items.prints[rng.integers(5)]
         assert items.reachable(np.array([own ^ np.uint64(flips)]))[0]
+
+
+def test_language_gradient_equals_slopes():
+    """Backpropagation through time against central differences of the loss, in double precision."""
+    rng = np.random.default_rng(1)
+    weights = [rng.standard_normal(s) * 0.4 for s in ((2, 256, 6), (2, 3, 6), (6, 3), (3,))]
+    pieces, y = rng.choice(np.frombuffer(b"abc 1", dtype=np.uint8), (9, 4)), np.array([0, 2, 1, 2])
+
+    def loss():
+        ahead, back = (language_id._run(p, weights[0][d], weights[1][d]) for d, p in enumerate((pieces, pieces[::-1])))
+        p = language_id._softmax(np.concatenate([ahead, back[::-1]], axis=2) @ weights[2] + weights[3])
+        mask = language_id.LETTER[pieces]
+        return -(np.log(p[:, np.arange(4), y]) * mask).sum() / mask.sum()
+
+    for w, g in zip(weights, language_id.gradients(weights, pieces, y), strict=True):
+        for at in [i for i in np.ndindex(w.shape) if w.ndim < 3 or w.shape[1] < 256 or i[1] in b"ab1z"]:
+            was = w[at]
+            w[at] = was + 1e-5
+            up = loss()
+            w[at] = was - 1e-5
+            slope = (up - loss()) / 2e-5
+            w[at] = was
+            assert abs(slope - g[at]) < 1e-7
+
+
+@pytest.mark.parametrize("piece", [401, 700, 4096])
+def test_contexts_do_not_depend_on_the_piece(monkeypatch, piece):
+    """Every window start keeps its anchor hash where a text is read in pieces."""
+    rng = random.Random(piece)
+    for size in (399, 400, piece, piece + 399, piece + 400, 3 * piece + 17):
+        text = bytes(rng.choice(b"abcd") for _ in range(size))
+
+        def anchors():
+            hs, starts, ends = run_index.contexts(text)
+            return {at: h for h, lo, hi in zip(hs, starts, ends) for at in range(lo, hi + 1)}
+
+        whole = anchors()
+        with monkeypatch.context() as m:
+            m.setattr(run_index, "PIECE", piece)
+            assert anchors() == whole
+        assert sorted(whole) == list(range(size - 399))
+
+
+def test_repeats_across_the_seam_of_a_long_text(spark):
+    """A text longer than a piece: a passage over the seam, and again near the start and in another document."""
+    rng, seam = random.Random(2), run_index.PIECE
+    filler = rng.randbytes((seam + 9000) // 2).hex()
+    passage = "G" + rng.randbytes(299).hex() + "H"
+    long = filler[:1000] + passage + filler[1000 : seam - 1000] + passage + "-" + filler[seam - 1000 :]
+    assert long.index(passage, 2000) < seam < long.index(passage, 2000) + len(passage)
+    other = "x" * 50 + passage + "y" * 50
+    got = {r["doc_id"]: r for r in run_index.digest(spark.createDataFrame([(1, long), (2, other), (3, passage[:399])], "doc_id long, text string")).collect()}
+    assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"]) for i in (1, 2, 3)] == [(len(long), 1200, 2), (700, 600, 1), (399, 0, 0)]
+    assert got[1]["kept_sha256"] == hashlib.sha256(long.replace(passage, "").encode()).hexdigest()
+
+
+def test_long_texts(spark, docs, fixture_docs):
+    """Some megabytes in one text count whole in sharding, mixing, fingerprints and language."""
+    text = " ".join(words(random.Random(8), 400_000))
+    rows = [*fixture_docs, [900, text, "en", "s1", 1], [901, text + " end", "en", "s1", 1]]
+    more = spark.createDataFrame(rows, DOCS)
+    sized = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in sharding.digest(more).collect()}
+    assert sized[900] == (len(text) + 16, zlib.crc32(text.encode()))
+    mixed = {r["doc_id"]: r["size"] for r in mixing.digest(more).collect()}
+    assert (mixed[900], mixed[901]) == (400_000, 400_001)
+    prints = {r["doc_id"]: r for r in simhash.digest(more.where("doc_id >= 900")).collect()}
+    alone = brute_groups([r for r in rows if (r[0] or 0) >= 900])
+    assert Counter(tuple(r) for r in prints.values()) == Counter(alone) and prints[901]["component_id"] == 900
+    named = {r["doc_id"]: r["lang_pred"] for r in language_id.digest(more).collect()}
+    assert named[900] in ("en", "de") and named[900] == named[901]
+
+
+def test_clashing_columns_change_nothing(spark, docs):
+    names = ["size", "source_size", "target", "taken", "shard", "slot", "law", "text_crc32", "fingerprint", "component_id", "lang_pred", "score", "held_out", "n_bytes", "tid", "h", "k", "key", "n"]
+    more = docs.withColumns({n: F.lit("other") for n in names})
+    for digest in (language_id.digest, mixing.digest, simhash.digest, run_index.digest):
+        assert Counter(tuple(r) for r in digest(more).collect()) == Counter(tuple(r) for r in digest(docs).collect()), digest.__module__
+    plain = lambda d: Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in sharding.digest(d).collect())
+    assert plain(more) == plain(docs)
