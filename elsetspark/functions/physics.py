@@ -122,8 +122,9 @@ def confidence(significance: Column, kind: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(kind == TYPES[2], base * RADIAL_FACTOR).otherwise(base)))
 
 
-def residual_confidence(z: Column, threshold: float) -> Column:
-    return F.lit(1.0) if threshold <= 0 else 1 - F.exp(-z / threshold)
+def residual_confidence(z: Column, threshold: float | Column) -> Column:
+    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    return F.when(limit <= 0, F.lit(1.0)).otherwise(1 - F.exp(-z / limit))
 
 
 def above_floor(delta_v: Column, floor: Column) -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import OPERATING_POINT, ORBIT_CLASSES, US_PER_DAY
-from . import bench, calibrate, detect, labels
+from . import bench, calibrate, detect, labels, partition
 from .series import assemble, clean
 
 YEAR_US = 365.25 * US_PER_DAY
@@ -102,15 +103,49 @@ def tune(points: DataFrame, kind: str = "pooled") -> tuple[dict, dict[str, float
         points.unpersist()
 
 
-def calibration_bundle(samples: DataFrame) -> dict:
-    """Pooled temperature, kept only if the pooled error falls, and the error of each class after it."""
+def calibration_bundle(samples: DataFrame, alpha: float = 0.1) -> dict:
+    """What a published detector carries, as a JSON document: the pooled temperature, kept only if the pooled error falls (1 otherwise);
+    the conformal quantile of the pooled confidences; and the curve and error of each class after the temperature."""
+    samples = calibrate.guarded(samples)
     t = calibrate.fit_temperature(samples)
-    cooled = samples.withColumn("confidence", calibrate.apply_temperature(F.col("confidence"), t))
-    raw, new = (x.first()["ece"] for x in (calibrate.ece(samples), calibrate.ece(cooled)))
-    kept = t if new is not None and new < raw else 1.0
-    rows = calibrate.ece(cooled if kept == t else samples, "orbit_class").collect()
-    quantiles = {r["orbit_class"]: r["q"] for r in calibrate.conformal_quantile(cooled if kept == t else samples).collect()}
-    return {"temperature": kept, "ece_raw": raw, "ece": min(raw, new), "classes": {r["orbit_class"]: {"ece": r["ece"], "conformal_q": quantiles[r["orbit_class"]]} for r in rows}}
+    cooled = lambda t: samples.withColumn("confidence", calibrate.apply_temperature(F.col("confidence"), t))
+    raw, new = (x.first()["ece"] for x in (calibrate.ece(samples), calibrate.ece(cooled(t))))
+    better = new < raw
+    kept = cooled(t) if better else samples
+    pooled = calibrate.conformal_quantile(samples.withColumn("orbit_class", F.lit("")), alpha).first()["q"]
+    curves: dict[str, list] = {}
+    for r in calibrate.reliability(kept, "orbit_class").orderBy("orbit_class", "bin").collect():  # ten rows a class
+        curves.setdefault(r["orbit_class"], []).append({"lo": r["bin"] / calibrate.BINS, "hi": (r["bin"] + 1) / calibrate.BINS, "count": r["n"], "mean_confidence": r["mean_confidence"], "empirical_precision": r["precision"]})
+    errors = {r["orbit_class"]: r["ece"] for r in calibrate.ece(kept, "orbit_class").collect()}
+    return {"temperature": t if better else 1.0, "ece_raw": raw, "ece_pooled": new if better else raw, "conformal_q": pooled, "conformal_alpha": alpha, "reliability": curves, "ece": errors}
+
+
+def calibrated(detector: Callable[[DataFrame], DataFrame], bundle: dict) -> Callable[[DataFrame], DataFrame]:
+    """The detector with its confidences mapped by the bundle's temperature."""
+    t = float(bundle["temperature"])
+    if t == 1.0:
+        return detector
+    return lambda series: detector(series).withColumn("confidence", calibrate.apply_temperature(F.col("confidence"), t))
+
+
+def tuned_detector(detect_at: Callable[[DataFrame, float], DataFrame], thresholds: list[float], series: DataFrame, labels_: DataFrame, membership: DataFrame, cuts: tuple[int, int], kind: str = "pooled") -> tuple[dict, Callable[[DataFrame], DataFrame]]:
+    """The threshold with the best recall on the validation split, and the detector there with confidences calibrated on the same split.
+
+    detect_at(series, threshold) gives detections. Without a matched detection to calibrate on, the confidences stay as they are. The test split is not read.
+    """
+    found = {}
+    scored_labels, years = (x.persist() for x in partition.scoring_inputs(series, labels_, membership, "val", cuts))  # label- and object-sized
+    for x in thresholds:
+        inside = partition.detections_in_era(detect_at(series, x), membership, "val", cuts)
+        found[x] = inside.withColumn("epoch", F.floor(F.col("epoch_ns") / 1000)).withColumn("det_id", F.xxhash64("norad_id", "epoch_ns")).persist()
+    best, by = tune(recalls(found, scored_labels, years), kind)
+    at = best["threshold"]
+    samples = calibrate.samples_of(bench.outcomes(found[at], scored_labels, bench.match(found[at], scored_labels), years))
+    bundle = None if samples.isEmpty() else calibration_bundle(samples)
+    for held in (scored_labels, years, *found.values()):
+        held.unpersist()
+    detector = lambda rows: detect_at(rows, at)
+    return {"threshold": at, "value": best["value"], "by_class": by, "calibration": bundle}, detector if bundle is None else calibrated(detector, bundle)
 
 
 class Board:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import DT_CAP, PERIODS, SCALE_FLOOR, STRIDE, TOKENS, US_PER_DAY
@@ -78,3 +78,17 @@ def padded_windows(encoded: DataFrame, length: int = TOKENS, stride: int = STRID
     kept = [F.col(c) if c in ("norad_id", "orbit_class") else F.when(real, F.col(c)).otherwise(F.lit(0.0 if c in number else None)).cast(encoded.schema[c].dataType).alias(c) for c in encoded.columns]
     valid = real & (F.col("elset_valid") > 0) if "elset_valid" in encoded.columns else real
     return out.select("window_id", "position", valid.alias("valid"), *kept)
+
+
+def scaler_document(quartiles: DataFrame) -> dict:
+    """Quartiles as a JSON document {class: {channel: [median, iqr]}}: 21 numbers a class."""
+    out: dict[str, dict] = {}
+    for r in quartiles.orderBy("orbit_class", "channel").collect():
+        out.setdefault(r["orbit_class"], {})[r["channel"]] = [r["median"], r["iqr"]]
+    return out
+
+
+def scaler_of(spark: SparkSession, document: dict) -> DataFrame:
+    """The quartiles of scaler_document."""
+    rows = [(c, k, float(m), float(q)) for c, by in document.items() for k, (m, q) in by.items()]
+    return spark.createDataFrame(rows, "orbit_class string, channel string, median double, iqr double")

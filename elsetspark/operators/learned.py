@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ORBIT_CLASSES, WINDOW
-from ..functions.physics import clamp_ecc, clamp_inc, class_floor, invert, orbit_class
+from ..functions.physics import clamp_ecc, clamp_inc, class_floor, invert, orbit_class, residual_confidence
 from . import detect
 from .features import channels, standardise, token_windows
 from .series import scaled, local_steps
@@ -37,11 +37,15 @@ def probabilities(encoded: DataFrame, quartiles: DataFrame, scorer: Scorer) -> D
     return scored.groupBy("norad_id", "idx").agg(F.avg("p").alias("p"))
 
 
+def gate(thresholds: dict[str, float], default: float) -> Column:
+    """Threshold of the class of a row."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for c in ORBIT_CLASSES for x in (c, float(thresholds.get(c, default)))]), F.col("orbit_class")), F.lit(float(default)))
+
+
 def gated_peaks(scored: DataFrame, thresholds: dict[str, float], default: float) -> DataFrame:
     """First largest p of each run at or above the threshold of the object's class. scored: norad_id, t, idx, orbit_class, p."""
-    gate = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for c in ORBIT_CLASSES for x in (c, float(thresholds.get(c, default)))]), F.col("orbit_class")), F.lit(float(default)))
     w = Window.partitionBy("norad_id").orderBy("idx")
-    marked = scored.withColumn("hit", (F.col("p") >= gate) & (F.col("idx") > 0))
+    marked = scored.withColumn("hit", (F.col("p") >= gate(thresholds, default)) & (F.col("idx") > 0))
     marked = marked.withColumn("run", F.sum((F.col("hit") & ~F.coalesce(F.lag("hit").over(w), F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     best = Window.partitionBy("norad_id", "run").orderBy(F.col("p").desc(), "idx")
     return marked.where("hit").withColumn("k", F.row_number().over(best)).where("k = 1").drop("hit", "run", "k")
@@ -99,7 +103,11 @@ def detect_learned(series: DataFrame, quartiles: DataFrame, scorer: Scorer, thre
     encoded = channels(series)
     rows = aligned_elements(encoded)
     scored = probabilities(encoded, quartiles, scorer).join(rows.select("norad_id", "idx", "t", "orbit_class"), ["norad_id", "idx"])
-    peaks = gated_peaks(scored, thresholds or {}, default)
+    return at_peaks(rows, gated_peaks(scored, thresholds or {}, default), series)
+
+
+def at_peaks(rows: DataFrame, peaks: DataFrame, series: DataFrame) -> DataFrame:
+    """Manoeuvres at peaks (norad_id, idx, p: their confidence), in the columns of detect_rule. rows: aligned_elements."""
     found = around(rows, peaks)
     got = inverted(found)
     out = found.withColumns({"type": got["type"], "dv": got["delta_v_ms"]}).join(peaks.select("norad_id", "idx", "p"), ["norad_id", "idx"]).join(floors(series), "norad_id")
@@ -109,6 +117,20 @@ def detect_learned(series: DataFrame, quartiles: DataFrame, scorer: Scorer, thre
     )
 
 
+def residual_peaks(series: DataFrame, rows: DataFrame, thresholds: dict[str, float], default: float, scores: Scorer = detect.drift_scores) -> DataFrame:
+    """norad_id, idx, z, p: peaks of the forecast residual at the threshold of each class, p the confidence."""
+    scored = scores(series).join(rows.select("norad_id", "idx", "orbit_class"), ["norad_id", "idx"])
+    peaks = gated_peaks(scored.withColumn("p", F.col("z")), thresholds, default)
+    return peaks.select("norad_id", "idx", "z", residual_confidence(F.col("z"), gate(thresholds, default)).alias("p"))
+
+
+def detect_residual(series: DataFrame, thresholds: dict[str, float] | None = None, default: float = 4.0, scores: Scorer = detect.drift_scores) -> DataFrame:
+    """Manoeuvres where a forecast one row ahead misses: scores gives norad_id, idx and z of each row (the drift forecast
+    unless another is given), a threshold for each class gates it, and the gap before each peak is inverted."""
+    rows = aligned_elements(channels(series))
+    return at_peaks(rows, residual_peaks(series, rows, thresholds or {}, default, scores), series)
+
+
 def rolling_context(rows: DataFrame, column: str, length: int = 64) -> DataFrame:
     """rows after the first with context: up to length earlier values of the object, oldest first."""
     w = Window.partitionBy("norad_id").orderBy("idx").rowsBetween(-length, -1)

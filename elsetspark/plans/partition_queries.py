@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import physics
 from ..operators import bench, calibrate, detect, features, labels, learned, partition, series
+from ..sources import catalogue, landed
 from . import adapters as ad
-from .oracle import CHAN, DAY, DETECT, ELEMENT_CHANNELS, EV, FLAG_CHANNELS, FLOORS, LAB, RAD, SAMPLES, SCORED, TIME_CHANNELS, TYPE, indexed, invert, rnd
+from .oracle import CHAN, DAY, DETECT, DRIFT, ELEMENT_CHANNELS, EV, FLAG_CHANNELS, FLOORS, LAB, RAD, SAMPLES, SCORED, TIME_CHANNELS, TYPE, indexed, invert, peaks, rnd
 from .oracle import SQL as ENGINE_SQL
 from .queries import _scored, rounded
 
@@ -64,6 +65,42 @@ def det_learned_invert(s: SparkSession, d: str) -> DataFrame:
     return rounded(found.select("norad_id", "idx", "width", (F.col("step_a") * 100).alias("step_a"), (F.col("ref_a") * 100).alias("ref_a"), (F.col("ref_e") * 1000).alias("ref_e"), got["in_track_ms"].alias("in_track_ms"), got["cross_track_ms"].alias("cross_track_ms")), 4)
 
 
+@query
+def det_residual_invert(s: SparkSession, d: str) -> DataFrame:
+    """Peaks of the drift forecast's residual at a threshold a class, and the velocity change over each."""
+    ser = ad.series_ev(s, d)
+    rows = learned.aligned_elements(features.channels(ser))
+    peaks = learned.residual_peaks(ser, rows, {"LEO": 5.0}, 4.0)
+    found = learned.around(rows, peaks)
+    got = learned.inverted(found)
+    out = found.select("norad_id", "idx", (F.col("step_a") * 100).alias("step_a"), got["in_track_ms"].alias("in_track_ms"), got["cross_track_ms"].alias("cross_track_ms"))
+    return rounded(out.join(peaks.select("norad_id", "idx", F.col("p").alias("confidence")), ["norad_id", "idx"]), 4)
+
+
+@query
+def src_landed_labels(s: SparkSession, d: str) -> DataFrame:
+    """Labels of two archives written from orders (GPS notices, GOES summaries of one day each), resolved by the pinned recipe."""
+    k = F.col("o_orderkey")
+    day = lambda x: F.lpad((x % 300 + 60).cast("string"), 3, "0")
+    gps = F.concat(F.lit("NANU TYPE: FCSTDV\nNANU NUMBER: "), k.cast("string"), F.lit("\nNANU DTG: 010000Z FEB 2023\nSVN: "), (k % 90).cast("string"), F.lit("\nSTART JDAY: "), day(k), F.lit("\nSTART TIME ZULU: 0130\nSTOP JDAY: "), day(k), F.lit("\nSTOP TIME ZULU: 1330\n"))
+    goes = F.concat(F.lit("Spacecraft : GOES-"), (k % 20).cast("string"), F.lit("\n last maneuver on 23/"), (k % 200 + 1).cast("string"), F.lit("\n"))
+    orders = ad.read(s, d, "orders").select("o_orderkey")
+    out = landed.all_labels({"GPS-NANU": orders.select(gps.alias("text")), "NOAA-GOES": orders.select(goes.alias("text"))})
+    return out.select("norad_id", "epoch", "window_start", "window_end", "orbit_class", "source", "source_ref")
+
+
+@query
+def src_notice_sequence(s: SparkSession, d: str) -> DataFrame:
+    """Numbers of each year up to the first long run of missing ones: a customer as a year, line counts as numbers."""
+    found = ad.read(s, d, "orders").select(F.col("o_custkey").alias("year"), (F.col("o_orderkey") % 211 + 1).alias("seq")).distinct()
+    return landed.in_sequence(found)
+
+
+@query
+def src_recipe(s: SparkSession, d: str) -> DataFrame:
+    return catalogue.recipe(s).groupBy("orbit_class", "label_source").agg(F.count("*").alias("n"), F.min("norad_id").alias("first_id"), F.max("norad_id").alias("last_id"))
+
+
 @query
 def det_learned(s: SparkSession, d: str) -> DataFrame:
     rows = ad.series_ev(s, d)
@@ -293,3 +330,14 @@ gr AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS h0, CAST(0 AS BIGINT)
 SELECT norad_id, CASE e WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM gr JOIN cp USING (component)""",
 }
 SQL["eval_detections"] = f"WITH {LAB}, {MEM}, {CUTS}, found AS ({ENGINE_SQL['detect_rule']}) SELECT found.* FROM found JOIN mem USING (norad_id), c WHERE split = 'train' AND {era('epoch_ns / 1000')} = 0"
+SQL["det_residual_invert"] = f"WITH {DRIFT}, {peaks(5.0)} SELECT norad_id, idx, {rnd('1 - exp(-z / 5)', 4)} AS confidence, step_a, in_track_ms, cross_track_ms FROM pk JOIN ({SQL['det_learned_invert']}) USING (norad_id, idx)"
+SQL["src_notice_sequence"] = """WITH f AS (SELECT DISTINCT o_custkey AS year, o_orderkey % 211 + 1 AS seq FROM orders),
+g AS (SELECT *, seq - coalesce(lag(seq) OVER w, 0) > 25 AS ended FROM f WINDOW w AS (PARTITION BY year ORDER BY seq))
+SELECT year, seq FROM (SELECT *, bool_or(ended) OVER (PARTITION BY year ORDER BY seq ROWS UNBOUNDED PRECEDING) AS past FROM g) WHERE NOT past"""
+SQL["src_recipe"] = """SELECT * FROM (VALUES ('LEO', 'DORIS-IDS', CAST(15 AS BIGINT), CAST(20436 AS BIGINT), CAST(46984 AS BIGINT)), ('MEO', 'GPS-NANU', 32, 26407, 68791), ('MEO', 'GALILEO-NAGU', 33, 37846, 67162),
+('IGSO', 'QZSS-OHI', 3, 42738, 49336), ('GEO', 'QZSS-OHI', 2, 42917, 62876), ('GEO', 'NOAA-GOES', 4, 41866, 60133), ('GEO', 'SELF-GEO', 3, 38552, 40732)) v(orbit_class, label_source, n, first_id, last_id)"""
+_GPS = ", ".join(f"({svn}, CAST({i} AS BIGINT))" for svn, _, i, _ in (line.split() for line in catalogue.GPS.strip().splitlines()))
+SQL["src_landed_labels"] = f"""WITH gps(svn, norad_id) AS (VALUES {_GPS}), goes(k, norad_id) AS (VALUES (16, CAST(41866 AS BIGINT)), (17, 43226), (18, 51850), (19, 60133)),
+d AS (SELECT o_orderkey, o_orderkey % 90 AS svn, epoch_us(TIMESTAMP '2023-01-01') + (o_orderkey % 300 + 59) * {DAY} AS day FROM orders)
+SELECT norad_id, day + 27000000000 AS epoch, day + 5400000000 AS window_start, day + 48600000000 AS window_end, 'MEO' AS orbit_class, 'GPS-NANU' AS source, CAST(o_orderkey AS VARCHAR) AS source_ref FROM d JOIN gps USING (svn)
+UNION ALL SELECT DISTINCT norad_id, t + 43200000000, t, t + {DAY}, 'GEO', 'NOAA-GOES', 'GOES-' || k FROM (SELECT o_orderkey % 20 AS k, epoch_us(TIMESTAMP '2023-01-01') + (o_orderkey % 200) * {DAY} AS t FROM orders) JOIN goes USING (k)"""

@@ -36,6 +36,12 @@ def _classical(series: DataFrame) -> DataFrame:
     return detect_rule(series)
 
 
+def _drift(series: DataFrame) -> DataFrame:
+    from .operators.learned import detect_residual
+
+    return detect_residual(series)
+
+
 def _needs_scorer(name: str) -> Detector:
     def missing(series: DataFrame) -> DataFrame:
         raise RuntimeError(f"{name} needs a trained scorer: register one with register_detector")
@@ -44,5 +50,6 @@ def _needs_scorer(name: str) -> Detector:
 
 
 register_detector("classical", _classical)
+register_detector("drift-residual", _drift)
 for _name in ("bilstm-base", "transformer-base", "chronos-residual"):
     register_detector(_name, _needs_scorer(_name))

@@ -56,6 +56,58 @@ def write_predictions(maneuvers: DataFrame, path: str) -> None:
     Path(path).write_text(json.dumps(out, sort_keys=True, indent=2) + "\n")
 
 
+def _canonical(document: object, path: str) -> None:
+    Path(path).write_text(json.dumps(document, sort_keys=True, indent=2) + "\n")
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    """Label document of a label-sized frame, by (source, object, epoch)."""
+    times = ("epoch", "window_start", "window_end")
+    rows = labels.select(*LABEL).orderBy("source", F.coalesce("norad_id", F.lit(-1)), "epoch").collect()
+    _canonical([{c: iso(r[c]) if c in times else r[c] for c in LABEL} for r in rows], path)
+
+
+def write_recipe(entries: DataFrame, version: str, path: str) -> None:
+    """Recipe document: an entry an object, by catalogue number."""
+    fields = ("norad_id", "orbit_class", "object_name", "catalogue_source", "label_source", "label_ref", "start", "end")
+    have = [c for c in fields if c in entries.columns]
+    rows = [r.asDict() for r in entries.select(*have).orderBy("norad_id").collect()]
+    _canonical({"dataset_version": version, "entries": [{c: r.get(c) for c in fields} for r in rows]}, path)
+
+
+def write_splits(membership: DataFrame, version: str, path: str, **settings) -> None:
+    """Temporal split document of norad_id, split, with the settings (seed, ratios, cuts) that made it."""
+    rows = membership.select("norad_id", "split").orderBy("norad_id").collect()
+    _canonical({"kind": "temporal", "dataset_version": version, "splits": {s: [r["norad_id"] for r in rows if r["split"] == s] for s in SPLITS}} | settings, path)
+
+
+INTERVAL = {"norad_id": "long", "epoch": "string", "elset_epoch_before": "string", "elset_epoch_after": "string", "tol_start": "string", "tol_end": "string", "maneuver_type": "string", "delta_v": "double", "source": "string", "source_ref": "string", "orbit_class": "string"}
+TIMES = {"epoch": "epoch", "elset_epoch_before": "t0", "elset_epoch_after": "t1", "tol_start": "tol_start", "tol_end": "tol_end"}
+FIXTURE = f"dataset_version string, labels array<struct<above_floor:boolean,interval:struct<{','.join(f'{k}:{t}' for k, t in INTERVAL.items())}>>>, exposure array<struct<norad_id:long,orbit_class:string,observation_years:double>>, timing_floor map<string,double>"
+
+
+def write_fixture(labels: DataFrame, exposure: DataFrame, timing_floor: dict[str, float], version: str, path: str) -> None:
+    """What a board scores against: the labels and exposure that partition.scoring_inputs gives for the held-out split."""
+    rows = labels.orderBy("norad_id", "epoch", "label_id").collect()
+    one = lambda r: {c: iso(r[TIMES[c]]) if c in TIMES else r[c] if c in r else None for c in INTERVAL}
+    _canonical({
+        "dataset_version": version,
+        "labels": [{"above_floor": r["above_floor"], "interval": one(r.asDict())} for r in rows],
+        "exposure": [r.asDict() for r in exposure.select("norad_id", "orbit_class", "observation_years").orderBy("norad_id").collect()],
+        "timing_floor": timing_floor,
+    }, path)
+
+
+def read_fixture(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict[str, float]]:
+    """Labels (times in microseconds, label_id by their order), exposure and timing floor of a fixture document."""
+    parsed = F.from_json("value", FIXTURE, {"mode": "FAILFAST"})
+    doc = spark.read.text(path, wholetext=True).select(parsed.alias("d")).select("d.*")
+    rows = doc.select(F.posexplode("labels").alias("label_id", "x"))
+    labels = rows.select(F.col("label_id").cast("long").alias("label_id"), "x.above_floor", *[_utc(F.col(f"x.interval.{c}")).alias(TIMES[c]) if c in TIMES else F.col(f"x.interval.{c}") for c in INTERVAL])
+    floor = doc.first()["timing_floor"]
+    return labels, doc.select(F.inline("exposure")), dict(floor)
+
+
 def read_recipe(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a dataset recipe, by catalogue number."""
     doc = json.loads(Path(path).read_text())

@@ -19,7 +19,7 @@ from elsetspark.functions.stats import bin_of
 from elsetspark.operators import bench, calibrate, evaluate, features, labels, learned, partition, series
 from elsetspark.operators.detect import detect_rule, prepared
 from elsetspark.plans import QUERIES, SQL
-from elsetspark.sources import documents, fetch, notices, omm, tle
+from elsetspark.sources import catalogue, documents, fetch, landed, notices, omm, tle
 
 SF = "/root/testdata/sf0.001"
 DAY = 86_400_000_000
@@ -213,9 +213,23 @@ def test_temperature_helps_or_stays(spark):
     df = spark.createDataFrame([(float(a), int(b), "LEO") for a, b in zip(hot, y)], "confidence double, outcome int, orbit_class string")
     assert calibrate.fit_temperature(df) == pytest.approx(1.6, rel=0.1)
     got = evaluate.calibration_bundle(df)
-    assert got["ece"] < got["ece_raw"] and got["temperature"] > 1.4
+    assert got["ece_pooled"] < got["ece_raw"] and got["temperature"] > 1.4 and set(got["ece"]) == {"LEO"}
+    curve = got["reliability"]["LEO"]
+    assert [b["lo"] for b in curve] == [i / 10 for i in range(10)] and sum(b["count"] for b in curve) == 4000
+    assert json.loads(json.dumps(got)) == got
+    table = calibrate.reliability_table(curve).splitlines()
+    assert len(table) == 2 + sum(b["count"] > 0 for b in curve) and table[2].startswith("| [0.")
+    assert calibrate.reliability_table([b | {"count": 0} for b in curve]) == "_(no binned detections)_"
+    cooled = evaluate.calibrated(lambda rows: rows, got)(df).first()["confidence"]
+    assert cooled == pytest.approx(1 / (1 + math.exp(-math.log(hot[0] / (1 - hot[0])) / got["temperature"])))
+    # One pooled quantile: the score of rank ceil((n + 1) 0.9) over all confidences as they came.
+    scores = np.sort(np.where(y, 1 - hot, hot))
+    assert got["conformal_q"] == pytest.approx(scores[math.ceil(4001 * 0.9) - 1])
     fine = spark.createDataFrame([(float(a), int(b), "LEO") for a, b in zip(p, y)], "confidence double, outcome int, orbit_class string")
-    assert evaluate.calibration_bundle(fine)["ece"] <= evaluate.calibration_bundle(fine)["ece_raw"]
+    same = evaluate.calibration_bundle(fine)
+    assert same["ece_pooled"] <= same["ece_raw"]
+    with pytest.raises(ValueError):
+        evaluate.calibration_bundle(df.limit(0))
     with pytest.raises(Exception, match="outside"):
         calibrate.guarded(df.withColumn("confidence", F.lit(1.5))).collect()
 
@@ -379,7 +393,7 @@ def test_board():
 
 
 def test_registry(spark):
-    assert available_models() == ["bilstm-base", "chronos-residual", "classical", "transformer-base"]
+    assert available_models() == ["bilstm-base", "chronos-residual", "classical", "drift-residual", "transformer-base"]
     with pytest.raises(ValueError):
         register_detector("classical", lambda x: x)
     with pytest.raises(ValueError):
@@ -538,3 +552,100 @@ def test_coverage_lines_without_labels(spark):
     empty = spark.createDataFrame([], "orbit_class string, delta_v double, norad_id long, source string")
     lines = [r["line"] for r in labels.coverage_lines(labels.coverage(empty)).orderBy("place").collect()]
     assert lines[0] == "0 labelled maneuver events" and len(lines) == 6 and lines[1] == "  LEO: 0 events (0 with Δv, 0 catalogue-resolved) [—]"
+
+
+def test_residual_detector(spark):
+    rows = synthetic(0, burns=[(60, "in-track", 8.0)], norad=1) + synthetic(3, norad=2)
+    got = detect(spark.createDataFrame(rows, COLUMNS), "drift-residual").where("confidence > 0.95").collect()
+    hit = [r for r in got if r["norad_id"] == 1 and r["t_after"] == START + 60 * DAY]
+    assert len(hit) == 1 and hit[0]["type"] == "in-track" and hit[0]["delta_v_estimate"] == pytest.approx(8.0, rel=0.3)
+    assert hit[0]["epoch_ns"] == (hit[0]["t_before"] + hit[0]["t_after"]) * 500
+    strict = learned.detect_residual(spark.createDataFrame(rows, COLUMNS), {"LEO": 1e9}).collect()
+    assert strict == []
+    short = learned.detect_residual(spark.createDataFrame(rows[:1], COLUMNS))
+    assert short.collect() == [] and short.columns == learned.detect_residual(spark.createDataFrame(rows, COLUMNS)).columns
+
+
+def test_recipe_and_crosswalks(spark):
+    rows = catalogue.recipe(spark).collect()
+    assert len(rows) == 92 and [r["norad_id"] for r in rows] == sorted({r["norad_id"] for r in rows})
+    assert {r["orbit_class"] for r in rows} == {"LEO", "MEO", "GEO", "IGSO"}
+    assert {r["code"]: r["norad_id"] for r in catalogue.crosswalk_of(spark, "NOAA-GOES").collect()}["GOES-16"] == 41866
+    with pytest.raises(ValueError):
+        catalogue.crosswalk_of(spark, "SELF-GEO")
+
+
+def test_landed_archives(spark, tmp_path):
+    """Files of three sources; unresolved objects go, snapshots count once, and the documents read back."""
+    (tmp_path / "nagu").mkdir()
+    for seq, gsat in ((1, "GSAT0101"), (2, "GSAT9999")):
+        (tmp_path / "nagu" / f"{seq}.txt").write_text(f"NAGU TYPE: PLN_MANV\nNAGU NUMBER: {seq}\nSTART DATE EVENT (UTC): 2023-05-0{seq} 10:20\nEND DATE EVENT (UTC): 2023-05-0{seq} 11:00\nSATELLITE AFFECTED: {gsat}\n")
+    snap = "Spacecraft : GOES-16\n last maneuver on 23/{}\n=====\nSpacecraft : GOES-1\n last maneuver on 23/7\n"
+    goes = spark.createDataFrame([(snap.format(5),), (snap.format(5),), (snap.format(9),)], "text string")
+    got = landed.all_labels({"GALILEO-NAGU": landed.files(spark, f"{tmp_path}/nagu"), "NOAA-GOES": goes})
+    assert [(r["source"], r["norad_id"], r["orbit_class"], r["source_ref"]) for r in got.collect()] == [("GALILEO-NAGU", 37846, "MEO", "1"), ("NOAA-GOES", 41866, "GEO", "GOES-16"), ("NOAA-GOES", 41866, "GEO", "GOES-16")]
+    documents.write_labels(got, f"{tmp_path}/labels.json")
+    assert documents.read_labels(spark, f"{tmp_path}/labels.json").select(*got.columns).collect() == got.collect()
+    for bad in ({}, {"SELF-GEO": goes}):
+        with pytest.raises(ValueError):
+            landed.all_labels(bad)
+    with pytest.raises(ValueError):
+        landed.labels("nope", goes)
+
+
+def test_sequence_ends_after_a_run_of_misses(spark):
+    found = [(2023, s) for s in (1, 2, 27, 28, 54, 55)] + [(2024, 26)] + [(2025, 25)]
+    got = landed.in_sequence(spark.createDataFrame(found, "year int, seq int")).collect()
+    brute = []
+    for year in (2023, 2024, 2025):
+        seq, misses = 0, 0
+        while misses < 25:
+            seq += 1
+            misses = 0 if (year, seq) in found else misses + 1
+            brute += [(year, seq)] if (year, seq) in found else []
+    assert sorted(tuple(r) for r in got) == brute == [(2023, 1), (2023, 2), (2023, 27), (2023, 28), (2025, 25)]
+
+
+def test_dataset_documents(spark, tmp_path):
+    entries = catalogue.recipe(spark)
+    documents.write_recipe(entries, catalogue.VERSION, f"{tmp_path}/r.json")
+    back = documents.read_recipe(spark, f"{tmp_path}/r.json")
+    assert back.drop("start", "end").collect() == entries.drop("code").collect()
+    split = spark.createDataFrame([(3, "train"), (1, "val"), (2, "train")], "norad_id long, split string")
+    documents.write_splits(split, "1", f"{tmp_path}/s.json", seed=0)
+    assert sorted(map(tuple, documents.read_splits(spark, f"{tmp_path}/s.json").collect())) == [(1, "val"), (2, "train"), (3, "train")]
+    labs = spark.createDataFrame([(7, 1, START, START - 5, START + 5, START - 9, START + 9, "radial", None, "s", "LEO", True)], "label_id long, norad_id long, epoch long, t0 long, t1 long, tol_start long, tol_end long, maneuver_type string, delta_v double, source string, orbit_class string, above_floor boolean")
+    years = spark.createDataFrame([(1, "LEO", 2.5)], "norad_id long, orbit_class string, observation_years double")
+    documents.write_fixture(labs, years, {"LEO": 0.5}, "1", f"{tmp_path}/f.json")
+    first = open(f"{tmp_path}/f.json").read()
+    labs2, years2, floor = documents.read_fixture(spark, f"{tmp_path}/f.json")
+    assert floor == {"LEO": 0.5} and years2.collect() == years.collect()
+    same = [c for c in labs.columns if c != "label_id"]
+    assert labs2.select(*same).collect() == labs.select(*same).collect()
+    documents.write_fixture(labs2, years2, floor, "1", f"{tmp_path}/f.json")
+    assert open(f"{tmp_path}/f.json").read() == first
+
+
+def test_summaries(spark):
+    dets, labs, expo = golden(spark)
+    doc = bench.report(bench.outcomes(dets, labs, bench.match(dets, labs), expo), labs, expo)
+    assert bench.headline(doc) == {c: doc[c]["recall"] for c in ORBIT_CLASSES}
+    lines = bench.summary(doc).splitlines()
+    assert lines[0] == "benchmark score @ 1 FA/sat-year (95% CI)" and lines[1].startswith("  LEO: recall=0.667 [") and "recall=n/a [0.000, 1.000]" in lines[3]
+
+
+def test_scaler_document(spark):
+    q = spark.createDataFrame([("LEO", "lvl_a", 1.5, 0.25), ("MEO", "res_e", -1.0, 1e-12)], "orbit_class string, channel string, median double, iqr double")
+    doc = json.loads(json.dumps(features.scaler_document(q)))
+    assert sorted(features.scaler_of(spark, doc).collect()) == sorted(q.collect())
+
+
+def test_tuning_calibrates_on_the_validation_split(spark):
+    ser = spark.createDataFrame([(i, START + k * DAY, 6778.0, 0.001, 66.0, 0.0, 90.0) for i in (1, 2) for k in range(90)], COLUMNS)
+    lab = spark.createDataFrame([(1, 2, START + 45 * DAY + 5, START + 45 * DAY, START + 46 * DAY, "in-track", None, "LEO", "s"), (2, 1, START + 5 * DAY, START + 5 * DAY, START + 6 * DAY, "in-track", None, "LEO", "s")], "label_id long, norad_id long, epoch long, window_start long, window_end long, maneuver_type string, delta_v double, orbit_class string, source string")
+    mem = spark.createDataFrame([(1, "train"), (2, "val")], "norad_id long, split string")
+    hits = spark.createDataFrame([(2, (START + 45 * DAY + 7) * 1000, 0.9, "in-track"), (2, (START + 52 * DAY) * 1000, 0.5, "radial")], "norad_id long, epoch_ns long, confidence double, type string")
+    at = lambda rows, x: hits.where(F.col("confidence") >= x)
+    got, tuned = evaluate.tuned_detector(at, [0.95, 0.4], ser, lab, mem, (START + 30 * DAY, START + 60 * DAY))
+    assert got["threshold"] == 0.4 and got["value"] == 1.0 and got["by_class"] == {"LEO": 0.4} and got["calibration"] is not None
+    assert tuned(ser).count() == 2
