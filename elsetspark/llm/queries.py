@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_id, line_dedup, mixing, run_index, sharding, simhash, topk_search, warc
+from . import decontaminate, html_extract, language_id, line_dedup, merkle, mixing, run_index, sharding, simhash, tiered_index, token_frames, topk_search, warc
 from .common import table
 
 
@@ -51,6 +51,20 @@ def op10_window_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_broadcast_upper_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_seekable_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_frames.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered_index.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_fair_queue_mix,
         op9_golay_simhash,
         op10_window_decontamination,
+        op11_broadcast_upper_tree,
+        op12_seekable_token_frames,
+        op13_tiered_search,
     )
 }
 
@@ -72,4 +89,6 @@ ORACLES: dict[str, str] = {
     "op4_line_windows": line_dedup.ORACLE,
     "op6_warc_writer": warc.ORACLE,
     "op8_fair_queue_mix": mixing.ORACLE,
+    "op11_broadcast_upper_tree": merkle.ORACLE,
+    "op13_tiered_search": tiered_index.ORACLE,
 }
