@@ -26,6 +26,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import struct
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, small_batches
 from .warc import commit, store
 
-END, LEVEL, FRAME_BYTES, MOST_KEPT, KEPT_CHARS = 0, 3, 4 << 20, 1 << 19, 64
+END, LEVEL, FRAME_BYTES, MOST_KEPT, KEPT_CHARS = 0, 3, 4 << 20, 1 << 20, 64
 PART_BYTES, MOST_PARTS, ROLL_BYTES, ROLL_DOCS, SPLIT_DOCS = 128 << 20, 20_000, 64 << 20, 1 << 18, 8192
 #: Fixed values of the seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, WITH_CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -113,6 +114,12 @@ class Encoder:
         return b"".join(ids)
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str, special: bool) -> Encoder:
+    """One encoder a Python worker, so that what it remembers serves all tasks of that worker."""
+    return Encoder(path, special)
+
+
 def packed(raw: bytes, compressor: zstandard.ZstdCompressor) -> tuple[list[bytes], list[int], list[int]]:
     parts = [raw[i : i + FRAME_BYTES] for i in range(0, len(raw), FRAME_BYTES)]
     return [compressor.compress(p) for p in parts], [len(p) for p in parts], [xxhash.xxh64(p).intdigest() & 0xFFFFFFFF for p in parts]
@@ -120,7 +127,7 @@ def packed(raw: bytes, compressor: zstandard.ZstdCompressor) -> tuple[list[bytes
 
 def _encode(path: str, special: bool):
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, compressor = Encoder(path, special), zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
+        encoder, compressor = encoder_of(path, special), zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
         end = struct.pack("<I", END)
         for batch in batches:
             rows = []
