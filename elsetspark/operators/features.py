@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import DT_CAP, PERIODS, SCALE_FLOOR, STRIDE, TOKENS, US_PER_DAY
 from ..functions.physics import orbit_class
 from ..functions.stats import by_object
+from .ordered import order_statistics
 from .series import ELEMENTS, finite, local_trend, unwrapped
 
 BASE = ("a", "e", "sin_i", "cos_i", "h", "k", "raan")
@@ -35,11 +36,16 @@ def channels(series: DataFrame) -> DataFrame:
 
 
 def class_quartiles(encoded: DataFrame) -> DataFrame:
-    """Per class and element channel: exact quartiles and their range (SCALE_FLOOR at least)."""
+    """Per class and element channel: exact quartiles and their range (SCALE_FLOOR at least). No task holds a class."""
     names = [c for c in CHANNELS if c[:4] in ("lvl_", "res_", "dlt_")]
-    wide = encoded.groupBy("orbit_class").agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in names])
-    long = wide.select("orbit_class", F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("q")) for c in names])).alias("x"))
-    return long.select("orbit_class", "x.channel", F.col("x.q")[1].alias("median"), F.greatest(F.col("x.q")[2] - F.col("x.q")[0], F.lit(SCALE_FLOOR)).alias("iqr"))
+    long = encoded.select("orbit_class", F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("value")) for c in names])).alias("x"))
+    at = lambda q: lambda n: F.floor(q * (n - 1))
+    shares = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    found = order_statistics(long.select("orbit_class", "x.channel", "x.value"), ["orbit_class", "channel"], {name: at(q) for name, q in shares.items()})
+    place = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("name")) * (F.col("n") - 1) - F.col("k")
+    found = found.withColumn("q", F.when(place == 0, F.col("low")).otherwise((1 - place) * F.col("low") + place * F.col("high")))
+    pick = lambda name: F.max(F.when(F.col("name") == name, F.col("q")))
+    return found.groupBy("orbit_class", "channel").agg(pick("q2").alias("median"), F.greatest(pick("q3") - pick("q1"), F.lit(SCALE_FLOOR)).alias("iqr"))
 
 
 def standardise(encoded: DataFrame, quartiles: DataFrame) -> DataFrame:
