@@ -14,6 +14,9 @@ ELS = """els AS (SELECT user_id AS norad_id, epoch_us(ts) AS t, CASE WHEN event_
   CASE WHEN event_id % 70 = 0 THEN 200.0 ELSE 66.0 END AS inclination,
   CAST(100 + CASE WHEN event_id % 3 = 0 THEN copy ELSE 0 END AS BIGINT) AS element_set_no
   FROM events, (SELECT unnest([0, 1]) AS copy))"""
+LANDED = """snap AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'spacetrack' ELSE 'celestrak' END AS source, user_id AS norad_id, epoch_us(ts) AS fetched_at, event_id % 7 <> 0 AND event_id % 11 <> 0 AS good, '[{"EVENT": ' || event_id || '}]' AS body FROM events WHERE epoch_us(ts) <= 1705276800000000),
+new AS (SELECT source, norad_id, arg_max(body, (fetched_at, body)) FILTER (good) AS payload, max(fetched_at) FILTER (good) AS fetched_at, count(*) FILTER (NOT good) AS n_corrupt FROM snap GROUP BY ALL),
+now AS (SELECT *, CAST((1705276800000000 - fetched_at) // 1000000 AS BIGINT) AS age_s, CASE WHEN source = 'spacetrack' THEN 86400 ELSE 7200 END AS ttl FROM new)"""
 DAILY = f"""daily AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norad_id, t // {DAY} ORDER BY abs((t % {DAY}) / CAST({DAY} AS DOUBLE) - 0.5), t) AS k FROM ev) WHERE k = 1)"""
 
 
@@ -244,6 +247,13 @@ SELECT coalesce(p.id, r.id) AS norad_id, CASE WHEN p.id IS NULL THEN 'unexpected
     "sort_board": f"SELECT CAST(s_suppkey AS VARCHAR) AS name, {rnd('(s_suppkey % 7) / 7')} AS recall, s_suppkey % 5 AS submitted_at, CAST(row_number() OVER (ORDER BY (s_suppkey % 7) / 7 DESC, s_suppkey % 5, CAST(s_suppkey AS VARCHAR)) AS INTEGER) AS place FROM supplier",
     "feat_channels": f"WITH {CHAN} SELECT norad_id, idx, orbit_class, {', '.join(f'{rnd(v)} AS {n}' for n, v in (ELEMENT_CHANNELS | TIME_CHANNELS | FLAG_CHANNELS).items())} FROM ch",
     "feat_windows": f"WITH {EV}, {indexed('ev')}, o AS (SELECT norad_id, CAST(count(*) AS BIGINT) AS n FROM ix GROUP BY 1), w AS (SELECT norad_id, n, unnest(range(0, n, 32)) AS start FROM o), p AS (SELECT *, unnest(range(0, 64)) AS position FROM w) SELECT norad_id, start // 32 AS window_id, position, CASE WHEN start + position < n THEN start + position END AS idx, start + position < n AS valid FROM p",
+    "src_catalogue": f"""SELECT user_id AS norad_id, epoch_us(ts) AS t, {rnd("15 + (event_id % 1000) / CAST(1000 AS DOUBLE)")} AS mean_motion, CAST(event_id % 360 AS DOUBLE) AS raan, event_id AS rev_at_epoch,
+  '2024-01-15 00:00:00--2024-01-20 00:00:00' AS epoch, false AS stale FROM events WHERE epoch_us(ts) >= 1705276800000000 AND epoch_us(ts) < 1705276800000000 + 5 * {DAY}""",
+    "src_landing_as_of": f"WITH {LANDED} SELECT source, norad_id, payload, fetched_at, age_s, coalesce(age_s <= ttl, false) AS fresh, n_corrupt FROM now",
+    "src_landing_served": f"""WITH {LANDED}, asked AS (SELECT c_custkey AS norad_id, unnest(['spacetrack', 'celestrak']) AS source, c_custkey % 5 AS k FROM customer),
+x AS (SELECT a.source, a.norad_id, k, n.payload, n.fetched_at, CASE WHEN coalesce(age_s <= ttl, false) THEN 'cached' WHEN k = 0 THEN 'fetched' WHEN k = 1 AND n.payload IS NOT NULL THEN 'unchanged' WHEN n.payload IS NOT NULL THEN 'stale' ELSE 'unreachable' END AS state
+  FROM asked a LEFT JOIN now n ON n.source = a.source AND n.norad_id = a.norad_id)
+SELECT source, norad_id, CASE WHEN state = 'fetched' THEN '[{{"NEW": ' || norad_id || '}}]' ELSE payload END AS payload, CASE WHEN state IN ('fetched', 'unchanged') THEN 1705276800000000 ELSE fetched_at END AS fetched_at, state = 'stale' AS stale, state FROM x""",
     "agg_class_quartiles": f"WITH {CHAN}, u AS ({' UNION ALL '.join(f'''SELECT orbit_class, '{n}' AS channel, quantile_cont({v}, [0.25, 0.5, 0.75]) AS q FROM ch GROUP BY 1''' for n, v in ELEMENT_CHANNELS.items())}) SELECT orbit_class, channel, {rnd('q[2]', 5)} AS median, {rnd('greatest(q[3] - q[1], 1e-12)', 5)} AS iqr FROM u",
     "win_overlap_average": f"WITH {EV}, {indexed('ev')}, w AS (SELECT norad_id, idx, unnest(range(greatest(CAST(floor((idx - 64) / 32) AS BIGINT) + 1, 0), idx // 32 + 1)) AS window_id FROM ix) SELECT norad_id, idx, {rnd('avg(1 / CAST(1 + window_id + idx - window_id * 32 AS DOUBLE))')} AS p FROM w GROUP BY 1, 2",
     "agg_reliability": f"WITH {RELY} SELECT c.orbit_class, CAST(b.bin AS INTEGER) AS bin, coalesce(n, 0) AS n, {rnd('mean_confidence')} AS mean_confidence, {rnd('precision')} AS precision FROM (SELECT DISTINCT orbit_class FROM smp) c CROSS JOIN (SELECT unnest(range(10)) AS bin) b LEFT JOIN ag ON ag.orbit_class = c.orbit_class AND ag.bin = b.bin",

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..constants import THRESHOLD
 from ..functions import physics
 from ..functions.stats import wilson
-from ..operators import bench, calibrate, detect, evaluate, features, labels, series
-from ..sources import fetch, notices, omm, tle
+from ..operators import bench, calibrate, detect, evaluate, features, labels, ordered, series
+from ..sources import catalogue_source, fetch, landing, notices, omm, tle
 from . import adapters as ad
 
 RAD = math.pi / 180
@@ -56,6 +56,42 @@ def src_fetch_result(s: SparkSession, d: str) -> DataFrame:
     return got.select("norad_id", "t", "a", "source", (F.col("t") > F.col("fetched_at")).alias("after_fetch"), "stale")
 
 
+@query
+def src_catalogue(s: SparkSession, d: str) -> DataFrame:
+    """Events landed as one answer an object, then read by the data source with bounds of the epoch in its requests."""
+    ev, us = ad.read(s, d, "events"), ad.micros("ts")
+    fields = {"NORAD_CAT_ID": F.col("user_id"), "EPOCH": F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "MEAN_MOTION": F.lit(15) + F.col("event_id") % 1000 / 1000, "ECCENTRICITY": F.lit(0.001), "INCLINATION": F.lit(66), "RA_OF_ASC_NODE": F.col("event_id") % 360, "ARG_OF_PERICENTER": F.lit(90), "MEAN_ANOMALY": F.lit(10), "BSTAR": F.lit(0.0001), "MEAN_MOTION_DOT": F.lit(0), "MEAN_MOTION_DDOT": F.lit(0), "REV_AT_EPOCH": F.col("event_id")}
+    record = F.to_json(F.struct(*[v.cast("string").alias(k) for k, v in fields.items()]))
+    path = ordered.shared_folder(s)
+    answers = ev.groupBy(F.col("user_id").alias("norad_id")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(record)), ","), F.lit("]")).alias("value"))
+    answers.write.partitionBy("norad_id").text(path)
+    found = catalogue_source.read(s, "spacetrack", path=path).where((F.col("t") >= ad.BURN) & (F.col("t") < ad.BURN + 5 * 86_400_000_000))
+    return rounded(catalogue_source.elsets(found).select("norad_id", "t", "mean_motion", "raan", "rev_at_epoch", F.regexp_extract("request", "EPOCH/([^/]*)/", 1).alias("epoch"), "stale"))
+
+
+def _snapshots(s: SparkSession, d: str) -> DataFrame:
+    """Each event a snapshot of its user, in turn from two sources; every seventh is cut off, every eleventh no array."""
+    i = F.col("event_id")
+    body = F.when(i % 7 == 0, F.concat(F.lit('[{"EVENT": '), i.cast("string"))).when(i % 11 == 0, F.lit("{}")).otherwise(F.concat(F.lit('[{"EVENT": '), i.cast("string"), F.lit("}]")))
+    return ad.read(s, d, "events").select(F.when(i % 2 == 0, "spacetrack").otherwise("celestrak").alias("source"), F.col("user_id").alias("norad_id"), ad.micros("ts").alias("fetched_at"), body.alias("payload"))
+
+
+@query
+def src_landing_as_of(s: SparkSession, d: str) -> DataFrame:
+    return landing.as_of(_snapshots(s, d), ad.BURN)
+
+
+@query
+def src_landing_served(s: SparkSession, d: str) -> DataFrame:
+    """Every customer asked of either source; answers by their number: new, unchanged, failed, cut off or none."""
+    key = F.col("c_custkey")
+    asked = ad.read(s, d, "customer").select(F.explode(F.array(F.lit("spacetrack"), F.lit("celestrak"))).alias("source"), key.alias("norad_id"))
+    k = F.col("norad_id") % 5
+    status = F.when(k.isin(0, 3), 200).when(k == 1, 304).otherwise(503)
+    answers = asked.where(k < 4).select("source", "norad_id", status.alias("status"), F.when(k == 0, F.concat(F.lit('[{"NEW": '), F.col("norad_id").cast("string"), F.lit("}]"))).otherwise("[cut").alias("payload"))
+    return landing.served(_snapshots(s, d), asked, answers, ad.BURN)
+
+
 @query
 def txt_epoch_predicate(s: SparkSession, d: str) -> DataFrame:
     k, day = F.col("o_orderkey") % 4, ad.micros("o_orderdate")

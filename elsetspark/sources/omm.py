@@ -26,6 +26,12 @@ def _micros(plain: Column) -> Column:
 
 def parse(records: DataFrame, strict: bool = True) -> DataFrame:
     """Elsets of rows of strings named like the message's fields. Whole numbers must be whole ('1.5' is malformed)."""
+    rows = parsed(records, [], strict)
+    return rows if strict else rows.dropna()
+
+
+def parsed(records: DataFrame, also: list[str], strict: bool = True) -> DataFrame:
+    """The fields of parse, and the columns `also` as they are."""
     def number(name: str, default: str | None = None) -> Column:
         raw = F.trim(F.col(name)) if default is None else F.coalesce(F.trim(F.col(name)), F.lit(default))
         return F.when(raw.rlike(r"^[+-]?\d+$"), raw.try_cast("long")) if name in WHOLE else raw.try_cast("double")
@@ -34,8 +40,7 @@ def parse(records: DataFrame, strict: bool = True) -> DataFrame:
     out |= {new: number(k, d) if k in WHOLE else F.coalesce(F.col(k), F.lit(d)) for k, (new, d) in DEFAULTS.items()}
     if strict:
         out = {c: F.when(v.isNull(), F.raise_error(F.lit(f"malformed or missing field: {c}"))).otherwise(v) for c, v in out.items()}
-    rows = records.select(*[v.alias(c) for c, v in out.items()])
-    return rows if strict else rows.dropna()
+    return records.select(*[v.alias(c) for c, v in out.items()], *also)
 
 
 def parse_payload(payloads: DataFrame, column: str = "value") -> DataFrame:
