@@ -196,8 +196,8 @@ SELECT event_id, {rnd('1000 * CASE WHEN NOT blind AND abs(det) > 1e-15 THEN abs(
     "fn_orbit": f"WITH {EV} SELECT event_id, {rnd('a * (1 - e * e)')} AS p, {rnd(f'sqrt({MU} * a * (1 - e * e))')} AS h, {rnd(f'sqrt({MU} / (a * a * a)) * 1e4')} AS rate FROM ev",
     "src_fetch_result": f"WITH {EV} SELECT norad_id, t, a, 'history' AS source, t > epoch_us(TIMESTAMP '2024-01-11') AS after_fetch, true AS stale FROM ev WHERE t BETWEEN epoch_us(TIMESTAMP '2024-01-08') AND epoch_us(TIMESTAMP '2024-01-15')",
     "txt_epoch_predicate": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN lo || '--' || hi WHEN 1 THEN '>' || lo WHEN 2 THEN '<' || hi ELSE '' END AS predicate FROM (SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS lo, strftime(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') AS hi FROM orders)",
-    "txt_coverage": f"""WITH {LAB}, c AS (SELECT orbit_class, place, count(label_id) AS n, count(delta_v) AS dv, count(norad_id) AS cat, coalesce(string_agg(DISTINCT source, ', ' ORDER BY source), '—') AS src FROM (SELECT unnest(['LEO', 'MEO', 'GEO', 'IGSO', 'HEO']) AS orbit_class, unnest(range(1, 6)) AS place) LEFT JOIN lab USING (orbit_class) GROUP BY 1, 2)
-SELECT CAST(0 AS INTEGER) AS place, sum(n) || ' labelled maneuver events' AS line FROM c UNION ALL SELECT CAST(place AS INTEGER), '  ' || orbit_class || ': ' || n || ' events (' || dv || ' with Δv, ' || cat || ' catalogue-resolved) [' || src || ']' FROM c""",
+    "txt_coverage": f"""WITH {LAB}, c AS (SELECT orbit_class, place, count(label_id) AS n, count(delta_v) AS dv, count(norad_id) AS cat, coalesce('from ' || string_agg(DISTINCT source, ' and ' ORDER BY source), 'no source') AS src FROM (SELECT unnest(['LEO', 'MEO', 'GEO', 'IGSO', 'HEO']) AS orbit_class, unnest(range(1, 6)) AS place) LEFT JOIN lab USING (orbit_class) GROUP BY 1, 2)
+SELECT CAST(0 AS INTEGER) AS place, 'events in all: ' || sum(n) AS line FROM c UNION ALL SELECT CAST(place AS INTEGER), orbit_class || ' ' || n || ', velocity change known for ' || dv || ', object known for ' || cat || ', ' || src FROM c""",
     "fn_j2_rates": f"WITH {EV}, q AS (SELECT event_id, sqrt({MU} / pow(a, 3)) * 1.082616e-3 * pow(6378.135 / (a * (1 - e * e)), 2) AS k, e, cos(inc * {RAD}) AS c FROM ev) SELECT event_id, {rnd('-1.5 * k * c * 1e7')} AS raan_rate, {rnd('0.75 * k * (5 * c * c - 1) * 1e7')} AS argp_rate, {rnd('0.75 * k * (3 * c * c - 1) * sqrt(1 - e * e) * 1e7')} AS anomaly_rate FROM q",
     "fn_speeds": f"WITH {EV} SELECT event_id, {rnd(f'sqrt({MU} / pow(a, 3)) * 1000')} AS n_mrad_s, {rnd(f'sqrt({MU} / a)')} AS v_circular, {rnd(f'sqrt({MU} * (2 * (1 + e * cos(raan * {RAD})) / (a * (1 - e * e)) - 1 / a))')} AS v FROM ev",
     "agg_object_floor": f"WITH {DETECT}, {FLOORS} SELECT norad_id, {rnd('floor_in_track', 5)} AS floor_in_track, {rnd('floor_cross_track', 5)} AS floor_cross_track, {rnd('floor_radial', 5)} AS floor_radial FROM floors",

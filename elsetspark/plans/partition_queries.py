@@ -98,7 +98,10 @@ def src_notice_sequence(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def src_recipe(s: SparkSession, d: str) -> DataFrame:
-    return catalogue.recipe(s).groupBy("orbit_class", "label_source").agg(F.count("*").alias("n"), F.min("norad_id").alias("first_id"), F.max("norad_id").alias("last_id"))
+    """The pinned objects of each class and label source beside the events of the class."""
+    events = ad.samples_ev(s, d).groupBy("orbit_class").agg(F.count("*").alias("n_events"), F.sum("outcome").alias("n_hits"))
+    pinned = catalogue.recipe(s).groupBy("orbit_class", "label_source").agg(F.count("*").alias("n"), F.min("norad_id").alias("first_id"), F.max("norad_id").alias("last_id"))
+    return pinned.join(events, "orbit_class", "left")
 
 
 @query
@@ -334,8 +337,9 @@ SQL["det_residual_invert"] = f"WITH {DRIFT}, {peaks(5.0)} SELECT norad_id, idx,
 SQL["src_notice_sequence"] = """WITH f AS (SELECT DISTINCT o_custkey AS year, o_orderkey % 211 + 1 AS seq FROM orders),
 g AS (SELECT *, seq - coalesce(lag(seq) OVER w, 0) > 25 AS ended FROM f WINDOW w AS (PARTITION BY year ORDER BY seq))
 SELECT year, seq FROM (SELECT *, bool_or(ended) OVER (PARTITION BY year ORDER BY seq ROWS UNBOUNDED PRECEDING) AS past FROM g) WHERE NOT past"""
-SQL["src_recipe"] = """SELECT * FROM (VALUES ('LEO', 'DORIS-IDS', CAST(15 AS BIGINT), CAST(20436 AS BIGINT), CAST(46984 AS BIGINT)), ('MEO', 'GPS-NANU', 32, 26407, 68791), ('MEO', 'GALILEO-NAGU', 33, 37846, 67162),
-('IGSO', 'QZSS-OHI', 3, 42738, 49336), ('GEO', 'QZSS-OHI', 2, 42917, 62876), ('GEO', 'NOAA-GOES', 4, 41866, 60133), ('GEO', 'SELF-GEO', 3, 38552, 40732)) v(orbit_class, label_source, n, first_id, last_id)"""
+SQL["src_recipe"] = """SELECT v.*, n_events, n_hits FROM (VALUES ('LEO', 'DORIS-IDS', CAST(15 AS BIGINT), CAST(20436 AS BIGINT), CAST(46984 AS BIGINT)), ('MEO', 'GPS-NANU', 32, 26407, 68791), ('MEO', 'GALILEO-NAGU', 33, 37846, 67162),
+('IGSO', 'QZSS-OHI', 3, 42738, 49336), ('GEO', 'QZSS-OHI', 2, 42917, 62876), ('GEO', 'NOAA-GOES', 4, 41866, 60133), ('GEO', 'SELF-GEO', 3, 38552, 40732)) v(orbit_class, label_source, n, first_id, last_id)
+LEFT JOIN (SELECT ['LEO', 'MEO', 'GEO', 'IGSO', 'HEO'][user_id % 5 + 1] AS orbit_class, count(*) AS n_events, CAST(sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_hits FROM events GROUP BY 1) e ON e.orbit_class = v.orbit_class"""
 _GPS = ", ".join(f"({svn}, CAST({i} AS BIGINT))" for svn, _, i, _ in (line.split() for line in catalogue.GPS.strip().splitlines()))
 SQL["src_landed_labels"] = f"""WITH gps(svn, norad_id) AS (VALUES {_GPS}), goes(k, norad_id) AS (VALUES (16, CAST(41866 AS BIGINT)), (17, 43226), (18, 51850), (19, 60133)),
 d AS (SELECT o_orderkey, o_orderkey % 90 AS svn, epoch_us(TIMESTAMP '2023-01-01') + (o_orderkey % 300 + 59) * {DAY} AS day FROM orders)

@@ -551,7 +551,7 @@ def test_fetch_result_bounds_and_order(spark):
 def test_coverage_lines_without_labels(spark):
     empty = spark.createDataFrame([], "orbit_class string, delta_v double, norad_id long, source string")
     lines = [r["line"] for r in labels.coverage_lines(labels.coverage(empty)).orderBy("place").collect()]
-    assert lines[0] == "0 labelled maneuver events" and len(lines) == 6 and lines[1] == "  LEO: 0 events (0 with Δv, 0 catalogue-resolved) [—]"
+    assert lines[0] == "events in all: 0" and len(lines) == 6 and lines[1] == "LEO 0, velocity change known for 0, object known for 0, no source"
 
 
 def test_residual_detector(spark):
@@ -631,7 +631,8 @@ def test_summaries(spark):
     doc = bench.report(bench.outcomes(dets, labs, bench.match(dets, labs), expo), labs, expo)
     assert bench.headline(doc) == {c: doc[c]["recall"] for c in ORBIT_CLASSES}
     lines = bench.summary(doc).splitlines()
-    assert lines[0] == "benchmark score @ 1 FA/sat-year (95% CI)" and lines[1].startswith("  LEO: recall=0.667 [") and "recall=n/a [0.000, 1.000]" in lines[3]
+    assert lines[0] == "at 1 false alarms a satellite and year, intervals of 95%" and lines[1].split()[0] == "class" and len(lines) == 7
+    assert lines[2].split()[0] == "LEO" and lines[2].split()[3:7] == ["66.7", "20.8", "to", "93.9"] and "0.0 to 100.0" in lines[4]
 
 
 def test_scaler_document(spark):
