@@ -5,8 +5,10 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from datetime import UTC, datetime
 
 from .registry import available_models, detect
+from .sources.catalogue_source import CATALOGUES
 from .sources.documents import iso
 
 COLUMNS = ("epoch", "norad_id", "type", "confidence", "delta_v_estimate")
@@ -22,16 +24,26 @@ def render(rows: list[dict], kind: str) -> str:
     return "".join("  ".join(v.ljust(w) for v, w in zip(x, wide, strict=True)).rstrip() + "\n" for x in [list(COLUMNS), *lines])
 
 
+def moment(text: str) -> int:
+    """Microseconds since 1970 of an ISO date or time (UTC where it names no zone), or such a number itself."""
+    if text.lstrip("-").isdigit() and len(text) > 8:
+        return int(text)
+    at = datetime.fromisoformat(text)
+    at = at.replace(tzinfo=UTC) if at.tzinfo is None else at
+    return (at - datetime(1970, 1, 1, tzinfo=UTC)) // (datetime.resolution)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="elsetspark")
     sub = parser.add_subparsers(dest="command", required=True)
-    run = sub.add_parser("detect", help="detect manoeuvres in files of two-line elements or JSON messages")
-    run.add_argument("path")
+    run = sub.add_parser("detect", help="detect manoeuvres in files of two-line elements or JSON messages, or in a catalogue's elements")
+    run.add_argument("path", help="a file; with a catalogue as the source, catalogue numbers joined by commas")
     run.add_argument("--model", default="classical", choices=available_models())
-    run.add_argument("--source", default="tle", choices=("tle", "omm"))
+    run.add_argument("--source", default="tle", choices=("tle", "omm", *sorted(CATALOGUES)))
+    run.add_argument("--landed", help="folder of landed answers of the catalogue, in place of requests")
     run.add_argument("--format", default="table", choices=("table", "csv", "json"))
-    run.add_argument("--start", type=int, help="first epoch, microseconds since 1970")
-    run.add_argument("--end", type=int)
+    run.add_argument("--start", type=moment, help="first epoch: an ISO date or time, or microseconds since 1970")
+    run.add_argument("--end", type=moment)
     run.add_argument("--output")
     args = parser.parse_args(argv)
     try:
@@ -39,10 +51,17 @@ def main(argv: list[str] | None = None) -> int:
         from pyspark.sql import functions as F
 
         from .operators.evaluate import reconstruct
-        from .sources import omm, tle
+        from .sources import catalogue_source, omm, tle
 
         spark = SparkSession.builder.getOrCreate()
-        elsets = tle.parse(tle.read_files(spark, args.path)) if args.source == "tle" else omm.read(spark, args.path)
+        if args.source in CATALOGUES:
+            options = {"objects": args.path} | ({"path": args.landed} if args.landed else {})
+            found = catalogue_source.read(spark, args.source, **options)
+            for bound, keep in ((args.start, lambda b: F.col("t") >= b), (args.end, lambda b: F.col("t") <= b)):
+                found = found if bound is None else found.where(keep(bound))  # in the requests
+            elsets = catalogue_source.elsets(found)
+        else:
+            elsets = tle.parse(tle.read_files(spark, args.path)) if args.source == "tle" else omm.read(spark, args.path)
         for bound, keep in ((args.start, lambda b: F.col("t") >= b), (args.end, lambda b: F.col("t") <= b)):
             if bound is not None:
                 elsets = elsets.where(keep(bound))

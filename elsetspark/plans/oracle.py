@@ -247,6 +247,7 @@ SELECT coalesce(p.id, r.id) AS norad_id, CASE WHEN p.id IS NULL THEN 'unexpected
     "sort_board": f"SELECT CAST(s_suppkey AS VARCHAR) AS name, {rnd('(s_suppkey % 7) / 7')} AS recall, s_suppkey % 5 AS submitted_at, CAST(row_number() OVER (ORDER BY (s_suppkey % 7) / 7 DESC, s_suppkey % 5, CAST(s_suppkey AS VARCHAR)) AS INTEGER) AS place FROM supplier",
     "feat_channels": f"WITH {CHAN} SELECT norad_id, idx, orbit_class, {', '.join(f'{rnd(v)} AS {n}' for n, v in (ELEMENT_CHANNELS | TIME_CHANNELS | FLAG_CHANNELS).items())} FROM ch",
     "feat_windows": f"WITH {EV}, {indexed('ev')}, o AS (SELECT norad_id, CAST(count(*) AS BIGINT) AS n FROM ix GROUP BY 1), w AS (SELECT norad_id, n, unnest(range(0, n, 32)) AS start FROM o), p AS (SELECT *, unnest(range(0, 64)) AS position FROM w) SELECT norad_id, start // 32 AS window_id, position, CASE WHEN start + position < n THEN start + position END AS idx, start + position < n AS valid FROM p",
+    "pred_non_finite": "SELECT user_id AS norad_id, count(*) AS rows, count(*) FILTER (event_id % 17 = 0 OR event_id % 19 = 0 OR event_id % 23 = 0) AS dropped, count(*) FILTER (event_id % 17 = 0) AS bad_a, count(*) FILTER (event_id % 19 = 0) AS bad_e, count(*) FILTER (event_id % 23 = 0) AS bad_inc, CAST(0 AS BIGINT) AS bad_raan, CAST(0 AS BIGINT) AS bad_argp FROM events GROUP BY 1",
     "src_catalogue": f"""SELECT user_id AS norad_id, epoch_us(ts) AS t, {rnd("15 + (event_id % 1000) / CAST(1000 AS DOUBLE)")} AS mean_motion, CAST(event_id % 360 AS DOUBLE) AS raan, event_id AS rev_at_epoch,
   '2024-01-15 00:00:00--2024-01-20 00:00:00' AS epoch, false AS stale FROM events WHERE epoch_us(ts) >= 1705276800000000 AND epoch_us(ts) < 1705276800000000 + 5 * {DAY}""",
     "src_landing_as_of": f"WITH {LANDED} SELECT source, norad_id, payload, fetched_at, age_s, coalesce(age_s <= ttl, false) AS fresh, n_corrupt FROM now",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..constants import THRESHOLD
 from ..functions import physics
 from ..functions.stats import wilson
-from ..operators import bench, calibrate, detect, evaluate, features, labels, ordered, series
+from ..operators import bench, calibrate, detect, evaluate, features, guards, labels, ordered, series
 from ..sources import catalogue_source, fetch, landing, notices, omm, tle
 from . import adapters as ad
 
@@ -56,6 +56,14 @@ def src_fetch_result(s: SparkSession, d: str) -> DataFrame:
     return got.select("norad_id", "t", "a", "source", (F.col("t") > F.col("fetched_at")).alias("after_fetch"), "stale")
 
 
+@query
+def pred_non_finite(s: SparkSession, d: str) -> DataFrame:
+    """Events as a series in which every 17th semi-major axis is not a number, every 19th eccentricity null, every 23rd inclination infinite."""
+    i, rows = F.col("event_id"), ad.series_ev(s, d)
+    spoiled = rows.withColumns({"a": F.when(i % 17 == 0, F.lit(float("nan"))).otherwise(F.col("a")), "e": F.when(i % 19 != 0, F.col("e")), "inc": F.when(i % 23 == 0, F.lit(float("inf"))).otherwise(F.col("inc"))})
+    return guards.non_finite(spoiled)
+
+
 @query
 def src_catalogue(s: SparkSession, d: str) -> DataFrame:
     """Events landed as one answer an object, then read by the data source with bounds of the epoch in its requests."""
