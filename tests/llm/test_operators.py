@@ -583,6 +583,61 @@ def test_html_names_are_a_prior_only():
         assert html_extract.main_text(f"<div>{whole}<div class='{name}'><p>{text}</p></div></div>") == bare, name
 
 
+PROSE = [
+    "The river rose by two metres overnight, and the lower fields stood under water until noon. Nobody was hurt, said the council.",
+    "Repairs to the bridge will take a month, according to the engineers; they had warned of this, twice, in the spring.",
+    "Farmers moved their cattle to higher ground. Some barns were lost, and with them the hay of the whole season.",
+    "The school opened again on Thursday, with half of its pupils. The rest came back in the week that followed.",
+    "In the end the damage was less than feared, and the insurers paid, after some delay, nearly all of it.",
+]
+ASIDE = "<p>Read more stories from our site, and follow us, today.</p><p>All rights reserved, 2020. Contact us, please.</p>"
+SHARED = {
+    "classes": '<div class="col content">{0}</div><div class="col sidebar">{1}</div>',
+    "ids": '<div id="content">{0}</div><div id="footer">{1}</div>',
+    "class_and_id": '<div class="col" id="main">{0}</div><div class="col" id="sidebar">{1}</div>',
+    "rows": '<div class="row"><div class="cell">{0}</div></div><div class="row" id="footer"><div class="cell">{1}</div></div>',
+    "comment": '<article>{0}<p id="comment">Nice one, thanks.</p></article>',
+    "alert": '<article>{0}<p role="alert">Please, accept this.</p></article>',
+    "promo": '<article>{2}<p class="para promo">Buy this, now.</p></article>',
+    "sections": '<section>{0}</section><section id="related">{1}</section>',
+    "nested_comment": '<article>{0}<article class="comment"><p>' + PROSE[1] + "</p></article></article>",
+    "comment_beside": '<article>{0}</article><article class="comment"><p>' + PROSE[1] + "</p></article>",
+    "link_lists": '<article>{0}<ul class="menu"><li><a href=x>One</a><li><a href=y>Two</a></ul><div class="share">Share this, on all sites</div></article>',
+}
+
+
+@pytest.mark.parametrize("wrap", ["<html><body>{}</body></html>", "<html><body><header><a href=/>Home</a></header><div class=wrap>{}</div><footer>end, of it</footer></body></html>"])
+@pytest.mark.parametrize("name", SHARED)
+def test_html_boilerplate_on_the_path_of_the_article(name, wrap):
+    """A block of boilerplate that shares tags and first class with the article's blocks goes alone."""
+    page = SHARED[name].format("".join(f"<p>{x}</p>" for x in PROSE), ASIDE, "".join(f'<p class="para">{x}</p>' for x in PROSE))
+    assert html_extract.main_text(wrap.format(page)) == "\n".join(PROSE)
+
+
+def test_html_nothing_else_is_dropped():
+    whole, text = "".join(f"<p>{x}</p>" for x in PROSE), "\n".join(PROSE)
+    read = html_extract.main_text
+    assert read(f'<div id="header"><p>Site name, slogan.</p></div><div id="content"><h1>T</h1>{whole}</div>') == f"T\n{text}"
+    assert read(f'<article>{whole}<h2 class="section-header">Part two</h2>{whole}</article>') == f"{text}\nPart two\n{text}"
+    for inner in ('<div class="menu">', '<div class="social">'):
+        assert read(f"<article>{whole}{inner}<p>{PROSE[0]}</p></div></article>") == f"{text}\n{PROSE[0]}"
+    assert read(f"<article>{whole * 6}</article><article>{whole}</article>") == "\n".join([text] * 7)
+    assert read(f"<article>{whole}<p>Press the <button>Save</button> key, and <label>wait</label> for it.</p></article>") == f"{text}\nPress the Save key, and wait for it."
+    assert read(f"<article>{whole}<button>Save</button><form><p>Your <label>name</label></p></form></article>") == text
+    assert read(f'<article class="promo">{whole}</article>') == text
+
+
+UNSEEN = """<html><body><div class=top><span>Harbour gazette</span><ul><li>Towns<li>Weather<li>Sport</ul></div><div class=shell><div class=lead><p>{0}</p></div>
+<div class=copy><p>{1}</p><p>{2}</p><blockquote>{3}</blockquote><dl><dt>Depth<dd>2 m</dl></div><div class=close><p>{4}</p></div><div class=tail><span>Set in Plantin</span><span>Page 4</span></div></div></body></html>"""
+
+
+def test_html_thresholds_on_a_page_they_were_not_set_on():
+    page = UNSEEN.format(*PROSE)
+    lines = html_extract.main_text(page).split("\n")
+    assert [x for x in lines if x in PROSE] == PROSE and not {"Towns", "Harbour gazette", "Weather"} & set(lines)
+    assert html_extract.main_text(page, 0.05) != html_extract.main_text(page) != html_extract.main_text(page, 0.99)
+
+
 def test_html_deep_and_long_pages():
     text = "Deep prose, at the end. "
     assert html_extract.main_text("<div>x " * 50_000 + f"<p>{text * 20}</p>").endswith((text * 20).strip())
