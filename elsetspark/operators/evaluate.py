@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import OPERATING_POINT, ORBIT_CLASSES, US_PER_DAY
-from . import bench, calibrate, detect, labels, partition
+from . import bench, calibrate, dataset, detect, labels, partition
 from .series import assemble, clean
 
 YEAR_US = 365.25 * US_PER_DAY
@@ -21,9 +21,8 @@ def reconstruct(elsets: DataFrame) -> DataFrame:
 
 
 def digests(series: DataFrame) -> DataFrame:
-    """norad_id, n_elsets and a digest of each object's ordered rows."""
-    row = F.to_json(F.struct(*[c for c in series.columns if c != "norad_id"]))
-    return series.groupBy("norad_id").agg(F.count("*").alias("n_elsets"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", row.alias("j")))), lambda x: x["j"]), "\n"), 256).alias("sha256"))
+    """norad_id, n_elsets and a digest of each object's ordered rows, all columns included."""
+    return dataset.series_digests(series, tuple(c for c in series.columns if c not in ("norad_id", "t")))
 
 
 def temporal_split(events: DataFrame, seed: int = 0) -> dict[int, str]:

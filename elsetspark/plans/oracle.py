@@ -12,7 +12,7 @@ EV = f"""ev AS (SELECT user_id AS norad_id, epoch_us(ts) AS t,
 ELS = """els AS (SELECT user_id AS norad_id, epoch_us(ts) AS t, CASE WHEN event_id % 90 = 7 THEN CAST(18 AS DOUBLE) ELSE CAST(15 AS DOUBLE) + value / 1000 END + copy * CAST(0.001 AS DOUBLE) AS mean_motion,
   CASE WHEN event_id % 50 = 0 THEN CAST(1.5 AS DOUBLE) ELSE CAST(0.001 AS DOUBLE) + (event_id % 97) * CAST(1e-6 AS DOUBLE) END AS eccentricity,
   CASE WHEN event_id % 70 = 0 THEN 200.0 ELSE 66.0 END AS inclination,
-  CAST(100 + CASE WHEN event_id % 3 = 0 THEN copy ELSE 0 END AS BIGINT) AS element_set_no
+  CAST(event_id % 360 AS DOUBLE) AS raan, CAST(100 + CASE WHEN event_id % 3 = 0 THEN copy ELSE 0 END AS BIGINT) AS element_set_no
   FROM events, (SELECT unnest([0, 1]) AS copy))"""
 LANDED = """snap AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'spacetrack' ELSE 'celestrak' END AS source, user_id AS norad_id, epoch_us(ts) AS fetched_at, event_id % 7 <> 0 AND event_id % 11 <> 0 AS good, '[{"EVENT": ' || event_id || '}]' AS body FROM events WHERE epoch_us(ts) <= 1705276800000000),
 new AS (SELECT source, norad_id, arg_max(body, (fetched_at, body)) FILTER (good) AS payload, max(fetched_at) FILTER (good) AS fetched_at, count(*) FILTER (NOT good) AS n_corrupt FROM snap GROUP BY ALL),

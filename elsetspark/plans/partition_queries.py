@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import bench, calibrate, detect, features, labels, learned, partition, series
+from ..operators import bench, calibrate, dataset, detect, features, labels, learned, partition, series
 from ..sources import catalogue, landed
 from . import adapters as ad
-from .oracle import CHAN, DAY, DETECT, DRIFT, ELEMENT_CHANNELS, EV, FLAG_CHANNELS, FLOORS, LAB, RAD, SAMPLES, SCORED, TIME_CHANNELS, TYPE, indexed, invert, peaks, rnd
+from .oracle import CHAN, DAY, DETECT, DRIFT, ELEMENT_CHANNELS, ELS, EV, FLAG_CHANNELS, FLOORS, LAB, RAD, SAMPLES, SCORED, TIME_CHANNELS, TYPE, indexed, invert, peaks, rnd
 from .oracle import SQL as ENGINE_SQL
 from .queries import _scored, rounded
 
@@ -104,6 +104,39 @@ def src_recipe(s: SparkSession, d: str) -> DataFrame:
     return pinned.join(events, "orbit_class", "left")
 
 
+def _entries(s: SparkSession, d: str) -> DataFrame:
+    """An entry an object of events: every third from BURN on, every fifth up to it, the others whole; object 1000001 has no element sets."""
+    i = F.col("norad_id")
+    rows = ad.read(s, d, "events").select(F.col("user_id").alias("norad_id")).distinct().unionByName(s.createDataFrame([(1_000_001,)], "norad_id long"))
+    return rows.withColumns({"label_source": F.lit("announced"), "start": F.when(i % 3 == 0, ad.BURN).cast("long"), "end": F.when((i % 5 == 0) & (i % 3 != 0), ad.BURN).cast("long")})
+
+
+def _dataset(s: SparkSession, d: str) -> dataset.Dataset:
+    named = ad.labels_ev(s, d).withColumn("source_ref", F.lit("event"))
+    return dataset.rebuild(_entries(s, d), ad.elsets_dup(s, d), named, "1")
+
+
+@query
+def data_digest(s: SparkSession, d: str) -> DataFrame:
+    """Digest of the canonical text of every object's cleaned element sets."""
+    return dataset.series_digests(series.clean(ad.elsets_dup(s, d)))
+
+
+@query
+def data_rebuild(s: SparkSession, d: str) -> DataFrame:
+    """Every label of the rebuilt dataset with its gap, or none."""
+    built = _dataset(s, d)
+    label = ("label_id", "norad_id", "epoch", "orbit_class", "source")
+    return built.intervals.select(*label, "t0", "t1", "tol_start", "tol_end").unionByName(built.unmatched.select(*label), allowMissingColumns=True)
+
+
+@query
+def data_verify(s: SparkSession, d: str) -> DataFrame:
+    """A manifest of all element sets as version 1 against the rebuilt one of their windows as version 2."""
+    pinned = dataset.series_digests(series.clean(ad.elsets_dup(s, d)))
+    return dataset.differences(pinned, "1", _dataset(s, d).digests, "2")
+
+
 @query
 def det_learned(s: SparkSession, d: str) -> DataFrame:
     rows = ad.series_ev(s, d)
@@ -345,3 +378,17 @@ SQL["src_landed_labels"] = f"""WITH gps(svn, norad_id) AS (VALUES {_GPS}), goes(
 d AS (SELECT o_orderkey, o_orderkey % 90 AS svn, epoch_us(TIMESTAMP '2023-01-01') + (o_orderkey % 300 + 59) * {DAY} AS day FROM orders)
 SELECT norad_id, day + 27000000000 AS epoch, day + 5400000000 AS window_start, day + 48600000000 AS window_end, 'MEO' AS orbit_class, 'GPS-NANU' AS source, CAST(o_orderkey AS VARCHAR) AS source_ref FROM d JOIN gps USING (svn)
 UNION ALL SELECT DISTINCT norad_id, t + 43200000000, t, t + {DAY}, 'GEO', 'NOAA-GOES', 'GOES-' || k FROM (SELECT o_orderkey % 20 AS k, epoch_us(TIMESTAMP '2023-01-01') + (o_orderkey % 200) * {DAY} AS t FROM orders) JOIN goes USING (k)"""
+_TEXT = "".join(f""" || ',"{c}":' || CAST({v} AS DOUBLE)""" for c, v in {"mean_motion": "mean_motion", "eccentricity": "eccentricity", "inclination": "inclination", "raan": "raan", "arg_perigee": "90", "mean_anomaly": "10", "bstar": "1e-4", "mean_motion_dot": "0", "mean_motion_ddot": "0"}.items())
+_CLEANED = f"""{ELS}, cl AS (SELECT *, '{{"norad_id":' || norad_id || ',"epoch":"' || strftime(make_timestamp(t), '%Y-%m-%dT%H:%M:%S') || CASE WHEN t % 1000000 = 0 THEN '' ELSE strftime(make_timestamp(t), '.%f') END || '+00:00"'{_TEXT} || '}}' AS rec
+  FROM (SELECT *, row_number() OVER (PARTITION BY norad_id, t ORDER BY element_set_no DESC, mean_motion DESC) AS k FROM els WHERE eccentricity < 1 AND inclination <= 180 AND mean_motion < 17) WHERE k = 1)"""
+_DIGESTS = "SELECT norad_id, count(*) AS n_elsets, sha256('[' || string_agg(rec, ',' ORDER BY t) || ']') AS sha256 FROM"
+_WINDOW = lambda c: f"(norad_id % 3 <> 0 OR {c} >= {ad.BURN}) AND (norad_id % 5 <> 0 OR norad_id % 3 = 0 OR {c} <= {ad.BURN})"
+SQL["data_digest"] = f"WITH {_CLEANED} {_DIGESTS} cl GROUP BY 1"
+SQL["data_rebuild"] = f"""WITH {_CLEANED}, {LAB}, sr AS (SELECT norad_id, t AS t0, lead(t) OVER w AS t1, coalesce(lag(t) OVER w, t) AS tol_start, coalesce(lead(t, 2) OVER w, lead(t) OVER w) AS tol_end FROM cl WHERE {_WINDOW("t")} WINDOW w AS (PARTITION BY norad_id ORDER BY t)),
+lb AS (SELECT label_id, norad_id, epoch, orbit_class, source FROM lab WHERE {_WINDOW("epoch")} AND norad_id IS NOT NULL)
+SELECT lb.*, t0, t1, CASE WHEN t0 IS NOT NULL THEN tol_start END AS tol_start, CASE WHEN t0 IS NOT NULL THEN tol_end END AS tol_end FROM lb LEFT JOIN sr ON sr.norad_id = lb.norad_id AND t0 <= epoch AND epoch < t1"""
+SQL["data_verify"] = f"""WITH {_CLEANED}, p AS ({_DIGESTS} cl GROUP BY 1), w AS ({_DIGESTS} cl WHERE {_WINDOW("t")} GROUP BY 1),
+r AS (SELECT i.norad_id, coalesce(n_elsets, 0) AS n_elsets, coalesce(w.sha256, sha256('[]')) AS sha256 FROM (SELECT DISTINCT user_id AS norad_id FROM events UNION ALL SELECT 1000001) i LEFT JOIN w ON w.norad_id = i.norad_id)
+SELECT CAST(coalesce(p.norad_id, r.norad_id) AS BIGINT) AS norad_id, CASE WHEN p.norad_id IS NULL THEN 'unexpected' WHEN r.norad_id IS NULL THEN 'missing' WHEN p.sha256 <> r.sha256 THEN 'hash' ELSE 'count' END AS problem
+FROM p FULL JOIN r ON p.norad_id = r.norad_id WHERE p.norad_id IS NULL OR r.norad_id IS NULL OR p.sha256 <> r.sha256 OR p.n_elsets <> r.n_elsets
+UNION ALL SELECT NULL, 'version 1 became 2'"""
