@@ -7,17 +7,19 @@ fingerprinted by the majority bits of its shingles' hashes (running sums over th
 similarity above zero needs a shared shingle, so windows without one need no fingerprint.
 
 Multi-index: a fingerprint is BLOCKS blocks of 16 bits. A window within RADIUS bits of an item is
-within RADIUS // BLOCKS bits of it in one block at least. For each block and item length a table
-tells of all 65536 values whether an item is that near; a window that is near in no block has no
-item within the radius and is left. For the others the differing bits are counted, and items within
-RADIUS are verified exactly: the weighted Jaccard similarity of the two shingle multisets must
-reach SIMILARITY. At that similarity a bit differs with a chance of about 0.15, so that a few in a
+within RADIUS // BLOCKS bits of it in one block at least. For each block and item length a postings
+list leads from every value that is so near to an item to those items: a window's candidates are the
+items in the lists of its blocks (4 in a hundred of the items of its length, where fingerprints are
+spread evenly), and no other item is compared with it. Candidates within RADIUS bits are verified
+exactly: the weighted Jaccard similarity of the two shingle multisets must reach SIMILARITY. At that similarity a bit differs with a chance of about 0.15, so that a few in a
 hundred of the barely similar windows lie beyond RADIUS = 15 of 64; in a test of items edited down to
 it 0.994 of what the exact search finds is found.
 
-The items are sent to the executors in blocks of BLOCK_BYTES of text at most, one pass over the
-documents a block; a usual benchmark is one block. An index takes some 60 bytes for each of its
-words and 32 KB for each length of an item: below 150 MB in a worker for a block of 8 MB.
+The items are sent to the executors in blocks of about BLOCK_BYTES of text and MOST_ITEMS items at
+most, one pass over the documents a block; a usual benchmark is one block. Of several blocks the
+driver holds one at a time, and each pass is written to the shared folder. An index takes some 60
+bytes for each of its words; a worker adds 11 KB of postings an item when it first needs them: below
+150 MB for the postings and the words of a block.
 
 Defined cases: null or empty texts, and documents in no pass, are clean with similarity 0; items
 that are null or have no word match nothing; documents shorter than an item are one window; of
@@ -37,9 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import small_batches
+from .common import Scratch, small_batches
 
-SHINGLE, SIMILARITY, RADIUS, BLOCKS, BLOCK_BYTES = 5, 0.8, 15, 4, 8 << 20
+SHINGLE, SIMILARITY, RADIUS, BLOCKS, BLOCK_BYTES, MOST_ITEMS = 5, 0.8, 15, 4, 8 << 20, 8192
+#: Candidates that one step of the lookup holds.
+PAIRS = 1 << 18
 WORD = re.compile(r"\w+")
 ADDED = ["contaminated", "items", "similarity"]
 SPREAD = np.array([xxhash.xxh64_intdigest(f"place {i}") | 1 for i in range(SHINGLE)], dtype=np.uint64)
@@ -87,25 +91,45 @@ def sixteens(prints: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """The items of one length: ids, multisets of shingles, fingerprints, and the table of near values of each block."""
+    """The items of one length: ids, multisets of shingles, fingerprints, and the postings of each block: near values, and the items near each."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], radius: int):
-        self.ids = [i for i, _ in items]
+        self.radius, self.ids = radius, [i for i, _ in items]
         self.bags = [bag(h) for _, h in items]
         self.prints = np.array([packed(bits(h).sum(axis=0, dtype=np.int64), len(h)) for _, h in items], dtype=np.uint64)
-        every, within = np.arange(1 << 16, dtype=np.uint16), radius // BLOCKS
-        near = np.zeros((BLOCKS, 1 << 16), dtype=bool)
-        for block, values in enumerate(sixteens(self.prints).T):
-            for v in np.unique(values):
-                near[block] |= np.bitwise_count(every ^ v) <= within
-        self.near = np.packbits(near, axis=1, bitorder="little")
-
-    def reachable(self, prints: np.ndarray) -> np.ndarray:
-        """Whether a fingerprint is near an item in a block. False: no item within the radius."""
-        out = np.zeros(len(prints), dtype=bool)
-        for table, values in zip(self.near, sixteens(prints).T, strict=True):
-            out |= (table[values >> 3] >> (values & 7) & 1).astype(bool)
-        return out
+        self.postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None  # made where they are first needed
+
+    def _lists(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each block: sorted values, where the list of each begins, and the lists."""
+        if self.postings is None:
+            every = np.arange(1 << 16, dtype=np.uint16)
+            flips = every[np.bitwise_count(every) <= self.radius // BLOCKS]
+            self.postings = []
+            for values in sixteens(self.prints).T:
+                near = (values[:, None] ^ flips).ravel()
+                order = np.argsort(near, kind="stable")
+                distinct, first = np.unique(near[order], return_index=True)
+                self.postings.append((distinct, np.append(first, len(near)), (order // len(flips)).astype(np.int32)))
+        return self.postings
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """(item, fingerprint) by number, in this order, of all within the radius; how many candidates were compared, and fingerprints with none."""
+        found, compared, reached = [np.zeros(0, dtype=np.int64)], 0, np.zeros(len(prints), dtype=bool)
+        step = max(1, PAIRS // len(self.ids))
+        for lo in range(0, len(prints), step):
+            some = prints[lo : lo + step]
+            for (distinct, first, lists), values in zip(self._lists(), sixteens(some).T, strict=True):
+                at = np.minimum(np.searchsorted(distinct, values), len(distinct) - 1)
+                begin, times = first[at], np.where(distinct[at] == values, first[at + 1] - first[at], 0)
+                reached[lo : lo + step] |= times > 0
+                n = int(times.sum())
+                compared += n
+                item = lists[np.repeat(begin - (np.cumsum(times) - times), times) + np.arange(n)]
+                keep = np.flatnonzero(np.bitwise_count(np.repeat(some, times) ^ self.prints[item]) <= self.radius)
+                which = np.searchsorted(np.cumsum(times), keep, side="right")
+                found.append(item[keep].astype(np.int64) * len(prints) + which + lo)
+        item, which = np.divmod(np.unique(np.concatenate(found)), max(1, len(prints)))
+        return item, which, compared, len(prints) - int(reached.sum())
 
 
 class Index:
@@ -113,7 +137,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]], radius: int = RADIUS, threshold: float = SIMILARITY):
         self.radius, self.threshold, self.vocabulary = radius, threshold, {}
-        self.seen = self.left = 0  # windows with a fingerprint, and those of them that the blocks leave out
+        self.seen = self.left = self.compared = 0  # windows with a fingerprint, those of them without a candidate, and candidates
         by: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for item, text in items:
             words = WORD.findall((text or "").lower())
@@ -178,50 +202,60 @@ class Index:
                 self._lookup(h, some, prints, span, self.sizes[size], found)
 
     def _lookup(self, h: np.ndarray, starts: np.ndarray, prints: np.ndarray, span: int, items: Items, found: dict[int, float]) -> None:
-        open_ = items.reachable(prints)
-        self.seen, self.left = self.seen + len(prints), self.left + len(prints) - int(open_.sum())
-        starts, prints = starts[open_], prints[open_]
-        if not len(starts):
-            return
-        for item, (distinct, times), own in zip(items.ids, items.bags, items.prints, strict=True):
-            at = np.flatnonzero(np.bitwise_count(prints ^ own) <= self.radius)
-            if not len(at):
+        item, which, compared, left = items.near(prints)
+        self.seen, self.left, self.compared = self.seen + len(prints), self.left + left, self.compared + compared
+        for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
+            if not len(part):
                 continue
+            at, own = which[part], int(item[part[0]])
+            number, (distinct, times) = items.ids[own], items.bags[own]
             # A window cannot be more similar than the number of its shingles that the item has allows.
-            inside = np.concatenate([[0], np.cumsum(np.isin(h[starts[0] : starts[-1] + span], distinct))])
-            most = inside[starts[at] - starts[0] + span] - inside[starts[at] - starts[0]]
+            first = int(starts[at[0]])
+            here = h[first : int(starts[at[-1]]) + span]
+            inside = np.zeros(len(here) + 1, dtype=np.int64)
+            np.cumsum(distinct[np.minimum(np.searchsorted(distinct, here), len(distinct) - 1)] == here, out=inside[1:])
+            most = inside[starts[at] - first + span] - inside[starts[at] - first]
             n = int(times.sum())
             at = at[np.minimum(most, n) >= self.threshold * (span + n) / (1 + self.threshold) - 1e-9]
             for s in starts[at].tolist():
                 score = similarity(bag(h[s : s + span]), (distinct, times))
-                if score >= self.threshold and score > found.get(item, 0.0):
-                    found[item] = score
+                if score >= self.threshold and score > found.get(number, 0.0):
+                    found[number] = score
 
 
 KIND = StructType([StructField("items", ArrayType(LongType())), StructField("similarity", DoubleType())])
 
 
-def scan(docs: DataFrame, index: Index) -> DataFrame:
+def scan(docs: DataFrame, index: Index, name: str) -> DataFrame:
     @F.pandas_udf(KIND)
     def look(texts: pd.Series) -> pd.DataFrame:
         found = [index.matches(t) for t in texts]
         return pd.DataFrame({"items": [sorted(x) for x in found], "similarity": [max(x.values(), default=0.0) for x in found]})
 
-    return docs.withColumn("__f", look("text"))
+    return docs.withColumn(name, look("text"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with contaminated (boolean), items (ids, sorted) and similarity (the best)."""
     small_batches(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = -(-2 * size // BLOCK_BYTES) if size > BLOCK_BYTES else 1
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
+    size, n = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    blocks = max(-(-2 * have // most) if have > most else 1 for have, most in ((size, BLOCK_BYTES), (n, MOST_ITEMS)))
     kept = [c for c in docs.columns if c not in ADDED]
+    held = "__found"
+    while held in kept:
+        held += "_"
     out = docs.select(*[f"`{c}`" for c in kept]).withColumns({"items": F.array().cast("array<bigint>"), "similarity": F.lit(0.0)})
+    scratch, last = Scratch(docs.sparkSession) if blocks > 1 else None, None
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         index = Index(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part.collect()))
-        out = scan(out, index).select(*[f"`{c}`" for c in kept], F.array_sort(F.array_union("items", "__f.items")).alias("items"), F.greatest("similarity", "__f.similarity").alias("similarity"))
+        out = scan(out, index, held).select(*[f"`{c}`" for c in kept], F.array_sort(F.array_union("items", f"{held}.items")).alias("items"), F.greatest("similarity", f"{held}.similarity").alias("similarity"))
+        if scratch is not None:
+            out = scratch.write(out)
+            if last is not None:
+                scratch.drop(last)
+            last = out
     return out.select(*[f"`{c}`" for c in kept], (F.size("items") > 0).alias("contaminated"), "items", "similarity")
 
 

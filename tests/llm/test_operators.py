@@ -680,8 +680,51 @@ def test_near_values_of_blocks_miss_nothing_within_the_radius():
     items = decontaminate.Items([(i, rng.integers(0, 2**63, 30).astype(np.uint64)) for i in range(5)], decontaminate.RADIUS)
     for _ in range(3000):
         flips = sum(1 << int(b) for b in rng.choice(64, decontaminate.RADIUS, replace=False))
-        own = items.prints[rng.integers(5)]
-        assert items.reachable(np.array([own ^ np.uint64(flips)]))[0]
+        k = rng.integers(5)
+        item, which, *_ = items.near(np.array([items.prints[k] ^ np.uint64(flips)]))
+        assert k in item and set(which) == {0}
+
+
+def test_block_postings_equal_a_scan_of_all_items(monkeypatch):
+    """Within the radius the index finds what comparing with every item finds, over steps of any size, with few candidates."""
+    rng = np.random.default_rng(7)
+    items = decontaminate.Items([(i, rng.integers(0, 2**63, 30).astype(np.uint64)) for i in range(2000)], decontaminate.RADIUS)
+    near = items.prints[rng.integers(0, 2000, 300)]
+    for _ in range(9):
+        near = near ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    prints = np.concatenate([near, rng.integers(0, 2**63, 200).astype(np.uint64)])
+    i, w = np.nonzero(np.bitwise_count(items.prints[:, None] ^ prints) <= decontaminate.RADIUS)
+    assert len(i) >= 300
+    for pairs in (1, 1 << 12, 1 << 22):
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        item, which, compared, _ = items.near(prints)
+        assert item.tolist() == i.tolist() and which.tolist() == w.tolist()
+        assert compared < 0.12 * 2000 * len(prints)
+    assert [len(x) for x in items.near(np.zeros(0, dtype=np.uint64))[:2]] == [0, 0]
+
+
+@pytest.mark.parametrize(("common", "share"), [(6, 0.08), (12, 0.25)])
+def test_many_items_of_one_length(common, share):
+    """Candidates, not items, are compared with a window; the more words all items have in common, the closer their fingerprints and the more candidates."""
+    rng = random.Random(31)
+    shared = [f"s{i}" for i in range(common)]
+    items = [(i, " ".join([f"w{rng.randrange(50_000)}" for _ in range(40 - common)] + shared)) for i in range(4000)]
+    index = decontaminate.Index(items)
+    page = " ".join(" ".join([*shared, *(f"n{rng.randrange(9000)}" for _ in range(60))]) for _ in range(20))
+    assert index.matches(f"{page} {items[77][1]} {page}") == {77: 1.0}
+    assert index.seen > 1000 and index.compared < share * index.seen * len(items)
+
+
+def test_passes_over_many_items(spark, monkeypatch):
+    """More items than one pass takes, a repeated row among them, and a column with the name that holds a pass's result."""
+    rng = random.Random(32)
+    items = [(i, " ".join(words(rng, 30))) for i in range(40)]
+    bench = spark.createDataFrame(items + [items[3]] * 50, "item_id long, text string")
+    frame = spark.createDataFrame([(i, f"{' '.join(words(rng, 40))} {items[i][1]}", "old") for i in range(40)], "doc_id long, text string, __found string")
+    once = sorted((r["doc_id"], tuple(r["items"]), r["__found"]) for r in decontaminate.contamination(frame, bench).collect())
+    monkeypatch.setattr(decontaminate, "MOST_ITEMS", 16)
+    assert sorted((r["doc_id"], tuple(r["items"]), r["__found"]) for r in decontaminate.contamination(frame, bench).collect()) == once
+    assert all(i in found and old == "old" for i, found, old in once)
 
 
 def test_language_gradient_equals_slopes():
