@@ -34,8 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ordered-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: no later job repeats it, and no lost executor loses it. Removed when the process ends."""
+def kept(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df written to the shared folder and read again: no later job repeats it, and no lost executor loses it. Removed when the process ends.
+
+    by: a column of few values, of which a later filter reads one alone."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
 
     def remove() -> None:
@@ -45,7 +47,7 @@ def kept(df: DataFrame) -> DataFrame:
         except Exception:  # the JVM may be gone already at exit
             pass
 
-    df.write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     atexit.register(remove)
     return spark.read.schema(df.schema).parquet(path)
 
