@@ -8,7 +8,7 @@ import sys
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from .registry import available_models, detect
+from .registry import available_models, detect, register_bundle
 from .sources.catalogue import VERSION
 from .sources.catalogue_source import CATALOGUES
 from .sources.documents import iso
@@ -55,6 +55,8 @@ def _detect(spark, args) -> str:
     else:
         elsets = tle.parse(tle.read_files(spark, args.path)) if args.source == "tle" else omm.read(spark, args.path)
     series = reconstruct(_bounded(elsets, args)).select("norad_id", "t", F.col("semi_major_axis").alias("a"), F.col("eccentricity").alias("e"), F.col("inclination").alias("inc"), "raan", F.col("arg_perigee").alias("argp"))
+    if args.bundle:
+        register_bundle(args.model, args.bundle)
     found = detect(series, args.model).orderBy("norad_id", "epoch_ns").collect()
     return render([{"epoch": iso(r["epoch_ns"] // 1000), **{c: r[c] for c in COLUMNS[1:]}} for r in found], args.format)
 
@@ -94,6 +96,7 @@ def main(argv: list[str] | None = None) -> int:
     run = sub.add_parser("detect", help="detect manoeuvres in files of two-line elements or JSON messages, or in a catalogue's elements")
     run.add_argument("path", help="a file; with a catalogue as the source, catalogue numbers joined by commas")
     run.add_argument("--model", default="classical", choices=available_models())
+    run.add_argument("--bundle", help="folder of a trained model, for a model that waits for its scorer")
     run.add_argument("--source", default="tle", choices=("tle", "omm", *sorted(CATALOGUES)))
     run.add_argument("--landed", help="folder of landed answers of the catalogue, in place of requests")
     run.add_argument("--format", default="table", choices=("table", "csv", "json"))

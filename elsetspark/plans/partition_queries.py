@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import bench, calibrate, dataset, detect, features, labels, learned, partition, series
+from ..operators import bench, calibrate, dataset, detect, features, labels, learned, partition, sequence, series
 from ..sources import catalogue, landed
 from . import adapters as ad
 from .oracle import CHAN, DAY, DETECT, DRIFT, ELEMENT_CHANNELS, ELS, EV, FLAG_CHANNELS, FLOORS, LAB, RAD, SAMPLES, SCORED, TIME_CHANNELS, TYPE, indexed, invert, peaks, rnd
@@ -143,6 +143,27 @@ def det_learned(s: SparkSession, d: str) -> DataFrame:
     return rounded(learned.detect_learned(rows, features.class_quartiles(features.channels(rows)), stand_in, {"LEO": 0.6}), 4)
 
 
+NETWORK = sequence.Network(hidden_size=8, num_layers=1, dropout=0.0)
+
+
+@query
+def net_bilstm(s: SparkSession, d: str) -> DataFrame:
+    """Probability of every token by a network with the weights that training starts from, averaged over its windows."""
+    encoded = features.channels(ad.series_ev(s, d))
+    scorer = sequence.scorer(NETWORK.start(7), NETWORK)
+    return rounded(learned.probabilities(encoded, features.class_quartiles(encoded), scorer))
+
+
+@query
+def train_bilstm(s: SparkSession, d: str) -> DataFrame:
+    """Manoeuvres by a detector trained on seven objects in ten, with the epoch chosen by two more, on all objects."""
+    rows = ad.series_ev(s, d)
+    place = F.col("norad_id") % 10
+    membership = rows.select("norad_id").distinct().withColumn("split", F.when(place < 7, "train").when(place < 9, "val").otherwise("test"))
+    gaps = labels.map_to_gaps(ad.labels_ev(s, d), rows).select("norad_id", "t1")
+    return sequence.fit_detector(rows, gaps, membership, NETWORK, sequence.Training(rate=0.02, positive_weight=4.0, epochs=2, batches=4)).detect(rows)
+
+
 @query
 def win_rolling_context(s: SparkSession, d: str) -> DataFrame:
     rows = learned.rolling_context(series.indexed(ad.series_ev(s, d)).select("norad_id", "idx", "a"), "a")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 Detector = Callable[[DataFrame], DataFrame]
 _DETECTORS: dict[str, Detector] = {}
+_WAITING = ("bilstm-base", "transformer-base", "chronos-residual")  # names without a scorer of their own
 
 
 def register_detector(name: str, detector: Detector) -> None:
@@ -16,6 +17,16 @@ def register_detector(name: str, detector: Detector) -> None:
     _DETECTORS[name] = detector
 
 
+def register_bundle(name: str, folder: str) -> None:
+    """A trained recurrent detector, read from a bundle; it may take the place of a name that waits for its scorer."""
+    from .operators.sequence import Bundle
+
+    detector = Bundle.load(folder).detect
+    if name in _WAITING and _DETECTORS[name].__name__ == "missing":
+        del _DETECTORS[name]
+    register_detector(name, detector)
+
+
 def available_models() -> list[str]:
     return sorted(_DETECTORS)
 
@@ -51,5 +62,5 @@ def _needs_scorer(name: str) -> Detector:
 
 register_detector("classical", _classical)
 register_detector("drift-residual", _drift)
-for _name in ("bilstm-base", "transformer-base", "chronos-residual"):
+for _name in _WAITING:
     register_detector(_name, _needs_scorer(_name))

@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from elsetspark import registry
 from elsetspark.operators import features, sequence
 from elsetspark.operators.sequence import Network, Training
+from elsetspark.plans import adapters, partition_queries
 
 DAY, START = 86_400_000_000, 1_704_067_200_000_000
 SMALL = Network(n_channels=3, hidden_size=4, num_layers=2, dropout=0.0)
@@ -96,6 +98,26 @@ def test_schedule_and_optimiser():
         Network(num_layers=0)
 
 
+def test_query_of_the_network_equals_plain_numpy(spark):
+    """Every token of events: windows cut, padded, scored and averaged in one process."""
+    sf = "/root/testdata/sf0.001"
+    encoded = features.channels(adapters.series_ev(spark, sf))
+    table = features.standardise(encoded, features.class_quartiles(encoded)).toPandas().sort_values(["norad_id", "idx"])
+    net, weights, want = partition_queries.NETWORK, partition_queries.NETWORK.start(7), {}
+    for norad, rows in table.groupby("norad_id"):
+        x, valid = rows[list(features.CHANNELS)].to_numpy(dtype=float), rows["elset_valid"].to_numpy() > 0
+        for start in range(0, len(x), 32):
+            own = np.zeros((1, 64, x.shape[1]))
+            part = x[start : start + 64]
+            own[0, : len(part)] = part
+            p = sequence.sigmoid(sequence.forward(own, weights, net)[0])[0]
+            for k in range(len(part)):
+                want.setdefault((norad, start + k), []).append(p[k] if valid[start + k] else 0.0)
+    got = {(r["norad_id"], r["idx"]): r["p"] for r in partition_queries.net_bilstm(spark, sf).collect()}
+    assert got.keys() == want.keys() and len(got) == adapters.series_ev(spark, sf).count()
+    assert max(abs(got[k] - np.mean(v)) for k, v in want.items()) < 1e-5
+
+
 def test_detector_from_training_to_bundle(spark, tmp_path):
     """Raised orbits at known days: the detector learned on some objects finds those of others, and is the same after a round trip."""
     rng = np.random.default_rng(8)
@@ -118,6 +140,17 @@ def test_detector_from_training_to_bundle(spark, tmp_path):
     found = [sorted((r["norad_id"], r["t_after"]) for r in b.detect(series.where("norad_id >= 10")).collect()) for b in (bundle, back)]
     wanted = {(i, t) for i, t in gaps if i >= 10}
     assert found[0] == found[1] and len(wanted & set(found[0])) >= 0.75 * len(wanted) and len(found[0]) <= len(wanted) + 3
+    with pytest.raises(RuntimeError, match="needs a trained scorer"):
+        registry.detect(series, "bilstm-base")
+    waiting = dict(registry._DETECTORS)
+    try:
+        registry.register_bundle("bilstm-base", f"{tmp_path}/bundle")
+        assert sorted((r["norad_id"], r["t_after"]) for r in registry.detect(series.where("norad_id >= 10"), "bilstm-base").collect()) == found[0]
+        with pytest.raises(ValueError, match="registered already"):
+            registry.register_bundle("bilstm-base", f"{tmp_path}/bundle")
+    finally:
+        registry._DETECTORS.clear()
+        registry._DETECTORS.update(waiting)
     doc = (tmp_path / "bundle" / "bundle.json").read_text()
     (tmp_path / "bundle" / "bundle.json").write_text(doc.replace('"hidden_size": 8', '"hidden_size": 9'))
     with pytest.raises(ValueError, match="do not fit"):
