@@ -279,3 +279,15 @@ g AS (SELECT *, sum(fresh) OVER (PARTITION BY norad_id ORDER BY k ROWS UNBOUNDED
 SELECT norad_id AS code, min(window_start) AS window_start, max(window_end) AS window_end, {rnd('sum(mag)')} AS delta_v, CASE WHEN first(maneuver_type ORDER BY mag DESC, k) = 'in-track' THEN 'in-track' ELSE 'cross-track' END AS maneuver_type FROM g GROUP BY norad_id, event""",
     "join_crosswalk": f"WITH {LAB} SELECT label_id, c_custkey AS norad_id FROM lab LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) c ON lab.norad_id = c.c_custkey",
 }
+
+
+def _level(at: float) -> str:
+    """Recalls of the detections at or above a level of confidence."""
+    points = POINTS.replace(DET, DET[:-1] + f" AND value / (value + 50) >= {at})")
+    return f"SELECT CAST({at} AS DOUBLE) AS threshold, * FROM (WITH RECURSIVE {points} SELECT orbit_class, CAST(tp_above AS BIGINT) AS tp_above, n_above, CASE WHEN n_above > 0 THEN tp_above / n_above END AS recall FROM pt WHERE rate = 1.0)"
+
+
+_LEVELS = " UNION ALL ".join(_level(x) for x in (0.2, 0.5, 0.8))
+SQL["tune_points"] = f"SELECT threshold, orbit_class, tp_above, n_above, {rnd('recall')} AS recall FROM ({_LEVELS})"
+SQL["tune_best"] = f"""WITH p AS ({_LEVELS}), v AS (SELECT NULL AS orbit_class, threshold, coalesce(sum(tp_above) / sum(n_above), 0) AS value FROM p GROUP BY threshold UNION ALL SELECT orbit_class, threshold, recall FROM p WHERE recall IS NOT NULL)
+SELECT orbit_class, threshold, {rnd('value')} AS value FROM (SELECT *, row_number() OVER (PARTITION BY orbit_class ORDER BY value DESC, threshold) AS k FROM v) WHERE k = 1"""

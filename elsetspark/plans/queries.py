@@ -463,6 +463,29 @@ def tune_recall(s: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.recalls(found, labs, exposure))
 
 
+LEVELS = (0.2, 0.5, 0.8)
+
+
+def _points(s: SparkSession, d: str) -> DataFrame:
+    found, labs, exposure = ad.detections_ev(s, d), ad.scored_labels(s, d), ad.exposure_ev(s, d)
+    return evaluate.recalls({x: found.where(F.col("confidence") >= x) for x in LEVELS}, labs, exposure)
+
+
+@query
+def tune_points(s: SparkSession, d: str) -> DataFrame:
+    """Recall of each class at the operating point, of the detections at or above each level of confidence."""
+    return rounded(_points(s, d).withColumns({c: F.col(c).cast("long") for c in ("tp_above", "n_above")}))
+
+
+@query
+def tune_best(s: SparkSession, d: str) -> DataFrame:
+    """Level with the best recall over all labels (class null), and of each class with above-floor labels."""
+    points = _points(s, d)
+    own = points.where("recall is not null").select("orbit_class", "threshold", F.col("recall").alias("value"))
+    every = evaluate.objective(points).select(F.lit(None).cast("string").alias("orbit_class"), "threshold", "value")
+    return rounded(calibrate.best_thresholds(every.unionByName(own), "orbit_class"))
+
+
 # Sources
 
 
