@@ -394,8 +394,12 @@ SELECT year, seq FROM (SELECT *, bool_or(ended) OVER (PARTITION BY year ORDER BY
 SQL["src_recipe"] = """SELECT v.*, n_events, n_hits FROM (VALUES ('LEO', 'DORIS-IDS', CAST(15 AS BIGINT), CAST(20436 AS BIGINT), CAST(46984 AS BIGINT)), ('MEO', 'GPS-NANU', 32, 26407, 68791), ('MEO', 'GALILEO-NAGU', 33, 37846, 67162),
 ('IGSO', 'QZSS-OHI', 3, 42738, 49336), ('GEO', 'QZSS-OHI', 2, 42917, 62876), ('GEO', 'NOAA-GOES', 4, 41866, 60133), ('GEO', 'SELF-GEO', 3, 38552, 40732)) v(orbit_class, label_source, n, first_id, last_id)
 LEFT JOIN (SELECT ['LEO', 'MEO', 'GEO', 'IGSO', 'HEO'][user_id % 5 + 1] AS orbit_class, count(*) AS n_events, CAST(sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_hits FROM events GROUP BY 1) e ON e.orbit_class = v.orbit_class"""
-_GPS = ", ".join(f"({svn}, CAST({i} AS BIGINT))" for svn, _, i, _ in (line.split() for line in catalogue.GPS.strip().splitlines()))
-SQL["src_landed_labels"] = f"""WITH gps(svn, norad_id) AS (VALUES {_GPS}), goes(k, norad_id) AS (VALUES (16, CAST(41866 AS BIGINT)), (17, 43226), (18, 51850), (19, 60133)),
+#: Vehicle and catalogue numbers of the recipe, written out so that the query is held against them and not against its own table.
+_GPS = """(44, 26407), (48, 32711), (50, 35752), (52, 29486), (53, 28874), (55, 32260), (56, 27663), (57, 32384),
+(58, 29601), (59, 28190), (61, 28474), (62, 36585), (64, 39533), (65, 38833), (66, 39166), (67, 39741),
+(68, 40105), (69, 40294), (70, 41328), (71, 40534), (72, 40730), (73, 41019), (74, 43873), (75, 44506),
+(76, 45854), (77, 46826), (78, 48859), (79, 55268), (80, 62339), (81, 64202), (82, 67588), (83, 68791)"""
+SQL["src_landed_labels"] = f"""WITH gps AS (SELECT svn, CAST(norad_id AS BIGINT) AS norad_id FROM (VALUES {_GPS}) v(svn, norad_id)), goes(k, norad_id) AS (VALUES (16, CAST(41866 AS BIGINT)), (17, 43226), (18, 51850), (19, 60133)),
 d AS (SELECT o_orderkey, o_orderkey % 90 AS svn, epoch_us(TIMESTAMP '2023-01-01') + (o_orderkey % 300 + 59) * {DAY} AS day FROM orders)
 SELECT norad_id, day + 27000000000 AS epoch, day + 5400000000 AS window_start, day + 48600000000 AS window_end, 'MEO' AS orbit_class, 'GPS-NANU' AS source, CAST(o_orderkey AS VARCHAR) AS source_ref FROM d JOIN gps USING (svn)
 UNION ALL SELECT DISTINCT norad_id, t + 43200000000, t, t + {DAY}, 'GEO', 'NOAA-GOES', 'GOES-' || k FROM (SELECT o_orderkey % 20 AS k, epoch_us(TIMESTAMP '2023-01-01') + (o_orderkey % 200) * {DAY} AS t FROM orders) JOIN goes USING (k)"""
