@@ -148,23 +148,38 @@ def tuned_detector(detect_at: Callable[[DataFrame, float], DataFrame], threshold
 
 
 class Board:
-    """Submissions: five a user and UTC day, counted only if valid; aggregates only in what is shown."""
+    """Submissions: five a user and UTC day, counted only if valid; aggregates only in what is shown.
 
-    def __init__(self, per_day: int = 5):
-        self.per_day, self.entries, self.used = per_day, [], Counter()
+    timing_floor: by class, what guessing from the times alone reaches, as the fixture document has it; it is published beside every result.
+    """
+
+    def __init__(self, per_day: int = 5, timing_floor: dict[str, float] | None = None):
+        self.per_day, self.timing_floor, self.entries, self.used = per_day, dict(timing_floor or {}), [], Counter()
+
+    def public_result(self, report: dict) -> dict:
+        """All that a submitter is told of the hidden labels. The names of its fields are fixed values."""
+        return {"operating_point_fa_per_sat_year": OPERATING_POINT, "headline_recall_above_floor": bench.headline(report), "timing_only_floor_auc": dict(self.timing_floor)}
+
+    def seed(self, name: str, day: str, report: dict) -> int:
+        """The place of a baseline that the board starts with: scored like any other, without a limit."""
+        return self._placed(name, day, report, True)
 
     def submit(self, user: str, name: str, day: str, report: dict) -> int:
         if self.used[user, day] >= self.per_day:
             raise PermissionError(f"{user} has used the {self.per_day} submissions of {day}")
+        place = self._placed(name, day, report, False)
+        self.used[user, day] += 1
+        return place
+
+    def _placed(self, name: str, day: str, report: dict, seed: bool) -> int:
         shares = [(c["recall"], c["n_above"]) for c in report.values() if c["recall"] is not None]
         if not shares:
             raise ValueError("the report has no recall")
-        self.used[user, day] += 1
         pooled = sum(r * n for r, n in shares) / sum(n for _, n in shares)
-        own = (-pooled, day, name, {c: v["recall"] for c, v in report.items()})
+        own = (-pooled, day, name, {c: v["recall"] for c, v in report.items()}, seed)
         self.entries.append(own)
         self.entries.sort(key=lambda e: e[:3])
         return next(i for i, e in enumerate(self.entries) if e is own) + 1
 
     def rows(self) -> list[dict]:
-        return [{"place": i + 1, "name": e[2], "submitted_at": e[1], "recall": -e[0], "by_class": e[3]} for i, e in enumerate(self.entries)]
+        return [{"place": i + 1, "name": e[2], "submitted_at": e[1], "recall": -e[0], "by_class": e[3], "seed": e[4]} for i, e in enumerate(self.entries)]

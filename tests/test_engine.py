@@ -496,6 +496,16 @@ def test_tuning_by_recall(spark):
         evaluate.recalls({}, labs, expo)
 
 
+def test_board_starts_with_seeds_and_tells_aggregates_only():
+    board, report = evaluate.Board(per_day=1, timing_floor={"LEO": 0.4}), {"LEO": {"recall": 0.5, "n_above": 2, "confusion": {}}, "GEO": {"recall": None, "n_above": 0}}
+    assert [board.seed(f"base {k}", "2024-01-01", {"LEO": {"recall": k / 10, "n_above": 2}}) for k in (3, 7)] == [1, 1]
+    assert board.submit("u", "mine", "2024-01-01", report) == 2
+    with pytest.raises(PermissionError):
+        board.submit("u", "more", "2024-01-01", report)
+    assert [(r["name"], r["seed"]) for r in board.rows()] == [("base 7", True), ("mine", False), ("base 3", True)]
+    assert board.public_result(report) == {"operating_point_fa_per_sat_year": 1.0, "headline_recall_above_floor": {"LEO": 0.5, "GEO": None}, "timing_only_floor_auc": {"LEO": 0.4}}
+
+
 def test_board_place_is_that_of_the_submission():
     board, report = evaluate.Board(), {"LEO": {"recall": 0.5, "n_above": 2}}
     assert board.submit("u", "same", "2024-01-01", report) == 1
