@@ -364,6 +364,22 @@ def test_steps_near_the_ends(spark):
         assert abs(r["ref_a"] - np.median(own[max(0, k - 4) : k])) < 1e-9
 
 
+def test_steps_around_every_gap_take_one_exchange(spark, tmp_path):
+    """No row is copied for the gaps near it, nor joined; chosen gaps get what they get among all, equal times a mean."""
+    rows = [r for k in (1, 2) for r in synthetic(k, n=30, norad=k)] + [(3, START, 6778.0, 0.001, 66.0, 5.0 * d, 90.0) for d in range(9)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/s")
+    lined = learned.aligned_elements(features.levels(spark.read.parquet(f"{tmp_path}/s")))
+    every = learned.around(lined)
+    got = {(r["norad_id"], r["idx"]): r for r in every.collect()}
+    plan = every._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan and "Join" not in plan
+    assert len(got) == 29 + 29 + 8
+    some = lined.where("idx % 5 = 0").select("norad_id", "idx")
+    chosen = [r for r in learned.around(lined, some).collect() if r["norad_id"] < 3]
+    assert len(chosen) == 10 and all(r == got[r["norad_id"], r["idx"]] for r in chosen)
+    assert {got[3, k]["step_a"] for k in range(1, 9)} == {0.0}
+
+
 def test_targets_and_weight(spark):
     tokens = spark.createDataFrame([(1, 10, 0), (1, 20, 1), (1, 30, 2)], "norad_id long, t long, idx int")
     gaps = spark.createDataFrame([(1, 20), (1, 20), (1, 25)], "norad_id long, t1 long")
