@@ -26,8 +26,10 @@ def query(f: Query) -> Query:
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles rounded, and -0.0 as 0.0."""
-    return df.select(*[(F.round(F.col(c), places) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded half away from zero, and -0.0 as 0.0. In doubles, as F.round makes a decimal of every value; beyond 2 ** 52 there is nothing to round."""
+    scale, x = float(10**places), F.col
+    near = lambda c: F.when(F.abs(x(c)) * scale < 2.0**52, F.signum(x(c)) * F.floor(F.abs(x(c)) * scale + 0.5) / scale + 0.0).otherwise(x(c))
+    return df.select(*[near(c).alias(c) if t == "double" else x(c) for c, t in df.dtypes])
 
 
 # Series

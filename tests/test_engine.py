@@ -188,6 +188,36 @@ def test_channel_smear(spark):
     assert len(features.CHANNELS) == 32
 
 
+def test_channels_over_small_batches(spark):
+    """Residuals and their changes equal the windows' whatever the batches; one exchange, and no sliding fit in the plan."""
+    rows = [r for k in range(1, 5) for r in synthetic(k, n=7 * k * k, norad=k)] + [(9, START, 6778.0 + k, 0.001, 66.0, 5.0, 90.0) for k in range(4)]
+    enc = features.levels(spark.createDataFrame(rows, COLUMNS).coalesce(1))
+    lined = enc.withColumn("res", F.col("lvl_a") - series.local_trend(enc, "lvl_a")).select("norad_id", "idx", "lvl_a", "res")
+    want = {(r["norad_id"], r["idx"]): r["res"] for r in lined.collect() if r["norad_id"] < 9}
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("3", "25", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            found = features.channels(spark.createDataFrame(rows, COLUMNS))
+            got = {(r["norad_id"], r["idx"]): r for r in found.collect()}
+            assert len(got) == len(rows)
+            for (k, i), x in want.items():
+                assert abs(got[k, i]["res_a"] - x) < 1e-8 and abs(got[k, i]["dlt_a"] - (x - want[k, i - 1] if i else 0.0)) < 1e-8
+            assert sorted(got[9, i]["res_a"] for i in range(4)) == pytest.approx([-1.5, -0.5, 0.5, 1.5])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "regr_" not in plan
+
+
+def test_rounding_half_away_from_zero(spark):
+    from elsetspark.plans.queries import rounded
+
+    rows = [(0.5,), (-2.5,), (-0.2,), (1e300,), (float("inf"),), (None,), (12.4999,)]
+    got = [r[0] for r in rounded(spark.createDataFrame(rows, "x double").coalesce(1), 0).collect()]
+    assert got == [1.0, -3.0, 0.0, 1e300, float("inf"), None, 12.0] and str(got[2]) == "0.0"
+
+
 def test_standardise(spark):
     enc = features.channels(spark.createDataFrame([r for k in (1, 2) for r in synthetic(k, norad=k)], COLUMNS))
     q = features.class_quartiles(enc)
