@@ -34,6 +34,19 @@ def test_order_statistics(values, most):
         assert got[g, "past"] == (None, None, len(v))
 
 
+@pytest.mark.parametrize("most", [1000, 10**6])
+def test_column_statistics_equal_single_ones(values, spark, most):
+    """Columns side by side, with nulls, ties and a column without values: what order_statistics gives of each; no value outside a bracket becomes a row."""
+    _, df = values
+    wide = ordered.kept(df.select("g", "value", F.when(F.col("id") % 3 > 0, -F.col("value")).alias("part"), F.lit(None).cast("double").alias("none"), F.lit(2.0).alias("flat")))
+    at = {"q1": lambda n: F.floor(0.25 * (n - 1)), "q3": lambda n: F.floor(0.75 * (n - 1))}
+    got = {(r["channel"], r["g"], r["name"]): (r["n"], r["low"], r["high"]) for r in ordered.column_statistics(wide, "g", ["value", "part", "none", "flat"], at, most).collect()}
+    for c in ("value", "part", "flat"):
+        for r in ordered.order_statistics(wide.select("g", F.col(c).alias("value")), ["g"], at, most).collect():
+            assert got[c, r["g"], r["name"]] == (r["n"], r["low"], r["high"])
+    assert {v for k, v in got.items() if k[0] == "none"} == {(0, None, None)}
+
+
 def test_order_statistics_of_nothing(spark):
     empty = spark.createDataFrame([("a", None)], "g string, value double")
     assert ordered.order_statistics(empty, ["g"], {"x": lambda n: F.lit(0)}).count() == 0
