@@ -74,7 +74,7 @@ def src_catalogue(s: SparkSession, d: str) -> DataFrame:
     record = F.to_json(F.struct(*[v.cast("string").alias(k) for k, v in fields.items()]))
     path = ordered.shared_folder(s)
     answers = ev.groupBy(F.col("user_id").alias("norad_id")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(record)), ","), F.lit("]")).alias("value"))
-    answers.write.partitionBy("norad_id").text(path)
+    catalogue_source.land(answers, path)
     found = catalogue_source.read(s, "spacetrack", path=path).where((F.col("t") >= ad.BURN) & (F.col("t") < ad.BURN + 5 * 86_400_000_000))
     return rounded(catalogue_source.elsets(found).select("norad_id", "t", "mean_motion", "raan", "rev_at_epoch", F.regexp_extract("request", "EPOCH/([^/]*)/", 1).alias("epoch"), "stale"))
 

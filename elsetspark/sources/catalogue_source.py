@@ -9,10 +9,11 @@ as the catalogue's own predicate, and Spark still applies them to the rows (a re
 seconds). Rows: norad_id, t (µs, UTC), record (the message as JSON; `elsets` types it), request,
 fetched_at, stale.
 
-Transports. `path` reads landed answers, one folder `norad_id=<id>` an object with JSON arrays, which
-may also hold the objects' list. Without it requests go to `url` (the catalogue's own by default) over HTTP: a
-login where the catalogue wants one, kept as a cookie and repeated once when it has run out, and at
-least `interval` seconds between requests of a lane. Requests over HTTP share one lane unless
+Transports. `path` reads landed answers: packs (Parquet files of norad_id and value, an answer a row; `land`
+writes them, as many as it has tasks whatever the number of objects), folders `norad_id=<id>` with JSON
+arrays, one a line, or both. They also hold the objects' list. Without `path` requests go to `url`
+(the catalogue's own by default) over HTTP: a login where the catalogue wants one, kept as a cookie and
+repeated once when it has run out, and at least `interval` seconds between requests of a lane. Requests over HTTP share one lane unless
 `lanes` says otherwise, so that the pause holds for the whole cluster. `fallback` names landed answers that
 are served, marked stale, when the catalogue cannot be reached.
 
@@ -30,6 +31,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 from typing import NamedTuple
@@ -43,6 +45,9 @@ from . import omm
 SCHEMA = "norad_id long, t long, record string, request string, fetched_at long, stale boolean"
 EPOCH_ZERO = datetime(1970, 1, 1, tzinfo=UTC)
 MOST_LANES = 64
+PACK_ROWS = 16  # answers of a pack in memory at a time
+#: Row groups of packs stay small, also where a few answers are large.
+PACK_OPTIONS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
 class Catalogue(NamedTuple):
@@ -87,7 +92,7 @@ def request_of(name: str, norad_id: int, lo: int | None, hi: int | None) -> str:
 
 
 class Landed:
-    """Answers in the folders of objects."""
+    """Answers in packs and in the folders of objects."""
 
     def __init__(self, path: str):
         from pyarrow import fs
@@ -108,6 +113,29 @@ class Landed:
                 out += [(line, x.mtime_ns // 1000) for line in file.read().decode().splitlines() if line.strip()]
         return out
 
+    def packs(self) -> list[tuple[str, int]]:
+        """(path, time it was landed) of each pack."""
+        found = self.files.get_file_info(self.selector(self.root, allow_not_found=True))
+        return sorted((x.path, x.mtime_ns // 1000) for x in found if x.is_file and x.extension == "parquet" and x.base_name[0] not in "._")
+
+    def packed(self, packs: list[tuple[str, int]], objects: set[int] | None) -> Iterator[tuple[int, str, int]]:
+        """(object, body, time it was landed) of the answers in packs; row groups beside the wanted objects are not read."""
+        from pyarrow import parquet
+
+        wanted = None if objects is None else sorted(objects)
+        for path, landed_at in packs:
+            with self.files.open_input_file(path) as file:
+                pack = parquet.ParquetFile(file)
+                key, groups = pack.schema_arrow.names.index("norad_id"), []
+                for g in range(pack.num_row_groups):
+                    seen = pack.metadata.row_group(g).column(key).statistics
+                    if wanted is None or seen is None or not seen.has_min_max or bisect_left(wanted, seen.min) < bisect_left(wanted, seen.max + 1):
+                        groups.append(g)
+                for batch in pack.iter_batches(PACK_ROWS, groups, ["norad_id", "value"]) if groups else ():
+                    for norad_id, body in zip(batch["norad_id"].to_pylist(), batch["value"].to_pylist(), strict=True):
+                        if objects is None or norad_id in objects:
+                            yield norad_id, body, landed_at
+
 
 class Http:
     """Answers of a catalogue over HTTP, one after the other."""
@@ -156,16 +184,16 @@ def epoch_of(record: dict) -> int:
     return (at.replace(tzinfo=UTC) - EPOCH_ZERO) // timedelta(microseconds=1)
 
 
-def records(body: str, norad_id: int) -> list[dict]:
-    found = json.loads(body)
+def records(body: str | None, norad_id: int) -> list[dict]:
+    found = None if body is None else json.loads(body)
     if not isinstance(found, list) or not all(isinstance(x, dict) and isinstance(x.get("EPOCH"), str) for x in found):
         raise ValueError(f"the answer for object {norad_id} is not an array of records with an epoch")
     return found
 
 
 class Lane(InputPartition):
-    def __init__(self, objects: list[int]):
-        self.objects = objects
+    def __init__(self, objects: list[int], packs: list[tuple[str, int]] = ()):
+        self.objects, self.packs = objects, packs
 
 
 class ElementReader(DataSourceReader):
@@ -198,9 +226,17 @@ class ElementReader(DataSourceReader):
             return [Lane([])]
         if self.objects is None and not self.path:
             raise ValueError("requests need their objects: filter by norad_id, or give the option objects")
-        objects = sorted(self.objects) if self.objects is not None else Landed(self.path).objects()
-        lanes = max(1, min(self.lanes, len(objects)))
-        return [Lane(objects[i::lanes]) for i in range(lanes)]
+        landed = Landed(self.path) if self.path else None
+        objects = sorted(self.objects) if self.objects is not None else landed.objects()
+        packs = landed.packs() if landed and (self.objects is None or self.objects) else []
+        lanes = max(1, min(self.lanes, max(len(objects), len(packs))))
+        return [Lane(objects[i::lanes], packs[i::lanes]) for i in range(lanes)]
+
+    def rows(self, norad_id: int, body: str | None, request: str, fetched_at: int, stale: bool) -> Iterator[tuple]:
+        for x in records(body, norad_id):
+            t = epoch_of(x)
+            if (self.lo is None or t >= self.lo) and (self.hi is None or t <= self.hi):
+                yield norad_id, t, json.dumps(x), request, fetched_at, stale
 
     def read(self, lane: Lane) -> Iterator[tuple]:
         transport = Landed(self.path) if self.path else Http(self.name, self.url, self.interval)
@@ -209,15 +245,19 @@ class ElementReader(DataSourceReader):
             try:
                 answers = transport.answer(norad_id, request)
             except (urllib.error.URLError, TimeoutError, ConnectionError) as error:
-                answers = Landed(self.fallback).answer(norad_id, request) if self.fallback else []
+                answers = self.fallen_back(norad_id, request) if self.fallback else []
                 if not answers:
                     raise ConnectionError(f"{self.name} cannot be reached for object {norad_id}: {error}") from error
                 stale = True
             for body, fetched_at in answers:
-                for x in records(body, norad_id):
-                    t = epoch_of(x)
-                    if (self.lo is None or t >= self.lo) and (self.hi is None or t <= self.hi):
-                        yield norad_id, t, json.dumps(x), request, fetched_at, stale
+                yield from self.rows(norad_id, body, request, fetched_at, stale)
+        if lane.packs:
+            for norad_id, body, fetched_at in transport.packed(lane.packs, self.objects):
+                yield from self.rows(norad_id, body, request_of(self.name, norad_id, self.lo, self.hi), fetched_at, False)
+
+    def fallen_back(self, norad_id: int, request: str) -> list[tuple[str, int]]:
+        landed = Landed(self.fallback)
+        return landed.answer(norad_id, request) + [x[1:] for x in landed.packed(landed.packs(), {norad_id})]
 
 
 class Elements(DataSource):
@@ -238,6 +278,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Elements)
 
 
+def land(answers: DataFrame, path: str) -> None:
+    """Adds answers (norad_id, value: JSON arrays) to path as packs, each sorted by object."""
+    answers.select(F.col("norad_id").cast("long").alias("norad_id"), "value").sortWithinPartitions("norad_id").write.mode("append").options(**PACK_OPTIONS).parquet(path)
+
+
 def read(spark: SparkSession, source: str = DEFAULT, **options: str) -> DataFrame:
     register(spark)
     return spark.read.format("elements").options(source=source, **options).load()

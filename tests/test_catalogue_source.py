@@ -187,3 +187,64 @@ def test_landing_serves_fresh_new_unchanged_stale_and_nothing(spark, snapshots,
     landing.land(landing.after(shown), path)  # a repeated run changes nothing
     again = {(r["source"], r["norad_id"]): (r["payload"], r["fresh"]) for r in landing.as_of(spark.read.schema(KINDS).parquet(path), NOW).collect()}
     assert again["celestrak", 2] == ("[5]", True) and again["celestrak", 6] == ("[7]", True) and again["celestrak", 3] == ("[3]", False)
+
+
+# Packs of answers
+
+
+def pack_files(path):
+    return [x for x in path.rglob("*") if x.is_file() and x.suffix == ".parquet"]
+
+
+def test_packs_hold_many_objects_and_are_read_like_folders(spark, tmp_path):
+    bodies = {i: json.dumps([record(i, d) for d in range(1, 21)], indent=1) for i in range(1, 301)}  # answers of several lines
+    path = tmp_path / "landed"
+    catalogue_source.land(spark.createDataFrame(list(bodies.items()), "norad_id long, value string").repartition(3, "norad_id"), str(path))
+    assert len(pack_files(path)) == 3 and not list(path.glob("norad_id=*"))
+    found = catalogue_source.read(spark, path=str(path))
+    assert found.count() == 6000 and found.select("norad_id").distinct().count() == 300
+    some = found.where(F.col("norad_id").isin(5, 300, 777) & (F.col("t") >= T0 + 3 * DAY) & (F.col("t") < T0 + 5 * DAY)).collect()
+    assert sorted((r["norad_id"], r["t"]) for r in some) == [(i, t_of(d)) for i in (5, 300) for d in (4, 5)]
+    assert {r["request"] for r in some} == {f"/basicspacedata/query/class/gp_history/NORAD_CAT_ID/{i}/EPOCH/2024-01-04 00:00:00--2024-01-06 00:00:00/orderby/EPOCH asc/format/json" for i in (5, 300)}
+    assert all(r["fetched_at"] > T0 and not r["stale"] for r in some)
+    assert catalogue_source.read(spark, path=str(path)).where("norad_id = 5 and norad_id = 7").count() == 0
+    assert len(catalogue_source.elsets(found.where("norad_id = 9")).collect()) == 20
+
+
+def test_packs_add_to_folders_and_serve_an_outage(spark, landed, tmp_path):
+    more = spark.createDataFrame([(5, json.dumps([record(5, 25)])), (8, json.dumps([record(8, 26)]))], "norad_id long, value string")
+    catalogue_source.land(more, landed)
+    catalogue_source.land(more.where("norad_id = 8"), landed)  # what was landed twice comes twice
+    rows = catalogue_source.read(spark, path=landed).collect()
+    assert sorted((r["norad_id"], r["t"]) for r in rows if r["t"] > t_of(20)) == [(5, t_of(25)), (8, t_of(26)), (8, t_of(26))] and len(rows) == 63
+    assert [r["t"] for r in catalogue_source.read(spark, path=landed).where("norad_id = 8").collect()] == [t_of(26)] * 2
+    reader = catalogue_source.ElementReader({"source": "celestrak", "url": "http://127.0.0.1:9", "interval": "0", "objects": "5,8", "fallback": landed})
+    kept = list(reader.read(reader.partitions()[0]))
+    assert sorted(r[0] for r in kept) == [5] * 21 + [8] * 2 and all(r[5] for r in kept)
+
+
+def test_packs_with_malformed_answers_raise(spark, tmp_path):
+    for k, bad in enumerate((None, "{}", "[cut", '[{"EPOCH": 3}]')):
+        path = str(tmp_path / str(k))
+        catalogue_source.land(spark.createDataFrame([(5, bad), (6, "[]")], "norad_id long, value string"), path)
+        assert catalogue_source.read(spark, path=path).where("norad_id = 6").count() == 0
+        with pytest.raises(Exception, match="array of records|Expecting"):
+            catalogue_source.read(spark, path=path).collect()
+
+
+def test_reading_a_pack_skips_groups_without_the_objects(spark, tmp_path):
+    from pyarrow import Table, parquet
+
+    parquet.write_table(Table.from_pydict({"norad_id": [1, 2, 3, 7, 8, 9], "value": ["[]", "[]", "[]", "[7]", "[8]", "[9]"]}), tmp_path / "a.parquet", row_group_size=2)
+    at = catalogue_source.Landed(str(tmp_path))
+    assert [x[:2] for x in at.packed(at.packs(), {2, 8})] == [(2, "[]"), (8, "[8]")]
+    assert [x[0] for x in at.packed(at.packs(), None)] == [1, 2, 3, 7, 8, 9] and not list(at.packed(at.packs(), {4, 5}))
+
+
+def test_catalogue_query_lands_no_file_an_object(spark, tmp_path, monkeypatch):
+    from elsetspark.plans import QUERIES, queries
+
+    monkeypatch.setattr(queries.ordered, "shared_folder", lambda _: str(tmp_path / "answers"))
+    rows = QUERIES["src_catalogue"](spark, "/root/testdata/sf0.01")
+    assert rows.select("norad_id").distinct().count() == 150 and rows.count() == 1660
+    assert 1 <= len(pack_files(tmp_path)) <= 8 and len([x for x in (tmp_path / "answers").iterdir() if x.is_dir()]) == 0
